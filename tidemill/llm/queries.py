@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import codes, mixing, store
+from tidemill.llm import codes, language, mixing, quality, store, toxicity
 
 #: The folder of public tokenizer files is a parameter of the operators; the queries ask the installed package for it.
 BYTE_BPE, END_ID = "byte_bpe_50k.json", 2
@@ -32,6 +32,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.predict(documents(spark, sf_dir), remainder(3) != 1)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.predict(documents(spark, sf_dir), labels, remainder(3) != 1)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "codes")
     codes.write(documents(spark, sf_dir), path, tokenizer_path(BYTE_BPE), END_ID)
@@ -65,5 +80,5 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op10_codes": op10_codes}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_language": op4_language, "op7_toxicity": op7_toxicity, "op10_codes": op10_codes}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL}

@@ -25,7 +25,7 @@ from tidemill.llm.language import LETTERS
 #: Labelled rows that are drawn (by the hash of doc_id), and terms that are kept, at most.
 SAMPLE_ROWS, MOST_TERMS = 12_000, 4_000
 #: Least log-likelihood ratio of a term, and how often it must be more frequent in positive rows.
-LEAST_RATIO, LEAST_LIFT = 17.0, 3.0
+LEAST_RATIO, LEAST_LIFT = 18.0, 40.0
 #: Neighbours that vote, and the weight of the base rate among them.
 NEIGHBOURS, PRIOR_WEIGHT = 15, 0.25
 #: Examples in a block of the index.
