@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import codes, language, mixing, quality, store, toxicity
+from tidemill.llm import codes, html, language, mixing, quality, store, toxicity
 
 #: The folder of public tokenizer files is a parameter of the operators; the queries ask the installed package for it.
 BYTE_BPE, END_ID = "byte_bpe_50k.json", 2
@@ -41,6 +41,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = toxicity.predict(documents(spark, sf_dir), labels, remainder(3) != 1)
@@ -80,5 +84,5 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_language": op4_language, "op7_toxicity": op7_toxicity, "op10_codes": op10_codes}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_language": op4_language, "op5_html": op5_html, "op7_toxicity": op7_toxicity, "op10_codes": op10_codes}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
