@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import codes, html, language, mixing, quality, store, toxicity
+from tidemill.llm import codes, html, language, mixing, quality, store, topk, toxicity
 
 #: The folder of public tokenizer files is a parameter of the operators; the queries ask the installed package for it.
 BYTE_BPE, END_ID = "byte_bpe_50k.json", 2
@@ -45,6 +45,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = toxicity.predict(documents(spark, sf_dir), labels, remainder(3) != 1)
@@ -84,5 +89,17 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_language": op4_language, "op5_html": op5_html, "op7_toxicity": op7_toxicity, "op10_codes": op10_codes}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_language": op4_language, "op5_html": op5_html, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op10_codes": op10_codes}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_topk": OP6_SQL}
