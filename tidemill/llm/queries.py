@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import codes, dedup, html, language, mixing, quality, store, topk, toxicity
+from tidemill.llm import codes, dedup, html, katz, language, mixing, quality, store, topk, toxicity
 
 #: The folder of public tokenizer files is a parameter of the operators; the queries ask the installed package for it.
 BYTE_BPE, END_ID = "byte_bpe_50k.json", 2
@@ -60,6 +60,11 @@ def op8_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(documents(spark, sf_dir), shingle=2)
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score(documents(spark, sf_dir), remainder(7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "codes")
     codes.write(documents(spark, sf_dir), path, tokenizer_path(BYTE_BPE), END_ID)
@@ -105,5 +110,5 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_language": op4_language, "op5_html": op5_html, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_dedup": op8_dedup, "op10_codes": op10_codes}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_language": op4_language, "op5_html": op5_html, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_dedup": op8_dedup, "op9_katz": op9_katz, "op10_codes": op10_codes}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_topk": OP6_SQL}
