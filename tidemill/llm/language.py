@@ -155,6 +155,6 @@ def identify(docs: DataFrame, references: dict[str, str], keep: tuple[str, ...]
     return source.mapInArrow(predict, f"{kinds}, lang_pred string, score double, bits_per_char double")
 
 
-def predict(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, learn: Column | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """identify(), with references from the rows of docs where `learn` holds."""
     return identify(docs, reference(docs.where(learn)), keep)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import codes, dedup, html, katz, language, mixing, quality, store, topk, toxicity
+from tidemill.llm import codes, dedup, html, katz, language, mixing, pieces, quality, store, topk, toxicity
 
 #: The folder of public tokenizer files is a parameter of the operators; the queries ask the installed package for it.
-BYTE_BPE, END_ID = "byte_bpe_50k.json", 2
+BYTE_BPE, END_ID, PIECE_BPE = "byte_bpe_50k.json", 2, "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def remainder(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Rows that the classifiers may learn from.
+LEARN = "crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)) % 3 <> 1"
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -36,8 +40,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(documents(spark, sf_dir), tokenizer_path(PIECE_BPE))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language.predict(documents(spark, sf_dir), remainder(3) != 1)
+    found = language.predict(documents(spark, sf_dir), LEARN)
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
@@ -52,7 +60,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = toxicity.predict(documents(spark, sf_dir), labels, remainder(3) != 1)
+    found = toxicity.predict(documents(spark, sf_dir), labels, LEARN)
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
@@ -110,5 +118,5 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_language": op4_language, "op5_html": op5_html, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_dedup": op8_dedup, "op9_katz": op9_katz, "op10_codes": op10_codes}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_pieces": op3_pieces, "op4_language": op4_language, "op5_html": op5_html, "op6_topk": op6_topk, "op7_toxicity": op7_toxicity, "op8_dedup": op8_dedup, "op9_katz": op9_katz, "op10_codes": op10_codes}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_topk": OP6_SQL}

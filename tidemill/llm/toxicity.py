@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     return source.mapInArrow(predict, f"{kinds}, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
 
 
-def predict(docs: DataFrame, labels: DataFrame, learn: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, labels: DataFrame, learn: Column | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """score(), with a model of the rows of docs and labels where `learn`, a condition on doc_id, holds."""
     return score(docs, fit(docs.where(learn), labels.where(learn)), keep)
 
