@@ -1,10 +1,11 @@
 """Near duplicates: MinHash banding, sequential Bayesian verification of signatures, exact confirmation on full sets.
 
 Texts with equal shingle sets collapse to one representative before anything else. Representatives that agree in a band
-of their signatures are candidates. In a large group of near copies all pairs are candidates, so they are tried in two
+of their signatures are candidates. In a large group of near copies all pairs are candidates, so they are tried in
 rounds: first each bucket's members against its first document; the best surviving pair of each document is confirmed
 on full sets and links are joined to components. Then only pairs of one bucket that still lie in different components
-are tried, all of them, so no link that could join components is lost; pairs inside a component need no test.
+are tried: twice the best of each document, and at last all of them, so no link that could join components is lost;
+pairs inside a component need no test.
 
 A trial compares signatures batch by batch. With a uniform prior the similarity's posterior after n comparisons and m
 matches is Beta(m + 1, n - m + 1); a pair is pruned when the probability of reaching the threshold falls below MISS.
@@ -192,14 +193,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _crossing(banded: DataFrame, labels: DataFrame, signed: DataFrame, least: list[int]) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components that survive their trial."""
+def _crossing(banded: DataFrame, labels: DataFrame, signed: DataFrame, least: list[int], best: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket but different components that survive their trial. best: for each document outside its
+    bucket's main component, the pair of most matches only."""
     placed = banded.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main")).where("low <> high")
     open_ = store.table(placed.join(sizes.select("band", "n", "main"), "band"), "dedup-open")
     listed = open_.where(F.col("n") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("id", "component")).alias("m"))
     listed = listed.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.id < y.id and x.component <> y.component")
-    small = _tried(listed.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), signed, least).select("a", "b")
+    small = _tried(listed.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), signed, least)
+    small = small.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "matches").select(F.col("p.a").alias("x"), F.col("p.b").alias("y"), "matches")
     # a large bucket: what lies outside its main component meets every member, block by block
     large = open_.where(F.col("n") > SMALL).join(signed, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("deal", F.xxhash64("id"))
     members = large.withColumn("block", F.pmod("deal", F.col("blocks")).cast("int"))
@@ -212,13 +215,18 @@ def _crossing(banded: DataFrame, labels: DataFrame, signed: DataFrame, least: li
         found = []
         for i in range(len(a)):
             other = np.flatnonzero(cb != ca[i])
-            alive, _ = trial(np.broadcast_to(a[i], (len(other), HASHES)), b[other], least)
-            found += [(min(ia[i], y), max(ia[i], y)) for y in ib[other[alive]]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+            alive, matches = trial(np.broadcast_to(a[i], (len(other), HASHES)), b[other], least)
+            if best and len(alive):
+                alive, matches = alive[[matches.argmax()]], matches[[matches.argmax()]]
+            found += [(ia[i], y, m) for y, m in zip(ib[other[alive]], matches, strict=True)]
+        return pd.DataFrame(found, columns=["x", "y", "matches"], dtype="int64")
 
     own = ["id", "component", "signature", "band", "block", "chunk"]
-    met = stray.select(*[F.col(c).alias(f"x_{c}") for c in own]).groupBy("x_band", "x_block", "x_chunk").cogroup(members.select(*[F.col(c).alias(f"y_{c}") for c in own]).groupBy("y_band", "y_block", "y_chunk")).applyInPandas(meet, "a long, b long")
-    return small.union(met).distinct()
+    met = stray.select(*[F.col(c).alias(f"x_{c}") for c in own]).groupBy("x_band", "x_block", "x_chunk").cogroup(members.select(*[F.col(c).alias(f"y_{c}") for c in own]).groupBy("y_band", "y_block", "y_chunk")).applyInPandas(meet, "x long, y long, matches long")
+    found = small.union(met)
+    if best:
+        found = found.groupBy("x").agg(F.max(F.struct("matches", "y")).alias("p")).select("x", F.col("p.y").alias("y"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -242,10 +250,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     tried = _tried(first, reps, least).groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("a"))).alias("best"))
     first = store.table(tried.select((-F.col("best.a")).alias("a"), "b"), "dedup-first")
     sets = store.table(full_sets(docs, banded.select("id").distinct(), shingle).dropDuplicates(["id"]), "dedup-sets")
-    links = store.table(_confirmed(first, sets, percent), "dedup-links")
-    second = store.table(_crossing(banded.select("band", "id"), components(links), reps, least).join(first, ["a", "b"], "left_anti"), "dedup-second")
-    links = links.union(_confirmed(second, sets, percent))
-    found = components(links)
+    tested, links = first, store.table(_confirmed(first, sets, percent), "dedup-links")
+    found, members = components(links), banded.select("band", "id")
+    for best in (True, True, False):  # the last round tries whatever could still join components
+        more = store.table(_crossing(members, found, reps, least, best).join(tested, ["a", "b"], "left_anti"), "dedup-more")
+        if more.isEmpty() and best:
+            continue
+        tested = tested.union(more)
+        links = links.union(store.table(_confirmed(more, sets, percent), "dedup-links"))
+        found = components(links)
     by_print = copies.join(found, "id", "left").select(F.col("print").alias("of"), F.coalesce("component", "id").alias("component"))
     result = signed.join(by_print, signed["print"] == by_print["of"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
