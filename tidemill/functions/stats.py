@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
@@ -18,7 +19,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.when(n > 0, F.struct(bound(middle - half).alias("low"), bound(middle + half).alias("high")))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided binomial test of discordant pairs, which is also the sign test; 1 without any."""
 
@@ -29,7 +30,7 @@ def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([p(x, y) for x, y in zip(b, c, strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Fisher's exact two-sided test: all tables no likelier than the observed one."""
 
