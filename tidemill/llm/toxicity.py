@@ -5,7 +5,7 @@ word together. On a bounded sample of labelled rows the terms are kept whose pre
 log-likelihood ratio); TF-IDF vectors over them, of examples and of texts alike, have cosines that noise words don't
 drown. The examples stand in an inverted index in blocks, with each term's greatest weight in each block; a query visits
 blocks in order of their bound and stops when no block left can reach its k-th cosine, so its neighbours are exact. Their
-cosine-weighted votes, made monotone on the examples' own left-out votes, are the score; the neighbours are its evidence.
+votes, weighted by a power of the cosine and made monotone on the examples' own left-out votes, are the score; the neighbours are its evidence.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from tidemill.llm.language import LETTERS
 SAMPLE_ROWS, MOST_TERMS = 12_000, 4_000
 #: Least log-likelihood ratio of a term, and how often it must be more frequent in positive rows.
 LEAST_RATIO, LEAST_LIFT = 18.0, 40.0
-#: Neighbours that vote, and the weight of the base rate among them.
-NEIGHBOURS, PRIOR_WEIGHT = 15, 0.25
+#: Neighbours that vote, the power of the cosine that each votes with, and the weight of the base rate among them.
+NEIGHBOURS, POWER, PRIOR_WEIGHT = 15, 6, 1.0
 #: Examples in a block of the index.
 BLOCK = 64
 #: A text with this score or more counts as toxic.
@@ -73,7 +73,8 @@ class Model:
         return rows, cosines
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        return float((cosines[self.positive[rows]].sum() + PRIOR_WEIGHT * self.base) / (cosines.sum() + PRIOR_WEIGHT))
+        weights = cosines**POWER
+        return float((weights[self.positive[rows]].sum() + PRIOR_WEIGHT * self.base) / (weights.sum() + PRIOR_WEIGHT))
 
     def score(self, vote: float) -> float:
         return float(np.interp(vote, *self.steps)) if self.steps is not None else vote
