@@ -71,6 +71,13 @@ def _signature(hashes: np.ndarray, factors: np.ndarray) -> bytes:
     return (words.mix(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def _prints(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """128 bits that name each text's set: sums of its mixed elements."""
+    with np.errstate(over="ignore"):
+        sums = [np.concatenate(([np.uint64(0)], np.cumsum(words.mix(h ^ np.uint64(c)), dtype=np.uint64))) for c in (1, 2)]
+        return [x.tobytes() for x in np.stack([s[at[1:]] - s[at[:-1]] for s in sums], 1)]
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, print (128 bits of the set), signature (null for empty sets)."""
 
@@ -78,11 +85,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         factors = _factors()
         for piece in words.pieces(batches):
             h, at = shingle_hashes(piece.column("text"), shingle)
-            with np.errstate(over="ignore"):  # sums of mixed elements name the set
-                sums = [np.concatenate(([np.uint64(0)], np.cumsum(words.mix(h ^ np.uint64(c)), dtype=np.uint64))) for c in (1, 2)]
-                prints = np.stack([s[at[1:]] - s[at[:-1]] for s in sums], 1)
             signed = [_signature(h[a:b], factors) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(at)), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "print", "signature"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(at)), pa.array(_prints(h, at), pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "print", "signature"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, print binary, signature binary")
 
@@ -164,15 +168,17 @@ def _numbers(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id and elements (the packed hashes of all distinct shingles) of the documents in ids."""
+def full_sets(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """id and elements (the packed hashes of all distinct shingles) of the representatives (id, print)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in words.pieces(batches):
             h, at = shingle_hashes(piece.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([_packed(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "elements"])
+            elements = pa.array([_packed(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            own = pa.array([x == y for x, y in zip(_prints(h, at), piece.column("print").to_pylist(), strict=True)])  # another row of the id may have another text
+            yield pa.RecordBatch.from_arrays([piece.column("id"), elements], ["id", "elements"]).filter(own)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(pack, "id long, elements binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(reps.select("id", "print"), "id").select("id", "text", "print").mapInArrow(pack, "id long, elements binary").dropDuplicates(["id"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,22 +240,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     component_id) of every row of docs.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of distinct word shingles. Texts
-    without words, null ones too, have empty sets and are linked with nothing. doc_id names a document: rows that repeat
-    one count as one node, and a null doc_id is alone (its component is null and it is kept). Copies of any number cost
-    one representative. Other columns are not read.
+    without words, null ones too, have empty sets and are linked with nothing. Equal sets are one node, named by its least
+    doc_id; copies of any number cost that one representative. A null doc_id is alone (its component is null and it is
+    kept). Rows that repeat a doc_id get the component of their own set; of sets with the same name the least print stands
+    for all. Other columns are not read.
     """
     least = least_matches(percent / 100)
     signed = store.table(signatures(docs, shingle), "dedup-signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     copies = store.table(full.groupBy("print").agg(F.min("doc_id").alias("id")), "dedup-copies")
-    reps = store.table(full.join(copies, (F.col("doc_id") == F.col("id")) & (full["print"] == copies["print"])).select("id", "signature").dropDuplicates(["id"]), "dedup-representatives")
+    own = full.join(copies, (F.col("doc_id") == F.col("id")) & (full["print"] == copies["print"])).select("id", full["print"], "signature")
+    reps = store.table(own.groupBy("id").agg(F.min(F.struct("print", "signature")).alias("r")).select("id", "r.print", "r.signature"), "dedup-representatives")
     banded = bands(reps)
     heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
     banded = store.table(banded.join(heads, "band"), "dedup-bands")  # only buckets of two or more
     first = banded.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     tried = _tried(first, reps, least).groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("a"))).alias("best"))
     first = store.table(tried.select((-F.col("best.a")).alias("a"), "b"), "dedup-first")
-    sets = store.table(full_sets(docs, banded.select("id").distinct(), shingle).dropDuplicates(["id"]), "dedup-sets")
+    sets = store.table(full_sets(docs, reps.join(banded.select("id").distinct(), "id", "left_semi"), shingle), "dedup-sets")
     tested, links = first, store.table(_confirmed(first, sets, percent), "dedup-links")
     found, members = components(links), banded.select("band", "id")
     for best in (True, True, False):  # the last round tries whatever could still join components
