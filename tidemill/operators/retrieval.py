@@ -44,9 +44,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+#: Up to so many query vectors are broadcast; more meet the vectors partition by partition.
+BROADCAST_QUERIES = 5_000
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
-    """Exact k nearest by 1 - cosine, of each query and (if given) each group. queries: (q, qv), a small stated set."""
-    pairs = vectors.join(F.broadcast(queries)).withColumn("dist", 1 - cosine(F.col("embedding"), F.col("qv")))
+    """Exact k nearest by 1 - cosine, of each query and (if given) each group. queries: (q, qv), a stated set. Spark keeps
+    the k best of each task before it shuffles, so what is moved is that and not the pairs."""
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    pairs = vectors.crossJoin(F.broadcast(queries) if few else queries.repartition(F.col("q"))).withColumn("dist", 1 - cosine(F.col("embedding"), F.col("qv")))
     place = Window.partitionBy("q", *([group] if group else [])).orderBy("dist", "vec_id")
     return pairs.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).drop("qv", "embedding")
 

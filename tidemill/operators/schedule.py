@@ -44,10 +44,11 @@ def due(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where("status = 'active'").where(F.to_utc_timestamp(F.try_to_timestamp("next_run_at"), F.col("timezone")) <= now)
 
 
-def missing_days(events: DataFrame, day: str = "day") -> DataFrame:
-    """Days between the first and the last that no event has."""
-    span = events.agg(F.min(day).alias("a"), F.max(day).alias("b"))
-    return span.select(F.explode(F.sequence("a", "b")).alias(day)).join(events.select(day).distinct(), day, "left_anti")
+def missing_days(events: DataFrame, day: str = "day", *by: str) -> DataFrame:
+    """Days between the first and the last, of all events or of each group's, that no event has."""
+    days = events.select(*by, day).distinct()
+    span = days.groupBy(*by).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return span.select(*by, F.explode(F.sequence("a", "b")).alias(day)).join(days, [*by, day], "left_anti")
 
 
 def month_ranges(spark, year: int, spec: str) -> DataFrame:
