@@ -155,6 +155,35 @@ def test_toxicity(spark, odd, empty):
     assert [r.predicted for r in toxicity.score(planted, model).orderBy("doc_id").collect()] == [1, 0]
 
 
+def test_toxicity_finds_copies_of_rare_examples(spark):
+    rng = np.random.default_rng(4)
+    common, letters = [f"w{c}" for c in "abcdefghijklmnopqrst"], list("bcdfghklmn")
+    made = lambda: "".join(rng.choice(letters, 9))
+    rows = [(i, " ".join([*rng.choice(common, 12), *([made() for _ in range(6)] if i % 2 else [])])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 1)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(model.ids) == len(rows) and set(toxicity.terms(" ".join(t for _, t in rows))) == set(model.vocabulary)
+    for r in toxicity.score(docs, model).collect():
+        assert (r.evidence[0]["doc_id"], r.evidence[0]["cosine"]) == (r.doc_id, pytest.approx(1.0))
+
+
+def test_nearest_examples_over_blocks(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    rng = np.random.default_rng(10)
+    w = rng.random((400, 60)) ** 6 * (rng.random((400, 60)) < 0.2)
+    w = w[w.any(1)]
+    w /= np.sqrt((w**2).sum(1, keepdims=True))
+    w = w[np.argsort(w.argmax(1), kind="stable")]
+    model = toxicity.Model({}, np.ones(60), w, np.arange(len(w)), rng.random(len(w)) < 0.5, 0.5)
+    for i, x in enumerate(w):
+        c, want = np.flatnonzero(x), w @ x
+        want[i] = 0
+        rows, cosines = model.nearest(c, x[c], 15, skip=i)
+        assert cosines == pytest.approx(np.sort(want)[::-1][: len(rows)]) and i not in rows
+        assert len(rows) == min(15, (want > 0).sum())
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = queries.documents(spark, sf_dir)
     steps = dict(corpus_pipeline.STAGES)

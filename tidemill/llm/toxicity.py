@@ -1,17 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased letter runs and their four- and five-letter beginnings, which tie inflected and disguised forms of a
-word together. On a bounded sample of labelled rows the terms are kept whose presence speaks for the label (by the
-log-likelihood ratio); TF-IDF vectors over them, of examples and of texts alike, have cosines that noise words don't
-drown. The examples stand in an inverted index in blocks, with each term's greatest weight in each block; a query visits
-blocks in order of their bound and stops when no block left can reach its k-th cosine, so its neighbours are exact. Their
-votes, weighted by a power of the cosine and made monotone on the examples' own left-out votes, are the score; the neighbours are its evidence.
+word together. All terms of a bounded sample of labelled rows are kept, and all of its rows are examples; a term weighs by
+its TF-IDF times the root of one more than the log-likelihood ratio of its presence and the label, so that words of either
+label are heard above the others, of which none is left out. The examples stand in postings lists (those of frequent terms as
+dense rows), with each frequent term's greatest weight in each block of examples; a block that by its bound can't reach the
+k-th cosine found is passed over. Single precision finds the candidates with a margin, double precision compares them, so
+the neighbours are exact. Their votes, weighted by a power of the cosine and made monotone on the examples' own
+left-out votes, are the score; the neighbours are its evidence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,16 @@ from pyspark.sql import functions as F
 from tidemill.llm import words
 from tidemill.llm.language import LETTERS
 
-#: Labelled rows that are drawn (by the hash of doc_id), and terms that are kept, at most.
-SAMPLE_ROWS, MOST_TERMS = 12_000, 4_000
-#: Least log-likelihood ratio of a term, and how often it must be more frequent in positive rows.
-LEAST_RATIO, LEAST_LIFT = 18.0, 40.0
+#: Labelled rows that are drawn (by the hash of doc_id) at most.
+SAMPLE_ROWS = 12_000
 #: Neighbours that vote, the power of the cosine that each votes with, and the weight of the base rate among them.
 NEIGHBOURS, POWER, PRIOR_WEIGHT = 15, 6, 1.0
 #: Examples in a block of the index.
-BLOCK = 64
+BLOCK = 1_024
+#: Queries that are compared at once; terms of more than one in as many examples, OFTEN at most, are held as dense rows.
+BATCH, OFTEN = 64, 1_024
+#: Twice what a cosine in single precision may be off, at least.
+MARGIN = 1e-4
 #: A text with this score or more counts as toxic.
 CUT = 0.7
 PREFIXES = (4, 5)
@@ -40,37 +46,100 @@ def terms(token: str) -> list[str]:
     return [t for run in LETTERS.findall(token) for t in (run, *(f"{run[:n]}*" for n in PREFIXES if len(run) > n))]
 
 
+class Rows(NamedTuple):
+    """Sparse rows of n_columns: row i has columns[starts[i]:starts[i + 1]], ascending, and their weights."""
+
+    starts: np.ndarray
+    columns: np.ndarray
+    weights: np.ndarray
+    n_columns: int
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Rows:
+        at, columns = np.nonzero(dense)
+        return cls(np.searchsorted(at, np.arange(len(dense) + 1)), columns.astype(np.int32), dense[at, columns].astype(float), dense.shape[1])
+
+
 @dataclass
 class Model:
-    """vocabulary: term to column; idf of the columns; examples as rows of weights (unit length), their ids and labels, in
-    blocks; peaks: each column's greatest weight in each block; base: share of positive rows; steps: votes and scores."""
+    """vocabulary: term to column; idf: the columns' factors; weights: the examples' (unit length), as Rows or dense;
+    their ids and labels; base: share of positive rows; steps: votes and scores.
+
+    Columns of many examples (at most OFTEN) are the dense rows `often`, found by `place`; the others' postings, (example,
+    weight), are lists at starts[c] to starts[c + 1]. peaks: the dense rows' greatest weight in each block of BLOCK."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
-    weights: np.ndarray
+    weights: Rows | np.ndarray
     ids: np.ndarray
     positive: np.ndarray
     base: float
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
     def __post_init__(self) -> None:
-        starts = np.arange(0, len(self.ids), BLOCK)
-        self.peaks = np.maximum.reduceat(self.weights, starts, axis=0).T if len(starts) else np.zeros((len(self.idf), 0))
+        rows = Rows.of(self.weights) if isinstance(self.weights, np.ndarray) else self.weights
+        self.weights = rows
+        n, counts = len(self.ids), np.bincount(rows.columns, minlength=rows.n_columns)
+        many = np.argsort(-counts, kind="stable")[:OFTEN]
+        many = many[counts[many] * BATCH > n]
+        self.place = np.full(rows.n_columns, -1, np.int32)
+        self.place[many] = np.arange(len(many))
+        example, dense = np.repeat(np.arange(n), np.diff(rows.starts)), self.place[rows.columns] >= 0
+        self.often = np.zeros((len(many), n), np.float32)
+        self.often[self.place[rows.columns[dense]], example[dense]] = rows.weights[dense]
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(rows.columns[rare], kind="stable")]
+        self.lists = example[rare], rows.weights[rare]
+        self.starts = np.concatenate(([0], np.cumsum(np.where(self.place < 0, counts, 0))))
+        self.borders = np.arange(0, n, BLOCK)
+        self.peaks = np.maximum.reduceat(self.often, self.borders, axis=1) if n else self.often
 
     def nearest(self, columns: np.ndarray, query: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the k examples of greatest cosine above 0 (ties: first row) and their cosines."""
-        bounds = query @ self.peaks[columns]
-        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(rows) == k and bounds[block] < cosines[-1] - 1e-12:
-                break
-            at = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
-            found = self.weights[at[:, None], columns] @ query
-            some = (found > 0) & (at != skip)
-            rows, cosines = np.concatenate((rows, at[some])), np.concatenate((cosines, found[some]))
-            order = np.lexsort((rows, -np.round(cosines, 12)))[:k]
-            rows, cosines = rows[order], cosines[order]
-        return rows, cosines
+        return next(self.all_nearest([(columns, query)], k, [skip]))
+
+    def all_nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skips: Iterable[int] = repeat(-1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each query, (columns, weights)."""
+        spread, skips = np.zeros(self.weights.n_columns), iter(skips)
+        for first in range(0, len(queries), BATCH):
+            some = queries[first : first + BATCH]
+            for (columns, query), found in zip(some, self._rough(some, k, list(islice(skips, len(some)))), strict=True):
+                least = np.partition(found, -k)[-k] if len(found) > k else 0.0
+                rows = np.flatnonzero((found > 0) & (found >= least - MARGIN))
+                if not len(rows):
+                    yield rows, np.zeros(0)
+                    continue
+                begin, end = self.weights.starts[rows], self.weights.starts[rows + 1]
+                at, spread[columns] = words.ranges(begin, end - begin), query
+                cosines = np.add.reduceat(self.weights.weights[at] * spread[self.weights.columns[at]], np.cumsum(end - begin) - (end - begin))
+                spread[columns] = 0
+                order = np.lexsort((rows, -np.round(cosines, 12)))[:k]
+                yield rows[order], cosines[order]
+
+    def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list[int]) -> np.ndarray:
+        """Cosines of queries and examples within half of MARGIN, and 0 or less where they can't be among the k greatest."""
+        n = len(self.ids)
+        dense, found = np.zeros((len(queries), len(self.often)), np.float32), np.zeros((len(queries), n), np.float32)
+        if not n:
+            return found
+        for i, (columns, query) in enumerate(queries):
+            place = self.place[columns]
+            dense[i, place[place >= 0]] = query[place >= 0]
+            rare = columns[place < 0]
+            spans = list(zip(self.starts[rare].tolist(), self.starts[rare + 1].tolist(), strict=True))
+            if spans:
+                weights = np.concatenate([self.lists[1][a:b] for a, b in spans]) * np.repeat(query[place < 0], self.starts[rare + 1] - self.starts[rare])
+                found[i] = np.bincount(np.concatenate([self.lists[0][a:b] for a, b in spans]), weights, n)
+            if skips[i] >= 0:
+                found[i, skips[i]] = -np.inf
+        bounds, kth = dense @ self.peaks + np.maximum.reduceat(found, self.borders, axis=1), np.zeros(len(queries), np.float32)
+        for block in np.argsort(-bounds.max(0), kind="stable"):
+            at, near = slice(block * BLOCK, (block + 1) * BLOCK), bounds[:, block] >= kth - MARGIN
+            found[~near, at] = 0
+            found[near, at] += dense[near] @ self.often[:, at]
+            if found[:, at].shape[1] > k and near.any():
+                kth[near] = np.maximum(kth[near], np.partition(found[near, at], -k, axis=1)[:, -k])
+        return found
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         weights = cosines**POWER
@@ -104,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The model of up to SAMPLE_ROWS labelled rows of docs, whatever the tables' sizes.
 
     Rows with a null label are left out; a doc_id with several labels has the greatest. Without labelled rows of both
-    kinds there are no terms, and every text has the base rate (0 if there are no rows).
+    kinds there are no terms, and every text has the base rate (0 if there are no rows). All terms and rows of the sample
+    come to the driver.
     """
     drawn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # at most SAMPLE_ROWS rows
@@ -126,26 +196,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     yes, no = F.col("yes").cast("double"), F.col("no").cast("double")
     share = (yes + no) / total
     ratio = 2 * (part(yes, n_yes * share) + part(no, n_no * share) + part(n_yes - yes, n_yes * (1 - share)) + part(n_no - no, n_no * (1 - share)))
-    chosen = counts.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (yes * n_no >= LEAST_LIFT * no * n_yes)).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).toPandas()
-    vocabulary = {t: i for i, t in enumerate(chosen["term"])}
-    idf = np.log((total + 1) / (chosen["yes"] + chosen["no"] + 1).to_numpy(float)) + 1
+    known = counts.select("term", (yes + no).alias("seen"), F.greatest(F.lit(0.0), ratio).alias("ratio")).toPandas().sort_values("term", kind="stable")
+    vocabulary = {t: i for i, t in enumerate(known["term"])}
+    idf = (np.log((total + 1) / (known["seen"].to_numpy() + 1)) + 1) * np.sqrt(1 + known["ratio"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in words.pieces(batches):
-            columns, times = _columns(piece.column("text"), vocabulary)
+            columns, times = _columns(piece.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array(columns, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "label", "columns", "times"])
 
     held = rows.mapInArrow(vectors, "doc_id long, label int, columns array<int>, times array<int>").toPandas().sort_values("doc_id", kind="stable")
-    some = held["columns"].map(len).to_numpy() > 0
-    examples = held[some]
-    weights = np.zeros((len(examples), len(vocabulary)), np.float64)
-    for i, (c, t) in enumerate(zip(examples["columns"], examples["times"], strict=True)):
-        weights[i, c] = weigh(np.asarray(t), idf[c])
-    order = np.argsort(weights.argmax(1), kind="stable") if len(vocabulary) else np.zeros(0, np.int64)  # alike examples share blocks
-    model = Model(vocabulary, idf, weights[order], examples["doc_id"].to_numpy()[order], examples["label"].to_numpy()[order] == 1, n_yes / total)
-    votes = [model.vote(*model.nearest(c := np.flatnonzero(w), w[c], NEIGHBOURS, skip=i)) for i, w in enumerate(model.weights)]
-    rest = held["label"].to_numpy()[~some] == 1
-    model.steps = monotone(np.concatenate((votes, np.full(len(rest), model.vote(np.zeros(0, np.int64), np.zeros(0))))), np.concatenate((model.positive, rest)))
+    sizes = held["columns"].map(len).to_numpy()
+    weighed = [weigh(t, idf[c]) for c, t in zip(held["columns"], held["times"], strict=True) if len(c)]
+    columns = np.concatenate([np.zeros(0, np.int32), *held["columns"]]).astype(np.int32)
+    weights = Rows(np.concatenate(([0], np.cumsum(sizes))), columns, np.concatenate([np.zeros(0), *weighed]), len(vocabulary))
+    # alike examples share blocks
+    tops = np.array([c[np.argmax(weights.weights[a:b])] if b > a else len(vocabulary) for c, a, b in zip(held["columns"], weights.starts[:-1], weights.starts[1:], strict=True)], np.int64)
+    order = np.argsort(tops, kind="stable")
+    moved = words.ranges(weights.starts[:-1][order], sizes[order])
+    weights = Rows(np.concatenate(([0], np.cumsum(sizes[order]))), columns[moved], weights.weights[moved], len(vocabulary))
+    model = Model(vocabulary, idf, weights, held["doc_id"].to_numpy()[order], held["label"].to_numpy()[order] == 1, n_yes / total)
+    own = [(weights.columns[a:b], weights.weights[a:b]) for a, b in zip(weights.starts[:-1], weights.starts[1:], strict=True)]
+    votes = [model.vote(*x) for x in model.all_nearest(own, NEIGHBOURS, range(len(own)))]
+    model.steps = monotone(np.array(votes), model.positive)
     return model
 
 
@@ -179,19 +253,21 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     """doc_id, score (0 to 1), predicted (1 if score >= CUT), evidence (the neighbours' doc_id, cosine and label, nearest
     first) and the columns named in keep, for each row of docs.
 
-    Whole texts are read. A text without any term of the model, null and empty ones too, has the score of the examples
-    without terms and no evidence. Equal texts get equal scores; other columns are not read.
+    Whole texts are read. A text without any term of the examples, null and empty ones too, has the score of no votes and
+    no evidence. Equal texts get equal scores; other columns are not read.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         none = model.score(model.vote(np.zeros(0, np.int64), np.zeros(0)))
         for piece in words.pieces(batches):
             scores, evidence = np.full(piece.num_rows, none), [[]] * piece.num_rows
-            for i, (c, t) in enumerate(zip(*_columns(piece.column("text"), model.vocabulary), strict=True)):
-                if len(c):
-                    rows, cosines = model.nearest(c, weigh(t, model.idf[c]), NEIGHBOURS)
-                    scores[i] = model.score(model.vote(rows, cosines))
-                    evidence[i] = [{"doc_id": int(model.ids[r]), "cosine": float(x), "label": int(model.positive[r])} for r, x in zip(rows, cosines, strict=True)]
+            found = [(i, c, weigh(t, model.idf[c])) for i, (c, t) in enumerate(zip(*_columns(piece.column("text"), model.vocabulary), strict=True)) if len(c)]
+            for (i, *_), (rows, cosines) in zip(found, model.all_nearest([x[1:] for x in found], NEIGHBOURS), strict=True):
+                scores[i] = model.score(model.vote(rows, cosines))
+                evidence[i] = [{"doc_id": int(model.ids[r]), "cosine": float(x), "label": int(model.positive[r])} for r, x in zip(rows, cosines, strict=True)]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             own = [piece.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array((scores >= CUT).astype(np.int32)), pa.array(evidence, kind)], ["doc_id", *keep, "score", "predicted", "evidence"])
