@@ -79,6 +79,20 @@ def test_query_against_the_formulas(spark, sf_dir):
     assert sum(x[6] for x in held) > sum(x[5] for x in held)  # better than the base model on unseen texts
 
 
+def test_pieces_do_not_depend_on_the_batches(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(40 + i % 50))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 6_000)
+    try:
+        found = sorted(tuple(r) for r in katz.score(docs, F.col("doc_id") % 4 != 1).select("doc_id", (~F.col("train")).alias("h"), "n_tokens", "n_known", "train_tokens", "base_score", "score").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    for a, b in zip(found, sorted(brute(rows, [i % 4 != 1 for i, _ in rows])), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-7)
+
+
 def test_sums_to_one(spark, sf_dir):
     texts = [r.text for r in queries.documents(spark, sf_dir).limit(60).collect()]
     m = Model(texts)

@@ -5,7 +5,7 @@ history is left without mass to back off with), else a(h) P(w), with a(h) such t
 P(w) = d'(c) c / (N + 1) for words seen c times, the rest of the mass for all unknown words together. d and d' are Katz's
 Good-Turing discounts of counts up to MOST_DISCOUNTED. A history that training lacks backs off wholly.
 
-Texts are tokenized in pieces of some megabytes. A piece asks the partitions of the count tables for its distinct words
+Texts are tokenized once, in pieces of some megabytes, which are written to the shared folder. A piece asks the partitions of the count tables for its distinct words
 and bigrams (sorted 64-bit keys, packed) and tells them its training counts in the same message; each partition adds up
 and answers in the order asked, so every token is looked up though only distinct keys travel. Partitions are ranges of
 mixed keys: a frequent history is spread over them by its successors. A second exchange of the same kind adds up what
@@ -88,6 +88,11 @@ class Piece:
         used, codes = np.unique(place[ends], return_inverse=True)
         return cls(vocabulary[used], codes, split.offsets + np.arange(len(split.offsets)), train)
 
+    @classmethod
+    def read(cls, r: dict | pd.Series) -> Piece:
+        """Of a row of the pieces' table."""
+        return cls(unpack_keys(r["vocabulary"]), unpack(r["codes"], np.uint32).astype(np.int64), np.frombuffer(r["borders"], "<i8"), np.frombuffer(r["train"], bool))
+
     def messages(self, parts: int) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(order, partition, keys, training counts)."""
         weights = self.train[self.doc].astype(float)
@@ -97,19 +102,16 @@ class Piece:
                 yield order, int(p), pack_keys(keys[cuts[p] : cuts[p + 1]]), pack(counts[cuts[p] : cuts[p + 1]])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    for k, piece in enumerate(words.pieces(batches)):
-        yield TaskContext.get().partitionId() << 24 | k, piece
-
-
-def _ask(docs: DataFrame, parts: int) -> DataFrame:
+def _ask(pieces: DataFrame, parts: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, piece in _pieces(batches):
-            rows = list(Piece.of(piece.column("text"), piece.column("train").to_numpy(zero_copy_only=False)).messages(parts))
-            grams, part, keys, counts = map(list, zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows)), pa.array(grams, pa.int32()), pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["piece", "grams", "part", "keys", "counts"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                rows = list(Piece.read(held).messages(parts))
+                grams, part, keys, counts = map(list, zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([held["piece"]] * len(rows)), pa.array(grams, pa.int32()), pa.array(part, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["piece", "grams", "part", "keys", "counts"])
 
-    return docs.select("text", "train").mapInArrow(ask, "piece long, grams int, part int, keys binary, counts binary")
+    return pieces.select("piece", "train", "vocabulary", "codes", "borders").mapInArrow(ask, "piece long, grams int, part int, keys binary, counts binary")
 
 
 def _add_up(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +129,8 @@ def _add_up(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
 
 def _payload(docs: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, piece in _pieces(batches):
+        for k, piece in enumerate(words.pieces(batches)):
+            number = TaskContext.get().partitionId() << 24 | k
             train = piece.column("train").to_numpy(zero_copy_only=False)
             x = Piece.of(piece.column("text"), train)
             codes = pack(x.codes.astype(np.uint32))
@@ -149,8 +152,8 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 def _look_up(parts: int):
     def look_up(key: tuple, held: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         r = held.iloc[0]
-        train = np.frombuffer(r["train"], bool)
-        x = Piece(unpack_keys(r["vocabulary"]), unpack(r["codes"], np.uint32).astype(np.int64), np.frombuffer(r["borders"], "<i8"), train)
+        x = Piece.read(r)
+        train = x.train
         answers, found = answers.sort_values(["y_grams", "y_part"]), {}
         for grams, n in ((1, len(x.vocabulary)), (2, len(x.bigrams))):
             own = answers[answers["y_grams"] == grams]
@@ -223,9 +226,10 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     """
     parts = store.partitions(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("train"))
-    answers = _ask(own, parts).groupBy("grams", "part").applyInPandas(_add_up, "piece long, grams int, part int, counts binary, owned binary")
+    pieces = store.table(_payload(own), "katz-texts")  # numbered and cut once: batches of other columns end at other rows
+    answers = _ask(pieces, parts).groupBy("grams", "part").applyInPandas(_add_up, "piece long, grams int, part int, counts binary, owned binary")
     answers = answers.select(*[F.col(c).alias(f"y_{c}") for c in answers.columns])
-    looked = _payload(own).groupBy("piece").cogroup(answers.groupBy("y_piece")).applyInPandas(_look_up(parts), _LOOKED)
+    looked = pieces.groupBy("piece").cogroup(answers.groupBy("y_piece")).applyInPandas(_look_up(parts), _LOOKED)
     looked = store.table(looked, "katz-pieces")
     add = lambda c: [F.sum(F.col(c)[i]) for i in range(_K + 4)]
     totals = [int(x or 0) for x in looked.agg(*add("ones"), *add("twos")).first()]
