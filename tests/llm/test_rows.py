@@ -114,6 +114,16 @@ def test_html(spark, sf_dir):
     assert html.extract(odd).count() == 3 and html.extract(odd.limit(0)).count() == 0
 
 
+def test_html_raw_text_ends_at_its_end_tag():
+    model = html.Model()
+    body = "<article><h1>A heading</h1><p>A paragraph of the story, long enough to be one of its own.</p></article>"
+    want = model.extract(f"<html><body>{body}</body></html>")
+    assert want
+    for raw in ("<script>for(i=0;i<n;i++){f(i);}</script>", "<script>s='<!--';</script>", "<style>a:before{content:'<b'}</style>", "<script>t='<i title=\"'</SCRIPT >", "<title>a <b</title>", "<script>'</scripts>'<n</script\n>"):
+        assert model.extract(f"<html><body>{raw}{body}</body></html>") == want
+    assert model.extract(f"<html><body>{body}<script>i<n") == want
+
+
 def test_topk_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, rng.choice([-0.5, 0.25, 1.0], 8).tolist(), i) for i in range(300)]

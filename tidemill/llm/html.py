@@ -37,6 +37,7 @@ AGAINST = frozenset(
 CONTAINERS = frozenset("article aside body div footer form header html main nav section table".split())
 TEXTS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_CLOSES = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+")
 _CUED = re.compile(r"class|id=|role", re.IGNORECASE)
@@ -83,13 +84,8 @@ class Node:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
     """Elements in page order, and the page's text as (element, block number, text): pieces of one block run on."""
-    nodes, texts, stack, block, end, raw = [Node("html", -1, 0, "")], [], [0], 0, 0, ""
-    for match in _TOKEN.finditer(page):
-        if raw:
-            if match[2] is None or not match[1] or match[2].lower() != raw:
-                continue
-            raw, end = "", match.end()
-            continue
+    nodes, texts, stack, block, end = [Node("html", -1, 0, "")], [], [0], 0, 0
+    while match := _TOKEN.search(page, end):
         if match.start() > end:
             texts.append((stack[-1], block, page[end : match.start()]))
         end = match.end()
@@ -104,7 +100,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             block += tag in BLOCK
             continue
         if tag in RAW:
-            raw = "" if match[3].endswith("/") else tag
+            if not match[3].endswith("/"):
+                close = _CLOSES[tag].search(page, end)  # no tags or comments are read before it
+                end = close.end() if close else len(page)
             continue
         if tag in VOID:
             block += tag == "hr"
@@ -133,7 +131,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         nodes.append(Node(tag, stack[-1], cue, mark))
         if not match[3].endswith("/") or tag in BLOCK:
             stack.append(len(nodes) - 1)
-    if not raw and end < len(page):
+    if end < len(page):
         texts.append((stack[-1], block, page[end:]))
     for at, _, text in texts:
         nodes[at].size += len(text.strip())
