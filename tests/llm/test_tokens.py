@@ -106,3 +106,13 @@ def test_parts_meet_the_tokenizer(tokenizer):
     texts = pa.array([t for t in TEXTS if t is not None], pa.string())
     ids, borders = codes.token_ids(texts, queries.tokenizer_path(queries.BYTE_BPE))
     assert [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+
+
+def test_codes_of_added_tokens_as_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path(queries.BYTE_BPE))
+    rows = list(enumerate(["one <|endoftext|> two", "a<|endoftext|><|endoftext|>", "<|endoftext|>", "  <|endoftext|>  x", "plain words here"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert 50256 in library.encode(rows[0][1], add_special_tokens=False).ids
+    assert sorted(tuple(r) for r in queries.op10_codes(spark, str(tmp_path)).collect()) == codes_of(rows, library)

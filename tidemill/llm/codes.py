@@ -78,14 +78,20 @@ def access(levels: list[Level], start: int, stop: int) -> np.ndarray:
 
 
 @cache
-def _tokenizer(path: str):
+def _tokenizer(path: str, specials: bool = False):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # a special token's string in a text is text
+    made.encode_special_tokens = not specials  # whether a special token's string in a text is text
     return made
 
 
+@cache
+def _added(path: str) -> list[str]:
+    """Strings of the tokenizer's added tokens."""
+    return [x.content for x in _tokenizer(path).get_added_tokens_decoder().values()]
+
+
 #: Parts of texts whose ids a worker keeps.
 CACHED_PARTS = 500_000
 _kept: dict[str, dict[str, bytes]] = {}
@@ -125,15 +131,18 @@ def _encoded(parts: list[str], tokenizer_path: str) -> list[bytes]:
     return [kept[x] if x in kept else packed[x] for x in parts]
 
 
-def token_ids(texts: pa.Array, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: pa.Array, tokenizer_path: str, specials: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and where each text's begin (one more than texts). Null: no ids.
 
     Byte-level pre-tokenizers let a lone space only begin a token, so a text can be cut before every space that stands
     between other characters; each distinct part goes through the tokenizer once. A text with white space next to white
-    space, or at its ends, goes through it whole.
+    space, or at its ends, or with the string of an added token goes through it whole. With `specials` the strings of
+    special tokens become these tokens, as is the library's default; else they are text.
     """
     texts = pc.fill_null(texts, "")
     hard = pc.match_substring_regex(texts, f"{_WHITE}{_WHITE}|^{_WHITE}|{_WHITE}$")
+    for added in _added(tokenizer_path):
+        hard = pc.or_(hard, pc.match_substring(texts, added))
     # the first part of a text has no space before it; a whole text stands in for its first part
     parts = pc.split_pattern(pc.if_else(hard, "", texts), " ")
     flat, offsets = parts.flatten().dictionary_encode(), parts.offsets.to_numpy().astype(np.int64)
@@ -147,7 +156,7 @@ def token_ids(texts: pa.Array, tokenizer_path: str) -> tuple[np.ndarray, np.ndar
     codes = place[codes]
     if whole := np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist():
         codes[offsets[whole]] = len(found) + np.arange(len(whole))
-        found += [array("I", x.ids).tobytes() for x in _tokenizer(tokenizer_path).encode_batch_fast(pc.take(texts, pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        found += [array("I", x.ids).tobytes() for x in _tokenizer(tokenizer_path, specials).encode_batch_fast(pc.take(texts, pa.array(whole)).to_pylist(), add_special_tokens=False)]
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     lengths = sizes[codes]
     ids = np.frombuffer(b"".join(found), "<u4")[words.ranges((np.cumsum(sizes) - sizes)[codes], lengths)]
@@ -157,12 +166,12 @@ def token_ids(texts: pa.Array, tokenizer_path: str) -> tuple[np.ndarray, np.ndar
 _SEGMENT = "part int, segment long, base long, n_ids long, doc_ids array<long>, borders binary, chunks array<binary>, bits array<binary>, ranks array<binary>"
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, specials: bool = False) -> None:
     """Encodes every whole text, appends end_id, and writes segments in ascending doc_id order (null first) under path.
 
     Part files follow each other in that order, and so do the segments of a part; base counts the ids of the part before
     a segment. Rows with equal doc_id are ordered by their text's hash; such rows with equal texts are equal. Null texts
-    are empty and have the end id alone.
+    are empty and have the end id alone. `specials` as in token_ids().
     """
     hashed = F.coalesce(F.xxhash64("text"), F.lit(0))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hashed.alias("tie")).repartitionByRange(store.partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -170,7 +179,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, base = TaskContext.get().partitionId(), 0
         for k, piece in enumerate(words.pieces(batches)):
-            ids, borders = token_ids(piece.column("text"), tokenizer_path)
+            ids, borders = token_ids(piece.column("text"), tokenizer_path, specials)
             ids = np.insert(ids, borders[1:], end_id)
             borders = borders + np.arange(len(borders))
             levels = pack(ids)

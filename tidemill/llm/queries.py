@@ -75,7 +75,7 @@ def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "codes")
-    codes.write(documents(spark, sf_dir), path, tokenizer_path(BYTE_BPE), END_ID)
+    codes.write(documents(spark, sf_dir), path, tokenizer_path(BYTE_BPE), END_ID, specials=True)
     return codes.read(spark.read.parquet(path))
 
 
