@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -86,3 +87,50 @@ def test_least_matches_keeps_what_belongs():
     for s, low, high in ((0.8, 0.999, 1.0), (0.2, 0.0, 0.001)):
         b = np.where(rng.random(a.shape) < s, a, a ^ 1)
         assert low <= len(dedup.trial(a, b, least)[0]) / len(a) <= high
+
+
+def test_repeated_ids_are_no_links(spark):
+    """Each row of a doc_id has its own set; what is near one of its texts is found whichever text that is."""
+    words = [f"w{i}" for i in range(40)]
+    a, near_b = " ".join(words), " ".join([*[f"v{i}" for i in range(40)], "more"])
+    b = " ".join(f"v{i}" for i in range(40))
+    for ids in ((1, 2), (2, 1)):
+        rows = [(ids[0], a), (ids[0], b), (ids[1], near_b), (9, a), (None, b), (None, b)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {(r.doc_id, r.n_shingles): r.component_id for r in dedup.near_duplicates(docs, 2).where("doc_id is not null").collect()}
+        assert found == {(ids[0], 39): found[ids[0], 39], (ids[1], 40): 1, (9, 39): ids[0]}
+        kept = sorted((str(r.doc_id), r.text) for r in dedup.one_of_each(docs, 2).collect())
+        assert kept == sorted([(str(ids[0]), a), ("1", b if ids[0] == 1 else near_b), ("None", b), ("None", b)])
+
+
+def test_one_of_each_keeps_one_row_of_a_component(spark, odd, empty):
+    left = dedup.one_of_each(odd, 2)
+    assert left.columns == odd.columns
+    of = Counter()
+    for i, s in {(r.doc_id, frozenset(shingles(r.text, 2))) for r in left.collect() if r.doc_id is not None and shingles(r.text, 2)}:
+        of[s] += 1
+    assert max(of.values()) == 1
+    want = {frozenset(shingles(r.text, 2)) for r in odd.collect()}
+    assert {frozenset(shingles(r.text, 2)) for r in left.collect()} == want  # here near texts are equal sets
+    twice = odd.union(odd)
+    assert left.where("doc_id is not null and length(text) > 20").count() == dedup.one_of_each(twice, 2).where("doc_id is not null and length(text) > 20").count()
+    assert dedup.one_of_each(empty, 2).count() == 0
+
+
+def test_large_buckets_meet_in_blocks(spark, sf_dir, monkeypatch):
+    """Blocks of a few members give what one task gives."""
+    monkeypatch.setattr(dedup, "BLOCK", 5)
+    monkeypatch.setattr(dedup, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(dedup, "SMALL", 2)
+    rng = random.Random(6)
+    rows, text = [], [f"w{rng.randrange(5000)}" for _ in range(60)]
+    for i in range(90):
+        if i % 3 == 0:
+            text = list(text)
+            text[rng.randrange(60)] = f"n{i}"
+        changed = list(text)
+        for _ in range(i % 4):
+            changed[rng.randrange(60)] = f"m{i}"
+        rows.append((1000 - i, " ".join(changed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(dedup.near_duplicates(docs, 2)) == brute(rows, 2, 80)

@@ -1,7 +1,7 @@
 """Tables that cut lineage: written once to the folder that all executors share, then reread.
 
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a temporary
-folder is made and set as the checkpoint folder of the session.
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset a temporary folder is made and set, but only
+for a local master: the executors of a cluster would not see it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def folder(spark: SparkSession) -> str:
     """The shared folder of this session."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not at and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="tidemill-")
         sc.setCheckpointDir(at)
@@ -38,7 +40,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Removes what table() wrote, when nothing reads it any more."""
+    _remove(made.sparkSession, made._stored_at)
+    _written.remove((made.sparkSession, made._stored_at))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -46,9 +56,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         with contextlib.suppress(Exception):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
