@@ -5,12 +5,14 @@ history is left without mass to back off with), else a(h) P(w), with a(h) such t
 P(w) = d'(c) c / (N + 1) for words seen c times, the rest of the mass for all unknown words together. d and d' are Katz's
 Good-Turing discounts of counts up to MOST_DISCOUNTED. A history that training lacks backs off wholly.
 
-Texts are tokenized once, in pieces of some megabytes, which are written to the shared folder. A piece asks the partitions of the count tables for its distinct words
-and bigrams (sorted 64-bit keys, packed) and tells them its training counts in the same message; each partition adds up
-and answers in the order asked, so every token is looked up though only distinct keys travel. Partitions are ranges of
-mixed keys: a frequent history is spread over them by its successors. A second exchange of the same kind adds up what
-each history's seen successors take, and returns the backoff weights that held-out texts need. All else a text's score
-depends on, the discounts of counts, is linear in the text's numbers of tokens by count and is put in at the end.
+Texts are tokenized once, in pieces of some megabytes, which are written to the shared folder. Three tables follow, each
+written there in key ranges, whose number comes from the number of keys. (1) A piece tells the ranges its distinct words and
+bigrams (sorted 64-bit keys, packed) with its training counts; each range adds up, keeps the sums in the count table and
+answers each piece in the order asked, so every token is looked up though only distinct keys travel. Ranges are of mixed
+keys: a frequent history is spread over them by its successors. (2) What each history's seen successors take is added up
+by range into the table of backoff weights, which answers in the same way. (3) The evaluation of a token recurses from its
+bigram to its word to the unknown words. A text's terms are summed by the class of count that they depend on, and the
+discounts, known only when all counts are, are put in at the end.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ MOST_DISCOUNTED = 5
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _K = MOST_DISCOUNTED
+#: Keys told to a range by all pieces together, about, and bytes of rows that go into Python at once.
+RANGE_KEYS, BATCH_BYTES = 2_000_000, 8 << 20
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -54,7 +58,7 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each partition's keys begin among ascending keys, and the end."""
-    return np.searchsorted((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24), np.arange(parts + 1))
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
 def _bincount(x: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
@@ -115,7 +119,8 @@ def _ask(pieces: DataFrame, parts: int) -> DataFrame:
 
 
 def _add_up(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
-    """Total counts in the order of each message, and which keys this message is the first to have."""
+    """The range's rows of the count table (piece null), and for each message the total counts in its order, and which keys it is
+    the first to have."""
     asked = asked.sort_values("piece", kind="stable")
     keys = [unpack_keys(x) for x in asked["keys"]]
     counts = np.concatenate([unpack(x, np.uint32) for x in asked["counts"]]).astype(float)
@@ -124,7 +129,10 @@ def _add_up(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     owned = np.zeros(len(at), bool)
     owned[first[totals > 0]] = True
     cuts = np.cumsum([len(x) for x in keys])[:-1]
-    return pd.DataFrame({"piece": asked["piece"], "grams": key[0], "part": key[1], "counts": [pack(x) for x in np.split(totals[at], cuts)], "owned": [np.packbits(x).tobytes() for x in np.split(owned, cuts)]})
+    answers = pd.DataFrame({"kind": "answer", "grams": key[0], "part": key[1], "piece": asked["piece"].astype("Int64"), "keys": None, "counts": [pack(x) for x in np.split(totals[at], cuts)], "owned": [np.packbits(x).tobytes() for x in np.split(owned, cuts)]})
+    seen = totals > 0
+    table = pd.DataFrame({"kind": ["count"], "grams": key[0], "part": key[1], "piece": pd.array([None], "Int64"), "keys": [pack_keys(distinct[seen])], "counts": [pack(totals[seen])], "owned": None})
+    return pd.concat((answers, table), ignore_index=True)
 
 
 def _payload(docs: DataFrame) -> DataFrame:
@@ -134,9 +142,9 @@ def _payload(docs: DataFrame) -> DataFrame:
             train = piece.column("train").to_numpy(zero_copy_only=False)
             x = Piece.of(piece.column("text"), train)
             codes = pack(x.codes.astype(np.uint32))
-            yield pa.RecordBatch.from_pydict({"piece": [number], "doc_ids": pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())), "train": [train.tobytes()], "vocabulary": [pack_keys(x.vocabulary)], "codes": [codes], "borders": [x.borders.astype("<i8").tobytes()]})
+            yield pa.RecordBatch.from_pydict({"piece": [number], "doc_ids": pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())), "train": [train.tobytes()], "vocabulary": [pack_keys(x.vocabulary)], "codes": [codes], "borders": [x.borders.astype("<i8").tobytes()], "n_keys": [len(x.bigrams)]})
 
-    return docs.select("doc_id", "text", "train").mapInArrow(keep, "piece long, doc_ids array<long>, train binary, vocabulary binary, codes binary, borders binary")
+    return docs.select("doc_id", "text", "train").mapInArrow(keep, "piece long, doc_ids array<long>, train binary, vocabulary binary, codes binary, borders binary, n_keys long")
 
 
 #: Columns of a text's linear statistics: known logarithms, tokens by class of bigram count, by class of the count backed off to.
@@ -224,13 +232,16 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     smoothing with one kind for all unknown words; score is the Katz model's log10 probability. Equal texts get equal
     scores. Without training rows every token has probability 1. Other columns are not read.
     """
-    parts = store.partitions(docs.sparkSession)
+    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("train"))
-    pieces = store.table(_payload(own), "katz-texts")  # numbered and cut once: batches of other columns end at other rows
-    answers = _ask(pieces, parts).groupBy("grams", "part").applyInPandas(_add_up, "piece long, grams int, part int, counts binary, owned binary")
-    answers = answers.select(*[F.col(c).alias(f"y_{c}") for c in answers.columns])
-    looked = pieces.groupBy("piece").cogroup(answers.groupBy("y_piece")).applyInPandas(_look_up(parts), _LOOKED)
-    looked = store.table(looked, "katz-pieces")
+    with store.small_batches(spark, BATCH_BYTES):
+        pieces = store.table(_payload(own), "katz-texts")  # numbered and cut once: batches of other columns end at other rows
+        parts = max(1, -(-(pieces.agg(F.sum("n_keys")).first()[0] or 0) // RANGE_KEYS))
+        counted = _ask(pieces, parts).groupBy("grams", "part").applyInPandas(_add_up, "kind string, grams int, part int, piece long, keys binary, counts binary, owned binary")
+        counted = store.table(counted, "katz-counts", ("kind", "grams"))
+        answers = counted.where("kind = 'answer'").select(*[F.col(c).alias(f"y_{c}") for c in ("piece", "grams", "part", "counts", "owned")])
+        looked = pieces.drop("n_keys").groupBy("piece").cogroup(answers.groupBy("y_piece")).applyInPandas(_look_up(parts), _LOOKED)
+        looked = store.table(looked, "katz-pieces")
     add = lambda c: [F.sum(F.col(c)[i]) for i in range(_K + 4)]
     totals = [int(x or 0) for x in looked.agg(*add("ones"), *add("twos")).first()]
     ones, twos = totals[: _K + 4], totals[_K + 4 :]
@@ -260,10 +271,14 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
             place = np.minimum(np.searchsorted(names, wanted), max(0, len(names) - 1))
             # a history of this model has at least one seen successor, its text's next word or end
             out.append(alpha[place].astype("<f8").tobytes())
-        return pd.DataFrame({"y_piece": told["piece"], "y_part": key[0], "alpha": out})
+        answers = pd.DataFrame({"kind": "answer", "part": key[0], "piece": told["piece"].astype("Int64"), "histories": None, "alpha": out})
+        table = pd.DataFrame({"kind": ["weight"], "part": key[0], "piece": pd.array([None], "Int64"), "histories": [pack_keys(names)], "alpha": [alpha.astype("<f8").tobytes()]})
+        return pd.concat((answers, table), ignore_index=True)
 
     packed = looked.select("piece", F.explode(F.arrays_zip("parts", "sums", "wants")).alias("m")).select("piece", "m.*")
-    backoff = packed.groupBy("parts").applyInPandas(weigh, "y_piece long, y_part int, alpha binary")
+    with store.small_batches(spark, BATCH_BYTES):
+        weights = store.table(packed.groupBy("parts").applyInPandas(weigh, "kind string, part int, piece long, histories binary, alpha binary"), "katz-weights", ("kind",))
+    backoff = weights.where("kind = 'answer'").select(F.col("piece").alias("y_piece"), F.col("part").alias("y_part"), "alpha")
 
     def finish(key: tuple, held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         r = held.iloc[0]

@@ -11,6 +11,8 @@ import contextlib
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -35,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns a DataFrame that reads it."""
+def table(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes df as Parquet in the shared folder, partitioned by the columns `by`, and returns a DataFrame that reads it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     made = spark.read.schema(df.schema).parquet(path)
     made._stored_at = path
     return made
@@ -51,6 +53,18 @@ def discard(made: DataFrame) -> None:
     _written.remove((made.sparkSession, made._stored_at))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Tables that are written inside get batches of about `size` bytes at most into Python, for rows of some megabytes each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sets with the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
