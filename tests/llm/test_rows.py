@@ -4,6 +4,7 @@ import re
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +72,30 @@ def test_phrases_are_longest_matches():
         while at < len(text):
             size = next((n for n in range(len(text) - at, 0, -1) if text[at : at + n] in reference), 1)
             count, at = count + 1, at + size
-        assert language.Automaton(reference).phrases(text) == count
+        assert language.Parsers([b"xyz", reference.encode()]).phrases(pa.array([text, "b", text]))[:, 1].tolist() == [count, 1 if "b" in reference else 1, count]
+
+
+def test_long_and_many_texts_are_parsed_alike():
+    rng = np.random.default_rng(6)
+    parsers = language.Parsers([b" one two three ", " déjà vu one ".encode()])
+    texts = ["".join(rng.choice(list("one twodré "), n)) for n in rng.integers(0, 90, 200)]
+    together = parsers.phrases(pa.array(texts))
+    assert (together == np.concatenate([parsers.phrases(pa.array([t])) for t in texts])).all()
+    assert (parsers.phrases(pa.array(texts).slice(7, 50)) == together[7:57]).all()
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(0, "½ ² ③"), (1, "12 + 3_4"), (2, "½ cup"), (3, None), (4, "ÉÀ")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, `my-col` int")
+    found = {r.doc_id: (r.lang_pred, r.score, r["my-col"]) for r in language.identify(docs, {"xx": " cup "}, ("my-col",)).collect()}
+    assert found == {0: ("und", 0.0, 1), 1: ("und", 0.0, 1), 2: ("xx", 1.0, 1), 3: ("und", 0.0, 1), 4: ("xx", 1.0, 1)}
+
+
+def test_references_are_whole_texts(spark):
+    docs = spark.createDataFrame([(i, f"abc {'x' * (10 * i)}", "l1") for i in range(1, 9)] + [(20, "Ä long one " * 50, "l2"), (21, "1 2", "l3"), (22, None, "l1")], "doc_id long, text string, lang string")
+    found = language.reference(docs, chars=300, rows=5)
+    assert set(found) == {"l1", "l2"} and found["l2"].count("ä long one") == 50
+    assert {len(p) for p in found["l1"].split() if p.startswith("x")} <= {10 * i for i in range(1, 9)} and len(found["l1"]) <= 102
 
 
 def test_language(spark, odd, empty):

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemill.llm import words
 
 SPACE = "▁"
-#: Words whose ids a worker keeps, and characters that are indexed at once.
-CACHED_WORDS, INDEXED_CHARS = 400_000, 1_500_000
+#: Words whose ids a task keeps, characters that are indexed at once, and bytes of text handled at once.
+CACHED_WORDS, INDEXED_CHARS, TEXT_BYTES = 100_000, 500_000, 2 << 20
 _NONE, _START, _UNKNOWN = -9, -1, -2
 
 
@@ -120,7 +121,7 @@ def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         following = np.concatenate((rank[reach:], np.zeros(min(reach, len(rank)), np.int64)))
         rank = np.unique(rank * (rank.max() + 1 if len(rank) else 1) + following, return_inverse=True)[1]
         reach *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank, kind="stable").astype(np.int32)
 
 
 def _occurrences(text: np.ndarray, suffixes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +151,7 @@ def _matched(units: list[str], vocab: Vocabulary) -> list[np.ndarray]:
     size = np.fromiter(map(len, units), np.int64, len(units))
     start = np.cumsum(size + 1) - size - 1
     place = np.minimum(np.searchsorted(vocab.alphabet, joined), len(vocab.alphabet) - 1)
-    text = np.where(vocab.alphabet[place] == joined, place + 1, 0)
+    text = np.where(vocab.alphabet[place] == joined, place + 1, 0).astype(np.int32)
     inside = np.ones(len(text), bool)
     inside[start[1:] - 1] = False
     text[~inside] = 0
@@ -158,23 +159,22 @@ def _matched(units: list[str], vocab: Vocabulary) -> list[np.ndarray]:
     low, high = _occurrences(text, suffixes, vocab)
     count = high - low
     at = suffixes[words.ranges(low, count)]
-    piece, length = np.repeat(vocab.ids, count), np.repeat(vocab.lengths, count)
-    unknown = np.flatnonzero((text == 0) & inside)
-    at, piece, length = np.concatenate((at, unknown)), np.concatenate((piece, np.full(len(unknown), _UNKNOWN))), np.concatenate((length, np.ones(len(unknown), np.int64)))
-    unit = np.repeat(np.arange(len(units)), size + 1)[: len(text)]
-    end = at - start[unit[at]] + length
-    order = np.argsort(end.astype(np.int32), kind="stable")  # by where the edge ends in its unit
+    piece, length = np.repeat(vocab.ids.astype(np.int32), count), np.repeat(vocab.lengths.astype(np.int32), count)
+    unknown = np.flatnonzero((text == 0) & inside).astype(np.int32)
+    at, piece, length = np.concatenate((at, unknown)), np.concatenate((piece, np.full(len(unknown), _UNKNOWN, np.int32))), np.concatenate((length, np.ones(len(unknown), np.int32)))
+    unit = np.repeat(np.arange(len(units), dtype=np.int32), size + 1)[: len(text)]
+    end = at - start.astype(np.int32)[unit[at]] + length
+    order = np.argsort(end, kind="stable")  # by where the edge ends in its unit
     at, piece, length, end = at[order], piece[order], length[order], end[order]
-    last = np.full(len(text) + 1, _NONE)  # the last piece of the prefix that ends before a position
+    last = np.full(len(text) + 1, _NONE, np.int64)  # the last piece of the prefix that ends before a position
     last[start] = _START
     cuts = np.searchsorted(end, np.arange(1, int(size.max(initial=0)) + 2))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         before, own = last[at[a:b]], piece[a:b]
         good = (before != _NONE) & ((before < 0) | (own < 0))
         test = np.flatnonzero((before >= 0) & (own >= 0))
-        good[test] = vocab.adjacent(before[test], own[test])
-        to = at[a:b][good] + length[a:b][good]
-        last[to] = own[good]
+        good[test] = vocab.adjacent(before[test], own[test].astype(np.int64))
+        last[at[a:b][good] + length[a:b][good]] = own[good]
     # a unit's first position is also the end of the separator before it; its own last piece stands behind its end
     spans = np.ones(len(vocab.pieces) + 1, np.int64)
     spans[vocab.ids] = vocab.lengths
@@ -196,12 +196,11 @@ def _matched(units: list[str], vocab: Vocabulary) -> list[np.ndarray]:
     return np.split(ids, np.cumsum(np.bincount(of, minlength=len(units)))[:-1])
 
 
-_kept: dict[str, dict[str, bytes]] = {}
+def encode_texts(texts: pa.Array, path: str, kept: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts and where each text's begin (one more than texts). Null and empty texts have none.
 
-
-def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts and where each text's begin (one more than texts). Null and empty texts have none."""
-    vocab, kept = vocabulary(path), _kept.setdefault(path, {})
+    kept: ids of up to CACHED_WORDS words that earlier calls have found, which this one adds to."""
+    vocab, kept = vocabulary(path), {} if kept is None else kept
     texts = pc.fill_null(texts, "")
     hard = pc.match_substring_regex(texts, f"[ {SPACE}][ {SPACE}]|^[ {SPACE}]|[ {SPACE}]$|{SPACE}")
     parts = pc.split_pattern(pc.if_else(hard, "", texts), " ")
@@ -229,9 +228,8 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
             batch = new[start : k + 1]
             fresh |= {u: x.astype("<u4").tobytes() for u, x in zip(batch, _matched(batch, vocab), strict=True)}
             start, size = k + 1, 0
-    if len(kept) + len(fresh) <= CACHED_WORDS:
-        kept |= fresh
     found = [kept[units[i]] if units[i] in kept else fresh[units[i]] for i in used]
+    kept.update(islice(fresh.items(), max(0, CACHED_WORDS - len(kept))))
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     place = np.zeros(len(units), np.int64)
     place[used] = np.arange(len(used))
@@ -266,8 +264,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array) of every row of docs: whole texts, null and empty ones without ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in words.pieces(batches):
-            ids, borders = encode_texts(piece.column("text"), path)
+        kept: dict[str, bytes] = {}
+        for piece in words.pieces(batches, most=TEXT_BYTES):
+            ids, borders = encode_texts(piece.column("text"), path, kept)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -291,8 +290,9 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     gives the text, with every U+2581 read as a space) of every row of docs; ids are encoded and decoded in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in words.pieces(batches):
-            ids, borders = encode_texts(piece.column("text"), path)
+        kept: dict[str, bytes] = {}
+        for piece in words.pieces(batches, most=TEXT_BYTES):
+            ids, borders = encode_texts(piece.column("text"), path, kept)
             data, texts = ids.astype("<u4").tobytes(), pc.fill_null(piece.column("text"), "").to_pylist()
             back = decode_ids(ids, borders, path)
             sums = [crc32(data[4 * a : 4 * b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]

@@ -12,6 +12,7 @@ left-out votes, are the score; the neighbours are its evidence.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice, repeat
@@ -22,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tidemill.llm import words
-from tidemill.llm.language import LETTERS
 
 #: Labelled rows that are drawn (by the hash of doc_id) at most.
 SAMPLE_ROWS = 12_000
@@ -39,6 +40,7 @@ MARGIN = 1e-4
 #: A text with this score or more counts as toxic.
 CUT = 0.7
 PREFIXES = (4, 5)
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def terms(token: str) -> list[str]:
@@ -273,8 +275,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
             yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array((scores >= CUT).astype(np.int32)), pa.array(evidence, kind)], ["doc_id", *keep, "score", "predicted", "evidence"])
 
     source = docs.select("doc_id", *keep, *[c for c in ("text",) if c not in keep])
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
-    return source.mapInArrow(predict, f"{kinds}, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>")
+    one = StructType([StructField("doc_id", LongType()), StructField("cosine", DoubleType()), StructField("label", IntegerType())])
+    added = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("evidence", ArrayType(one))]
+    return source.mapInArrow(predict, StructType([*[docs.schema[c] for c in ("doc_id", *keep)], *added]))
 
 
 def predict(docs: DataFrame, labels: DataFrame, learn: Column | str, keep: tuple[str, ...] = ()) -> DataFrame:
