@@ -19,31 +19,45 @@ def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not predict as toxic."""
+    """Documents that the toxicity operator does not predict as toxic.
+
+    Null and empty texts have the score of no votes, the base rate, and stay; equal texts share their fate, and every repeated
+    row is judged by its own text. Without labels of both kinds all stay. An empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs.where(queries.LEARN), labels.where(queries.LEARN))
     return _unpacked(toxicity.score(_packed(docs), model, ("text", "__row")).where("predicted = 0"), docs.columns)
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents for which the language operator finds a language."""
+    """Documents for which the language operator finds a language.
+
+    Texts that are null or hold no letter go, with every repeat of them; all others stay. Without labelled languages all go.
+    An empty table gives an empty one.
+    """
     found = language.identify(_packed(docs), language.reference(docs.where(queries.LEARN)), ("text", "__row"))
     return _unpacked(found.where(F.col("lang_pred") != language.UNDETERMINED), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = dedup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    The row of the least doc_id stays, one of equal rows; rows that share a doc_id are judged by their own texts. Texts
+    without words, null ones too, and rows with a null doc_id are near duplicates of nothing and stay.
+    """
+    return _unpacked(dedup.one_of_each(_packed(docs), shingle=5, percent=80), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Null and empty texts have no words and are not taken; a null source is a source; each repeated row is a row of its own.
+    """
     return mixing.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digest of each document's SentencePiece ids."""
+    """Digest of each document's SentencePiece ids: a row for each row of docs, with no ids for null and empty texts."""
     return pieces.digest(docs, queries.tokenizer_path(queries.PIECE_BPE))
 
 
