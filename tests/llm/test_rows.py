@@ -238,3 +238,16 @@ def test_pipeline_stages(spark, sf_dir):
 def test_folds(spark, sf_dir):
     for r in queries.documents(spark, sf_dir).select("doc_id", queries.remainder(3).alias("a"), queries.remainder(7).alias("b")).collect():
         assert (r.a, r.b) == (fold(r.doc_id, 3), fold(r.doc_id, 7))
+
+
+def test_pipeline_stages_survive_odd_rows(spark, odd, empty):
+    sf_dir = "/root/testdata/sf0.01"
+    steps = dict(corpus_pipeline.STAGES)
+    docs = odd.withColumn("my-col", F.lit(1)).withColumn("text", F.when(F.col("size") == 3, F.lit("so you are an idiot and a moron , scum")).otherwise(F.col("text")))
+    for name in ("toxicity", "language", "near_duplicates", "mixing"):
+        assert steps[name](spark, docs, sf_dir).columns == docs.columns
+        assert steps[name](spark, empty, sf_dir).count() == 0
+    sizes = {name: {r["size"] for r in steps[name](spark, docs, sf_dir).collect()} for name in ("toxicity", "near_duplicates")}
+    assert 3 not in sizes["toxicity"] and {0, 1, 2, 4} <= sizes["toxicity"]
+    assert {0, 1, 2} <= sizes["near_duplicates"] and len({9, 10, 11} & sizes["near_duplicates"]) == 1 and len({7, 8} & sizes["near_duplicates"]) == 1
+    assert steps["sentencepiece"](spark, docs, sf_dir).count() == docs.count()
