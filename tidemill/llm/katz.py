@@ -33,8 +33,8 @@ MOST_DISCOUNTED = 5
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _K = MOST_DISCOUNTED
-#: Keys told to a range by all pieces together, about, and bytes of rows that go into Python at once.
-RANGE_KEYS, BATCH_BYTES = 2_000_000, 8 << 20
+#: Bytes of text in a piece, keys told to a range by all pieces together, about, and bytes of rows that go into Python at once.
+PIECE_BYTES, RANGE_KEYS, BATCH_BYTES = 3 << 20, 1_000_000, 8 << 20
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -137,7 +137,7 @@ def _add_up(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
 
 def _payload(docs: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, piece in enumerate(words.pieces(batches)):
+        for k, piece in enumerate(words.pieces(batches, most=PIECE_BYTES)):
             number = TaskContext.get().partitionId() << 24 | k
             train = piece.column("train").to_numpy(zero_copy_only=False)
             x = Piece.of(piece.column("text"), train)
