@@ -65,13 +65,13 @@ class Rows(NamedTuple):
 
 @dataclass
 class Model:
-    """vocabulary: term to column; idf: the columns' factors; weights: the examples' (unit length), as Rows or dense;
+    """vocabulary: the columns' terms; idf: the columns' factors; weights: the examples' (unit length), as Rows or dense;
     their ids and labels; base: share of positive rows; steps: votes and scores.
 
     Columns of many examples (at most OFTEN) are the dense rows `often`, found by `place`; the others' postings, (example,
     weight), are lists at starts[c] to starts[c + 1]. peaks: the dense rows' greatest weight in each block of BLOCK."""
 
-    vocabulary: dict[str, int]
+    vocabulary: pa.Array
     idf: np.ndarray
     weights: Rows | np.ndarray
     ids: np.ndarray
@@ -187,21 +187,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for piece in words.pieces(batches):
             found, doc, term = _incidence(piece.column("text"), None)
             positive = piece.column("label").to_numpy(zero_copy_only=False)[doc] == 1
-            yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.string()), "yes": np.bincount(term[positive], minlength=len(found)), "no": np.bincount(term[~positive], minlength=len(found))})
+            yield pa.RecordBatch.from_pydict({"term": found, "yes": np.bincount(term[positive], minlength=len(found)), "no": np.bincount(term[~positive], minlength=len(found))})
 
     sizes = rows.groupBy("label").count().toPandas().set_index("label")["count"]
     n_yes, n_no = int(sizes.get(1, 0)), int(sizes.drop(1, errors="ignore").sum())
     total = n_yes + n_no
     if not n_yes or not n_no:
-        return Model({}, np.zeros(0), np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0, bool), n_yes / total if total else 0.0)
+        return Model(pa.array([], pa.string()), np.zeros(0), np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0, bool), n_yes / total if total else 0.0)
     counts = rows.mapInArrow(tally, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     yes, no = F.col("yes").cast("double"), F.col("no").cast("double")
     share = (yes + no) / total
     ratio = 2 * (part(yes, n_yes * share) + part(no, n_no * share) + part(n_yes - yes, n_yes * (1 - share)) + part(n_no - no, n_no * (1 - share)))
-    known = counts.select("term", (yes + no).alias("seen"), F.greatest(F.lit(0.0), ratio).alias("ratio")).toPandas().sort_values("term", kind="stable")
-    vocabulary = {t: i for i, t in enumerate(known["term"])}
-    idf = (np.log((total + 1) / (known["seen"].to_numpy() + 1)) + 1) * np.sqrt(1 + known["ratio"].to_numpy())
+    known = counts.select("term", (yes + no).alias("seen"), F.greatest(F.lit(0.0), ratio).alias("ratio")).toArrow().sort_by("term")
+    vocabulary = known.column("term").combine_chunks()
+    idf = (np.log((total + 1) / (known.column("seen").to_numpy() + 1)) + 1) * np.sqrt(1 + known.column("ratio").to_numpy())
+    del known
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,43 +210,52 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             columns, times = _columns(piece.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array(columns, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "label", "columns", "times"])
 
-    held = rows.mapInArrow(vectors, "doc_id long, label int, columns array<int>, times array<int>").toPandas().sort_values("doc_id", kind="stable")
+    held = rows.mapInArrow(vectors, "doc_id long, label int, columns array<int>, times array<int>").toArrow()
     shared.unpersist()
-    sizes = held["columns"].map(len).to_numpy()
-    weighed = [weigh(t, idf[c]) for c, t in zip(held["columns"], held["times"], strict=True) if len(c)]
-    columns = np.concatenate([np.zeros(0, np.int32), *held["columns"]]).astype(np.int32)
-    weights = Rows(np.concatenate(([0], np.cumsum(sizes))), columns, np.concatenate([np.zeros(0), *weighed]), len(vocabulary))
+    ids, labelled, lists, times = (held.column(c).combine_chunks() for c in ("doc_id", "label", "columns", "times"))
+    starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    columns, times = lists.flatten().to_numpy(), times.flatten().to_numpy()
+    borders = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+    weighed = np.concatenate([np.zeros(0), *[weigh(times[a:b], idf[columns[a:b]]) for a, b in borders if b > a]])
     # alike examples share blocks
-    tops = np.array([c[np.argmax(weights.weights[a:b])] if b > a else len(vocabulary) for c, a, b in zip(held["columns"], weights.starts[:-1], weights.starts[1:], strict=True)], np.int64)
-    order = np.argsort(tops, kind="stable")
-    moved = words.ranges(weights.starts[:-1][order], sizes[order])
-    weights = Rows(np.concatenate(([0], np.cumsum(sizes[order]))), columns[moved], weights.weights[moved], len(vocabulary))
-    model = Model(vocabulary, idf, weights, held["doc_id"].to_numpy()[order], held["label"].to_numpy()[order] == 1, n_yes / total)
+    tops = np.array([columns[a + np.argmax(weighed[a:b])] if b > a else len(vocabulary) for a, b in borders], np.int64)
+    order = np.lexsort((ids.to_numpy(), tops))
+    sizes = np.diff(starts)[order]
+    moved = words.ranges(starts[:-1][order], sizes)
+    weights = Rows(np.concatenate(([0], np.cumsum(sizes))), columns[moved], weighed[moved], len(vocabulary))
+    model = Model(vocabulary, idf, weights, ids.to_numpy()[order], labelled.to_numpy()[order] == 1, n_yes / total)
+    del held, lists, times, columns, weighed, moved
     own = [(weights.columns[a:b], weights.weights[a:b]) for a, b in zip(weights.starts[:-1], weights.starts[1:], strict=True)]
     votes = [model.vote(*x) for x in model.all_nearest(own, NEIGHBOURS, range(len(own)))]
     model.steps = monotone(np.array(votes), model.positive)
     return model
 
 
-def _incidence(text: pa.Array, vocabulary: dict[str, int] | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _incidence(text: pa.Array, vocabulary: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Terms, and each (text, term) that occurs, once. With a vocabulary: text and column of each occurrence of its terms."""
     split = words.split(pc.utf8_lower(pc.fill_null(text, "")))
-    known: dict[str, int] = {} if vocabulary is None else vocabulary
-    of, ends = [], [0]
+    spelled, ends = [], [0]
     for token in split.vocabulary.to_pylist():
-        of += [known.setdefault(t, len(known)) for t in terms(token)] if vocabulary is None else [known[t] for t in terms(token) if t in known]
-        ends.append(len(of))
-    ends, of = np.array(ends), np.array(of, np.int64)
+        spelled += terms(token)
+        ends.append(len(spelled))
+    ends, spelled = np.array(ends), pa.array(spelled, pa.string())
+    if vocabulary is None:
+        coded = spelled.dictionary_encode()
+        known, of = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    else:
+        known, found = vocabulary, pc.index_in(spelled, value_set=vocabulary)
+        of, good = pc.fill_null(found, 0).to_numpy().astype(np.int64), pc.is_valid(found).to_numpy(zero_copy_only=False)
+        of, ends = of[good], np.concatenate(([0], np.cumsum(good)))[ends]
     lengths = np.diff(ends)[split.codes]
     term = of[words.ranges(ends[:-1][split.codes], lengths)]
     doc = np.repeat(np.repeat(np.arange(len(text)), np.diff(split.offsets)), lengths)
     if vocabulary is None:
         pairs = np.unique(doc * max(1, len(known)) + term)
         doc, term = pairs // max(1, len(known)), pairs % max(1, len(known))
-    return list(known), doc, term
+    return known, doc, term
 
 
-def _columns(text: pa.Array, vocabulary: dict[str, int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _columns(text: pa.Array, vocabulary: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of each text: its columns, ascending, and how often each occurs."""
     _, doc, term = _incidence(text, vocabulary)
     pairs, times = np.unique(doc * max(1, len(vocabulary)) + term, return_counts=True)
