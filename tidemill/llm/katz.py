@@ -34,17 +34,19 @@ _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _K = MOST_DISCOUNTED
 #: Bytes of text in a piece, keys told to a range by all pieces together, about, and bytes of rows that go into Python at once.
-PIECE_BYTES, RANGE_KEYS, BATCH_BYTES = 3 << 20, 1_000_000, 8 << 20
+PIECE_BYTES, RANGE_KEYS, BATCH_BYTES = 1 << 20, 1_000_000, 8 << 20
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes; zero planes then compress to nothing."""
-    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+    """Unsigned integers by byte planes, compressed: rows stay small in Spark, too; zero planes compress to nothing."""
+    planes = np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    return len(x).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(np.dtype(kind).newbyteorder("<")).ravel().astype(kind)
+    size, n = np.dtype(kind).itemsize, int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(np.dtype(kind).newbyteorder("<")).ravel().astype(kind)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -149,7 +151,9 @@ def _payload(docs: DataFrame) -> DataFrame:
 
 #: Columns of a text's linear statistics: known logarithms, tokens by class of bigram count, by class of the count backed off to.
 _STATS = ["base", "fixed", *[f"m{c}" for c in range(1, _K + 1)], "backed", *[f"u{c}" for c in range(_K + 1)]]
-_LOOKED = "piece long, n_docs long, doc_ids array<long>, train binary, n_tokens binary, n_known binary, stats binary, asked_docs binary, asked binary, ones array<long>, twos array<long>, parts array<int>, sums array<binary>, wants array<binary>"
+_TEXT = "n_docs long, doc_ids array<long>, train binary, n_tokens binary, n_known binary, stats binary, asked_docs binary, asked binary, ones array<long>, twos array<long>"
+#: Rows of kind text, and those that ask a range of histories.
+_LOOKED = f"kind string, piece long, {_TEXT}, part int, names binary, sums binary, wants binary"
 
 
 def _classes(counts: np.ndarray) -> np.ndarray:
@@ -200,13 +204,15 @@ def _look_up(parts: int):
         wanted, asked = np.unique(names[x.histories[x.bigram[need]]], return_inverse=True)
         a, b = _cuts(names[some], parts), _cuts(wanted, parts)
         used = np.flatnonzero(np.diff(a) + np.diff(b))
-        lists = {"parts": used.tolist(), "sums": [pack_keys(names[some][a[p] : a[p + 1]]) + pack(sums[some][a[p] : a[p + 1]].T.ravel()) for p in used], "wants": [pack_keys(wanted[b[p] : b[p + 1]]) for p in used]}
+        k = len(used)
+        asks = {"kind": ["ask"] * k, "piece": [key[0]] * k, "part": used.tolist(), "names": [pack_keys(names[some][a[p] : a[p + 1]]) for p in used], "sums": [pack(sums[some][a[p] : a[p + 1]].T.ravel()) for p in used], "wants": [pack_keys(wanted[b[p] : b[p + 1]]) for p in used]}
         of_counts = lambda c, own: np.append(_bincount(np.minimum(c[own], _K + 2), _K + 3), c[own].sum()).astype(int).tolist()
         row = {
-            "piece": key[0], "n_docs": n, "doc_ids": r["doc_ids"], "train": r["train"], "n_tokens": np.diff(x.borders).astype("<i8").tobytes(), "n_known": _bincount(x.doc[word > 0], n).astype("<i8").tobytes(), "stats": stats.tobytes(),
-            "asked_docs": pack(x.doc[need].astype(np.uint32)), "asked": pack(asked.astype(np.uint32)), "ones": of_counts(c1, own1), "twos": of_counts(c2, own2), **lists,
+            "kind": "text", "piece": key[0], "n_docs": n, "doc_ids": r["doc_ids"], "train": r["train"], "n_tokens": np.diff(x.borders).astype("<i8").tobytes(), "n_known": _bincount(x.doc[word > 0], n).astype("<i8").tobytes(), "stats": stats.tobytes(),
+            "asked_docs": pack(x.doc[need].astype(np.uint32)), "asked": pack(asked.astype(np.uint32)), "ones": of_counts(c1, own1), "twos": of_counts(c2, own2),
         }
-        return pd.DataFrame({c: [v] for c, v in row.items()})
+        columns = [c.split(" ")[0] for c in _LOOKED.split(", ")]
+        return pd.DataFrame({c: pd.Series([row.get(c), *asks.get(c, [None] * k)], dtype="Int64" if c in ("n_docs", "part") else None) for c in columns})
 
     return look_up
 
@@ -241,7 +247,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         counted = store.table(counted, "katz-counts", ("kind", "grams"))
         answers = counted.where("kind = 'answer'").select(*[F.col(c).alias(f"y_{c}") for c in ("piece", "grams", "part", "counts", "owned")])
         looked = pieces.drop("n_keys").groupBy("piece").cogroup(answers.groupBy("y_piece")).applyInPandas(_look_up(parts), _LOOKED)
-        looked = store.table(looked, "katz-pieces")
+        looked = store.table(looked, "katz-pieces", ("kind",))
+        asks, looked = looked.where("kind = 'ask'").select("piece", "part", "names", "sums", "wants"), looked.where("kind = 'text'").select("piece", *[c.split(" ")[0] for c in _TEXT.split(", ")])
     add = lambda c: [F.sum(F.col(c)[i]) for i in range(_K + 4)]
     totals = [int(x or 0) for x in looked.agg(*add("ones"), *add("twos")).first()]
     ones, twos = totals[: _K + 4], totals[_K + 4 :]
@@ -253,10 +260,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     def weigh(key: tuple, told: pd.DataFrame) -> pd.DataFrame:
         told = told.sort_values("piece", kind="stable")
         width = 2 * _K + 3
-        parts_of = []
-        for data in told["sums"]:
-            k = len(data) // (8 * (1 + width))
-            parts_of.append((unpack_keys(data[: 8 * k]), unpack(data[8 * k :], np.uint64).reshape(width, k)))
+        parts_of = [(unpack_keys(k), unpack(s, np.uint64).reshape(width, -1)) for k, s in zip(told["names"], told["sums"], strict=True)]
         names, at = np.unique(np.concatenate([k for k, _ in parts_of]), return_inverse=True)
         all_sums = np.concatenate([s for _, s in parts_of], axis=1).astype(float)
         sums = np.stack([_bincount(at, len(names), s) for s in all_sums[:-1]]) if len(names) else np.zeros((width - 1, 0))
@@ -275,9 +279,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         table = pd.DataFrame({"kind": ["weight"], "part": key[0], "piece": pd.array([None], "Int64"), "histories": [pack_keys(names)], "alpha": [alpha.astype("<f8").tobytes()]})
         return pd.concat((answers, table), ignore_index=True)
 
-    packed = looked.select("piece", F.explode(F.arrays_zip("parts", "sums", "wants")).alias("m")).select("piece", "m.*")
     with store.small_batches(spark, BATCH_BYTES):
-        weights = store.table(packed.groupBy("parts").applyInPandas(weigh, "kind string, part int, piece long, histories binary, alpha binary"), "katz-weights", ("kind",))
+        weights = store.table(asks.groupBy("part").applyInPandas(weigh, "kind string, part int, piece long, histories binary, alpha binary"), "katz-weights", ("kind",))
     backoff = weights.where("kind = 'answer'").select(F.col("piece").alias("y_piece"), F.col("part").alias("y_part"), "alpha")
 
     def finish(key: tuple, held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text handled at once in a task, in bytes; a longer text is a piece of its own.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 #: The same words as a regular expression for Spark and DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 
