@@ -197,7 +197,7 @@ def test_toxicity_finds_copies_of_rare_examples(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 10 == 1)) for i, _ in rows], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert len(model.ids) == len(rows) and set(toxicity.terms(" ".join(t for _, t in rows))) == set(model.vocabulary.to_pylist())
+    assert len(model.ids) == len(rows) and set(toxicity.terms(pa.array([w for _, t in rows for w in t.split()]))[0].to_pylist()) == set(model.vocabulary.to_pylist())
     for r in toxicity.score(docs, model).collect():
         assert (r.evidence[0]["doc_id"], r.evidence[0]["cosine"]) == (r.doc_id, pytest.approx(1.0))
 
