@@ -34,7 +34,7 @@ _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _K = MOST_DISCOUNTED
 #: Bytes of text in a piece, keys told to a range by all pieces together, about, and bytes of rows that go into Python at once.
-PIECE_BYTES, RANGE_KEYS, BATCH_BYTES = 1 << 20, 1_000_000, 8 << 20
+PIECE_BYTES, RANGE_KEYS, BATCH_BYTES = 8 << 20, 1_000_000, 8 << 20
 
 
 def pack(x: np.ndarray) -> bytes:
