@@ -383,9 +383,8 @@ def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, print, component_id and stands of every row of docs: `print` names the row's set, and `stands` is true
-    on the rows of one set in each component, that of the least doc_id (of several sets, the least print)."""
+def _linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row of docs with the name of its set, the nodes, and links between them that join all that is linked."""
     least = least_matches(percent / 100)
     signed = store.table(signatures(docs, shingle), "dedup-signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -411,7 +410,16 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     sizes = _sizes(placed, "suspect", F.greatest(F.ceil(F.col("of") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))).where("of > 2")
     met = _blocks(placed, "suspect", sizes, nodes.select("id", "signature"), sets)
     links = links.union(store.table(_links(met, least, percent).distinct(), "dedup-more-links"))
-    found = _placed(nodes.select("id", "least", "print"), components(links))
+    return signed, nodes, links
+
+
+def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, print, component_id and stands of every row of docs: `print` names the row's set, and `stands` is true
+    on the rows of one set in each component, that of the least doc_id (of several sets, the least print)."""
+    with store.small_batches(docs.sparkSession):  # sets and texts are wide rows
+        signed, nodes, links = _linked(docs, shingle, percent)
+        found = components(links)
+    found = _placed(nodes.select("id", "least", "print"), found)
     heads = found.groupBy("component").agg(F.min(F.struct("least", "print")).alias("head"))
     by_print = found.join(heads, "component").select(F.col("print").alias("of"), F.col("head.least").alias("component_id"), (F.col("print") == F.col("head.print")).alias("stands"))
     result = signed.join(by_print, signed["print"] == by_print["of"], "left")

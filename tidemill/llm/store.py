@@ -54,7 +54,7 @@ def discard(made: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
     """Tables that are written inside get batches of about `size` bytes at most into Python, for rows of some megabytes each."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
@@ -65,6 +65,11 @@ def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def set_small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """The same for all that this session runs from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its owner sets with the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
