@@ -10,7 +10,11 @@ from tidemill.llm import dedup, language, mixing, pieces, queries, toxicity
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text and all other columns in one, so that no operator's column meets one of theirs."""
+    """doc_id, lang, text and all other columns in one, so that no operator's column meets one of theirs.
+
+    From here on the session passes rows to Python in batches of 8 MB, which bounds what a task's worker holds.
+    """
+    queries.store.set_small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", "lang", F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"))
 
 
@@ -58,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digest of each document's SentencePiece ids: a row for each row of docs, with no ids for null and empty texts."""
-    return pieces.digest(docs, queries.tokenizer_path(queries.PIECE_BPE))
+    return pieces.digest(_packed(docs), queries.tokenizer_path(queries.PIECE_BPE))
 
 
 STAGES = [
