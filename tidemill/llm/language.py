@@ -22,7 +22,7 @@ from tidemill.llm import words
 
 #: Characters of reference text of all languages together, which share them evenly, and labelled rows of each that are drawn
 #: (by hash) to fill them.
-REFERENCE_CHARS, REFERENCE_ROWS = 160_000, 300
+REFERENCE_CHARS, REFERENCE_ROWS = 80_000, 300
 #: The prediction for texts without letters.
 UNDETERMINED = "und"
 #: Bits of difference that change the score's odds by a factor of two.
@@ -77,11 +77,14 @@ class Parsers:
             n = len(automaton.next)
             state = np.repeat(np.arange(n), [len(x) for x in automaton.next])
             byte = np.fromiter((b for x in automaton.next for b in x), np.int64, len(state))
-            to = np.zeros((n, self.width), np.int64)
+            to = np.zeros((n, self.width), np.int32)
             to[state, self.place[byte]] = np.fromiter((t for x in automaton.next for t in x.values()), np.int64, len(state))
-            again = np.where(np.arange(n)[:, None] > 0, to[0], 0)
-            ends = np.where(to > 0, 0, 1 + ((again == 0) & (np.arange(n)[:, None] > 0)))
-            tables.append(((np.where(to > 0, to, again) + first) * self.width * 4 + ends).astype(np.int32))
+            again = np.tile(to[0], (n, 1))
+            again[0] = 0
+            ends = 1 + (again == 0).astype(np.int32)
+            ends[0] = 1  # nothing was matched before
+            ends[to > 0] = 0
+            tables.append((np.where(to > 0, to, again) + np.int32(first)) * np.int32(self.width * 4) + ends)
             roots.append(first * self.width)
             first += n
             self.bits.append(np.log2(max(2, automaton.length)))

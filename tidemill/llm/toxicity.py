@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from tidemill.llm import words
 
 #: Labelled rows that are drawn (by the hash of doc_id) at most.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 3_000
 #: Neighbours that vote, the power of the cosine that each votes with (of 1 to 10 the one with the least logarithmic loss of the
 #: learning rows' left-out votes at sf0.1), and the weight of the base rate among them.
 NEIGHBOURS, POWER, PRIOR_WEIGHT = 15, 3, 1.0

@@ -33,6 +33,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
 
 def split(texts: pa.Array, lower: bool = False) -> Words:
