@@ -57,6 +57,9 @@ def test_exact_tests(spark):
 def test_numbers_need_support(spark):
     assert one(spark, grounding.unsupported(F.col("a"), F.col("s")), a="scores 81.5 and 77 in 2024", s="it has 81.5") == ["77"]
     assert one(spark, grounding.unsupported(F.col("a"), F.col("s")), a="scores 81.5", s=None) == []
+    assert one(spark, grounding.unsupported(F.col("a"), F.col("s")), a="scores 81 and 815", s="it has 81.5") == ["815"]
+    assert one(spark, text.math_share(F.col("a")), a="\n\n") == 1.0
+    assert one(spark, text.good_chunk(F.col("a")), a="x" * 79 + "\n\n") is False
 
 
 def test_fusion_of_equal_signals(spark):

@@ -17,8 +17,10 @@ def numbers(c: Column, least_digits: int = 2) -> Column:
 
 
 def unsupported(answer: Column, source: Column) -> Column:
-    """Numbers of the answer that the source lacks; an empty source supports all."""
-    return F.when(F.coalesce(source, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_except(numbers(answer), numbers(source)))
+    """Numbers of the answer that stand nowhere in the source between other characters than digits; an empty source supports all."""
+    pattern = lambda x: F.concat(F.lit("(?<![0-9])"), F.regexp_replace(x, r"\.", r"\\."), F.lit("(?![0-9])"))
+    missing = F.filter(numbers(answer), lambda x: ~F.regexp(source, pattern(x)))
+    return F.when(F.coalesce(source, F.lit("")) == "", F.array().cast("array<string>")).otherwise(missing)
 
 
 def repaired_citations(cited: DataFrame, context: DataFrame) -> DataFrame:
@@ -55,11 +57,17 @@ def citation_edges(papers: DataFrame, content: str = "content") -> DataFrame:
     return rows.where(ids.valid_arxiv_id(F.col("dst")) & (F.col("src") != F.col("dst"))).distinct()
 
 
+#: Up to so many runs of items are broadcast; more are joined by their own partitions.
+BROADCAST_RUNS = 200_000
+
+
 def shared_ngrams(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
-    """(doc_id, item_id, shared): distinct runs of n tokens that a document has in common with an item. Items are the
-    small side; only their runs survive the join, so documents' runs are not shuffled by the items' number."""
+    """(doc_id, item_id, shared): distinct runs of n tokens that a document has in common with an item. While the items' runs are
+    few, they go to the documents' tasks, and only runs that are shared are shuffled."""
     def runs(t: DataFrame, key: str) -> DataFrame:
         each = F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), lambda i: F.array_join(F.slice("tokens", i, F.lit(n)), " "))
         return t.where(F.size("tokens") >= n).select(key, F.explode(F.array_distinct(each)).alias("run"))
 
-    return runs(docs, "doc_id").join(runs(items, "item_id"), "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    asked = runs(items, "item_id")
+    few = asked.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    return runs(docs, "doc_id").join(F.broadcast(asked) if few else asked, "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))

@@ -10,15 +10,28 @@ from tidemill.functions import text
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
-    """(term, key, tf, len): how often each term stands in each document, and the document's length."""
+#: Up to so many terms of queries are broadcast; more are joined by their own partitions.
+BROADCAST_TERMS = 100_000
+
+
+def postings(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, len): how often each term stands in each document, and the document's length. terms (term): only
+    of these, which are picked before anything is shuffled."""
     rows = docs.select(key, F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
+    if terms is not None:
+        few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
     return rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
-def term_weights(index: DataFrame, n_docs: int, epsilon: float = EPSILON) -> DataFrame:
-    """(term, df, idf): ln((N - df + 0.5) / (df + 0.5)); negative values become epsilon times the mean of all."""
-    df = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def document_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(term, df): documents that have each term; tasks add up their own before the shuffle."""
+    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_weights(counts: DataFrame, n_docs: int, epsilon: float = EPSILON) -> DataFrame:
+    """(term, df) to (term, df, idf): ln((N - df + 0.5) / (df + 0.5)); negative values become epsilon times the mean of all."""
+    df = counts.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean"))  # one row
     return df.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -27,8 +40,7 @@ def bm25(index: DataFrame, weights: DataFrame, queries: DataFrame, mean_len: flo
     """(q, key, score) of all documents that share a term with the query. queries: (q, terms), repeated terms count."""
     asked = queries.select("q", F.explode("terms").alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean_len))
-    # terms of queries are few, so their postings are picked before anything is shuffled by document
-    return index.join(weights, "term").join(asked, "term").groupBy("q", key).agg(F.sum(part).alias("score"))
+    return index.join(asked.join(weights, "term"), "term").groupBy("q", key).agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "score", key: str = "doc_id", within: str = "q") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +57,13 @@ def doc_len_stats(spark, sf_dir):
 
 
 _MATCHED = "COALESCE(list_sum(list_transform(regexp_extract_all({t}, '{p}'), lambda x: len(x))), 0)"
-_URLS = _MATCHED.format(t="left(t, 12000)", p=r"(?i)https?://\S+")
+_URLS = _MATCHED.format(t="t", p=r"(?i)https?://\S+")
 
 
-@query(rf"SELECT source, count(*) AS n, sum((len(t) >= 80 AND {_URLS} <= 0.2 * greatest(1, len(left(t, 12000))))::INT)::BIGINT AS good FROM (SELECT source, trim(text) AS t FROM documents) GROUP BY source")
+@query(rf"SELECT source, count(*) AS n, sum((len(t) >= 80 AND {_URLS} <= 0.2 * greatest(1, len(t)))::INT)::BIGINT AS good FROM (SELECT source, regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS t FROM documents) GROUP BY source")
 def quality_gate_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.sum(((F.length(F.trim("text")) >= text.LEAST_CHARS) & (text.url_share(F.trim("text")) <= text.MOST_URL)).cast("long")).alias("good"))
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.sum(((F.length(text.stripped(F.col("text"))) >= text.LEAST_CHARS) & (text.url_share(text.stripped(F.col("text"))) <= text.MOST_URL)).cast("long")).alias("good"))
 
 
 @query()
@@ -70,7 +71,7 @@ def good_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.good_chunk(F.col("text")).alias("good"), F.round(text.math_share(F.col("text")), 6).alias("math_share"))
 
 
-@query(rf"SELECT doc_id, round({_URLS} / greatest(1, len(left(t, 12000))), 6) AS url_share FROM (SELECT doc_id, text AS t FROM documents)")
+@query(rf"SELECT doc_id, round({_URLS} / greatest(1, len(t)), 6) AS url_share FROM (SELECT doc_id, text AS t FROM documents)")
 def url_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.url_share(F.col("text")), 6).alias("url_share"))
 
@@ -211,10 +212,10 @@ idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) EL
 
 
 def _index(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    """Documents with their tokens, the terms' weights, and the mean length. Texts are tokenized once; executors keep the tokens."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens")).persist(StorageLevel.DISK_ONLY).where(F.size("tokens") > 0)
     n, mean = d.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    index = retrieval.postings(d)
-    return index, retrieval.term_weights(index, n), mean
+    return d, retrieval.term_weights(retrieval.document_counts(d), n), mean
 
 
 def _asked(spark, sf_dir):
@@ -226,15 +227,17 @@ _ASKED = rf"asked AS (SELECT q, term, count(*) AS times FROM (SELECT item_id AS
 _SCORED = "scored AS (SELECT q, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score FROM post JOIN idf USING (term) JOIN asked USING (term), stat GROUP BY q, doc_id)"
 
 
-@query(rf"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE df >= 20")
+@query(rf"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf_table(spark, sf_dir):
-    return _index(spark, sf_dir)[1].where("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir)[1].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(rf"WITH {_BM25}, {_ASKED}, {_SCORED} SELECT q, doc_id, r AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id) AS r FROM scored) WHERE r <= 10 AND score > 0")
 def bm25_topk(spark, sf_dir):
-    index, weights, mean = _index(spark, sf_dir)
-    scores = retrieval.bm25(index, weights, _asked(spark, sf_dir), mean).withColumn("key", F.round("score", 9))
+    docs, weights, mean = _index(spark, sf_dir)
+    asked = _asked(spark, sf_dir)
+    index = retrieval.postings(docs, terms=asked.select(F.explode("terms").alias("term")).distinct())
+    scores = retrieval.bm25(index, weights, asked, mean).withColumn("key", F.round("score", 9))
     return retrieval.top_k(scores, 10, by="key").where("score > 0").select("q", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
