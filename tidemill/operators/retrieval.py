@@ -147,3 +147,20 @@ def reranked(rows: DataFrame, score: str, n: int = 50) -> DataFrame:
     """Adds pos: the first n rows of each query by another score, the rest in order."""
     head = F.col("ord") <= n
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.when(head, 0).otherwise(1), F.when(head, -F.col(score)).otherwise(F.lit(0.0)), "ord")))
+
+
+def hybrid_merge(vectors: DataFrame, terms: DataFrame, vector_weight: float = 0.5, term_weight: float = 0.5, k: int = 30) -> DataFrame:
+    """(q, paper_id, vec_id, score, rank): the k best of vector rows (q, paper_id, vec_id, dist) and papers that only the terms
+    found (q, paper_id, bm25), which have no vec_id. Each signal is scaled to 0 to 1 within a query, one value alone to 0; an
+    absent signal is 0, a null distance 0.5. A paper's rows of terms count by their best; ties go to vector rows, then by id."""
+
+    def scaled(c: Column) -> Column:
+        low, high = F.min(c).over(Window.partitionBy("q")), F.max(c).over(Window.partitionBy("q"))
+        return (c - low) / F.when(high > low, high - low).otherwise(1.0)
+
+    v = vectors.withColumn("v", scaled(1 - F.coalesce("dist", F.lit(0.5)))).select("q", "paper_id", "vec_id", "v")
+    b = terms.withColumn("b", scaled(F.col("bm25"))).groupBy("q", "paper_id").agg(F.max("b").alias("b"))
+    score = vector_weight * F.coalesce("v", F.lit(0.0)) + term_weight * F.coalesce("b", F.lit(0.0))
+    place = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), F.col("vec_id").asc_nulls_last(), "paper_id")
+    merged = v.join(b, ["q", "paper_id"], "full").withColumn("score", score)
+    return merged.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("q", "paper_id", "vec_id", "score", "rank")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import ids, stats, text
 from tidemill.operators import evaluate, grounding, keys, retrieval, schedule
-from tidemill.sources.tables import table
+from tidemill.sources.tables import in_range, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -259,6 +259,23 @@ def nearest_per_label(spark, sf_dir):
     return retrieval.nearest(*_probe(spark, sf_dir), 2, "label").select("q", "label", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+_MERGED = f"""{_NEAR}, ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, vec_id) AS r, row_number() OVER (PARTITION BY q, label ORDER BY dist, vec_id) AS rl FROM near),
+vec AS (SELECT q, label AS paper_id, vec_id, 1 - dist AS sim FROM ranked WHERE r <= 5),
+bm AS (SELECT q, label AS paper_id, (vec_id * 37 % 101)::DOUBLE AS bm25 FROM ranked WHERE rl = 1 AND vec_id % 2 = 0),
+v AS (SELECT q, paper_id, vec_id, (sim - min(sim) OVER w) / CASE WHEN max(sim) OVER w > min(sim) OVER w THEN max(sim) OVER w - min(sim) OVER w ELSE 1 END AS v FROM vec WINDOW w AS (PARTITION BY q)),
+b AS (SELECT q, paper_id, (bm25 - min(bm25) OVER w) / CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN max(bm25) OVER w - min(bm25) OVER w ELSE 1 END AS b FROM bm WINDOW w AS (PARTITION BY q)),
+merged AS (SELECT q, paper_id, vec_id, 0.5 * COALESCE(v, 0) + 0.5 * COALESCE(b, 0) AS score FROM v FULL JOIN b USING (q, paper_id))"""
+
+
+@query(f"WITH {_MERGED} SELECT q, paper_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id NULLS LAST, paper_id) AS rank FROM merged) WHERE rank <= 30")
+def hybrid_merge(spark, sf_dir):
+    """The five nearest vectors of each query, and every second label's nearest as the papers that terms found."""
+    v, probe = _probe(spark, sf_dir)
+    near = retrieval.nearest(v, probe, 5).select("q", F.col("label").alias("paper_id"), "vec_id", "dist")
+    found = retrieval.nearest(v, probe, 1, "label").where("vec_id % 2 = 0").select("q", F.col("label").alias("paper_id"), (F.col("vec_id") * 37 % 101).cast("double").alias("bm25"))
+    return retrieval.hybrid_merge(near, found).select("q", "paper_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _POOL = f"""{_NEAR}, pool AS (SELECT q, vec_id AS ord, label::VARCHAR AS paper_id, '' AS title, dist, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE (vec_id * 37 % 101)::DOUBLE END AS bm25 FROM near),
 sig AS (SELECT *, 1 / (1 + greatest(0, dist)) AS v, COALESCE(bm25, 0) AS b FROM pool)"""
 
@@ -471,3 +488,21 @@ def next_monthly_run(spark, sf_dir):
 def tumbling_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type", F.window("ts", "1 hour")["start"].cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(rf"""WITH {PAPERS} SELECT doc_id, 21 AS n_versions, lower(regexp_replace(title, '[^\pL\pN\pM]+', '', 'g')) AS loose, lower(regexp_replace(title, '[^\pL\pN\pM_]+', '', 'g')) AS title_key,
+  published BETWEEN '2024-02-01' AND '2024-06-30' AS in_range FROM papers""")
+def id_forms(spark, sf_dir):
+    """Keys under which a paper is looked up: its versions, its title without separators, and a range of its date."""
+    p = papers(spark, sf_dir)
+    return p.select("doc_id", F.size(ids.version_candidates(F.col("paper_id"))).alias("n_versions"), ids.loose_key(F.col("title")).alias("loose"), ids.title_key(F.col("title")).alias("title_key"), in_range(F.col("published"), "2024-02-01", "2024-06-30").alias("in_range"))
+
+
+@query("""SELECT 'Q' || (i + 1) AS label, strftime(make_date(2024, 3 * i::INT + 1, 1), '%Y-%m-%d') AS first, strftime(last_day(make_date(2024, 3 * i::INT + 3, 1)), '%Y-%m-%d') AS last FROM range(4) t(i)""")
+def quarter_ranges(spark, sf_dir):
+    return schedule.quarter_ranges(spark, 2024)
+
+
+@query("""SELECT strftime(d, '%Y-%m') AS label, strftime(d, '%Y-%m-%d') AS first, strftime(last_day(d), '%Y-%m-%d') AS last FROM (SELECT make_date(2024, m, 1) AS d FROM (VALUES (1), (2), (3), (12)) t(m))""")
+def month_ranges(spark, sf_dir):
+    return schedule.month_ranges(spark, 2024, "1-3, 12")
