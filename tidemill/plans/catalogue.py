@@ -506,3 +506,32 @@ def quarter_ranges(spark, sf_dir):
 @query("""SELECT strftime(d, '%Y-%m') AS label, strftime(d, '%Y-%m-%d') AS first, strftime(last_day(d), '%Y-%m-%d') AS last FROM (SELECT make_date(2024, m, 1) AS d FROM (VALUES (1), (2), (3), (12)) t(m))""")
 def month_ranges(spark, sf_dir):
     return schedule.month_ranges(spark, 2024, "1-3, 12")
+
+
+_MARKED = r"SELECT doc_id, split_part(text, chr(10), 1) || ' http://a.b/' || doc_id || ' 漢字漢。 “q”? \n' AS x FROM documents WHERE text IS NOT NULL"
+
+
+@query(rf"""SELECT doc_id, trim(array_to_string(list_filter(regexp_split_to_array(trim(x), '\s+'), lambda w: NOT starts_with(lower(w), 'http')), ' ')) AS no_urls,
+  regexp_replace(regexp_replace(x, '[一-鿿]+', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g') AS no_hanzi,
+  regexp_replace(replace(replace(replace(replace(replace(replace(x, '。', '. '), '，', ', '), '：', ': '), '；', '; '), '！', '! '), '？', '? '), '(\S) {{2,}}', '\1 ', 'g') AS ascii,
+  translate(x, '“”‘’？', '""''''?') AS quotes, len(regexp_extract_all(x, '\\n')) AS breaks FROM ({_MARKED})""")
+def text_cleanup(spark, sf_dir):
+    """Every document's first line, with a link, Chinese characters, full-width marks, quotes and a spelled line feed behind it."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    x = F.concat(F.substring_index("text", "\n", 1), F.lit(" http://a.b/"), F.col("doc_id").cast("string"), F.lit(" 漢字漢。 “q”? \\n"))
+    return d.select("doc_id", x.alias("x")).select("doc_id", text.without_urls(F.col("x")).alias("no_urls"), text.without_hanzi(F.col("x")).alias("no_hanzi"), text.ascii_punctuation(F.col("x")).alias("ascii"), text.straight_quotes(F.col("x")).alias("quotes"), text.spelled_breaks(F.col("x")).cast("long").alias("breaks"))
+
+
+@query(rf"""WITH p AS (SELECT doc_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS a, substr(text, len(title) + 1) AS body FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS title FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, md5(CASE WHEN a = '' OR contains(lower(regexp_replace(body, '\s+', ' ', 'g')), lower(substr(a, 1, 80))) THEN body WHEN body = '' THEN '[초록] ' || substr(a, 1, 1500) ELSE '[초록] ' || substr(a, 1, 1500) || chr(10) || chr(10) || body END) AS digest FROM p""")
+def abstract_first(spark, sf_dir):
+    """Every document's first line as its abstract, before the rest unless it stands there."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("title", F.substring_index("text", "\n", 1))
+    body = F.substr(F.col("text"), F.length("title") + 1)
+    return d.select("doc_id", F.md5(text.with_abstract(body, F.col("title"))).alias("digest"))
+
+
+@query("SELECT band, count(*) AS n FROM (SELECT CASE WHEN r IS NULL THEN 'none' WHEN r <= 5 THEN '1-5' WHEN r <= 10 THEN '6-10' WHEN r <= 30 THEN '11-30' ELSE '31+' END AS band FROM (SELECT CASE WHEN vec_id % 7 = 0 THEN NULL ELSE vec_id % 40 + 1 END AS r FROM embeddings)) GROUP BY band")
+def rank_bands(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 7 != 0, F.col("vec_id") % 40 + 1).alias("r"))
+    return v.groupBy(evaluate.rank_band(F.col("r")).alias("band")).agg(F.count("*").alias("n"))
