@@ -92,8 +92,8 @@ def _added(path: str) -> list[str]:
     return [x.content for x in _tokenizer(path).get_added_tokens_decoder().values()]
 
 
-#: Parts of texts whose ids a worker keeps.
-CACHED_PARTS = 500_000
+#: Bytes of text handled at once, and parts of texts whose ids a worker keeps.
+TEXT_BYTES, CACHED_PARTS = 8 << 20, 500_000
 _kept: dict[str, dict[str, bytes]] = {}
 
 
@@ -178,7 +178,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, specials
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, base = TaskContext.get().partitionId(), 0
-        for k, piece in enumerate(words.pieces(batches)):
+        for k, piece in enumerate(words.pieces(batches, most=TEXT_BYTES)):
             ids, borders = token_ids(piece.column("text"), tokenizer_path, specials)
             ids = np.insert(ids, borders[1:], end_id)
             borders = borders + np.arange(len(borders))
