@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.functions import ids, stats, text
+from tidemill.functions import ids, questions, stats, text
 from tidemill.operators import grounding, keys, retrieval, schedule
 from tidemill.sources import tables
 from tidemill.streaming import jobs
@@ -103,3 +103,18 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("states").select("job", "state", "n").collect())) == [(1, "done", 2), (2, "queued", 2)]
     assert sorted(r.n for r in spark.table("hours").collect()) == [2, 2]
     assert spark.table("firsts").count() == 3
+
+
+@pytest.mark.parametrize(("question", "years", "n"), [
+    ("2026년에 나온 RAG 논문", (2026, 2026), None), ("2025년 이후 나온 양자화", (2025, None), None), ("2024년까지 나온 논문 6개 찾아줘", (None, 2024), 6),
+    ("2023년부터 2026년까지 나온 논문", (2023, 2026), None), ("재작년 이전 연구 3개만 알려줘", (None, 2023), 3), ("7B 이하 모델", None, None), ("상위 10개 중 절반", None, None), (None, None, None),
+])
+def test_question_conditions(spark, question, years, n):
+    found = one(spark, questions.year_range(F.col("c"), 2026), c=question)
+    assert (found and tuple(found)) == years
+    assert one(spark, questions.requested_count(F.col("c")), c=question) == n
+
+
+@pytest.mark.parametrize(("lines", "want"), [(["x" * 20] * 3, True), (["x" * 20, "y" * 30, "x" * 20, "y" * 30], False), (["a"] * 5, False), ([], False)])
+def test_has_repeated_line(spark, lines, want):
+    assert one(spark, text.has_repeated_line(F.col("c")), c="\n".join(lines)) is want

@@ -47,10 +47,18 @@ def precision_recall(scored: DataFrame, score: str, positive: Column, thresholds
     return agg.select("threshold", "kept", F.round(F.when(F.col("kept") > 0, F.col("hit") / F.col("kept")).otherwise(0.0), 6).alias("precision"), F.round(F.when(F.col("all") > 0, F.col("hit") / F.col("all")).otherwise(0.0), 6).alias("recall"))
 
 
-def upper_median(c: str) -> Column:
-    """The element at place n div 2 of the sorted values; memory is that of one group's values."""
-    s = F.array_sort(F.collect_list(c))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, upper_median): the element at place n div 2 of each group's sorted values, nulls left out. Equal values are
+    counted before they are ordered."""
+    at = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    reached, total = F.sum("n").over(Window.partitionBy(by).orderBy(value)), F.sum("n").over(Window.partitionBy(by))
+    at = at.select(by, value, reached.alias("reached"), total.alias("total"))
+    return at.where(F.col("reached") > F.floor(F.col("total") / 2)).groupBy(by).agg(F.min(value).alias("upper_median"))
+
+
+def first_failing(rules: dict[str, Column], passed: str = "passed") -> Column:
+    """The name of the first rule that holds, in the order given; `passed` if none does."""
+    return F.coalesce(*[F.when(rule, name) for name, rule in rules.items()], F.lit(passed))
 
 
 def discordant(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions import text
+from tidemill.functions import ids, text
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -98,18 +98,77 @@ def rrf(pool: DataFrame, k: float = 60.0, first: str = "v", second: str = "b") -
     return pool.withColumn("rrf", 1 / (k + place(first)) + 1 / (k + place(second)))
 
 
-def document_scores(chunks: DataFrame, weights: tuple[float, ...] = (0.15,), strong: float = 0.85, evidence: float = 0.0) -> DataFrame:
+def _own_paper() -> Column:
+    """paper_id; a row with an empty one is a paper of its own."""
+    return F.when(F.coalesce("paper_id", F.lit("")) == "", F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.col("paper_id"))
+
+
+def document_scores(chunks: DataFrame, weights: tuple[float, ...] = (0.15,), strong: float = 0.85, evidence: float = 0.0, best: tuple[str, ...] = ()) -> DataFrame:
     """(q, paper_id, score, ord) to a row for each paper: best chunk plus weights times the next ones, plus evidence for
-    each further chunk near the best (five at most), with rank. A row with an empty id is a paper of its own."""
-    own = F.when(F.coalesce("paper_id", F.lit("")) == "", F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.col("paper_id"))
-    tops = chunks.groupBy("q", own.alias("paper")).agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"), F.min("ord").alias("ord"), F.count("*").alias("n_chunks"))
-    score = F.col("s")[0] + sum((w * F.coalesce(F.get("s", F.lit(i + 1)), F.lit(0.0)) for i, w in enumerate(weights)), F.lit(0.0))
-    near = F.size(F.filter("s", lambda x: x >= strong * F.col("s")[0]))
-    score = score + evidence * F.least(near - 1, F.lit(5))
-    ranked = tops.select("q", "paper", "n_chunks", near.alias("n_strong"), score.alias("score"), "ord")
+    each further chunk near the best (five at most), with rank and the best chunk's columns `best`. A row with an empty id
+    is a paper of its own. A paper's chunks are sorted, not gathered, so they may spill."""
+    order = Window.partitionBy("q", "paper").orderBy(F.desc("score"), "ord")
+    rows = chunks.withColumn("paper", _own_paper()).select("q", "paper", "score", "ord", *best)
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("top", F.first("score").over(order))
+    at = lambda c, n: F.max(F.when(F.col("nth") == n, F.col(c)))
+    near = F.count_if(F.col("score") >= strong * F.col("top"))
+    score = at("score", 1) + sum((w * F.coalesce(at("score", i + 2), F.lit(0.0)) for i, w in enumerate(weights)), F.lit(0.0)) + evidence * F.least(near - 1, F.lit(5))
+    ranked = rows.groupBy("q", "paper").agg(F.count("*").alias("n_chunks"), near.cast("int").alias("n_strong"), score.alias("score"), F.min("ord").alias("ord"), *[at(c, 1).alias(c) for c in best])
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ord")))
 
 
+def titled(score: Column, likeness: Column, weight: float = 0.08, high: float = 0.7, times: float = 1.05) -> Column:
+    """A paper's score with weight times the likeness of its title and the query, and `times` as much for a high likeness."""
+    score = score + weight * likeness
+    return F.when(likeness > high, score * times).otherwise(score)
+
+
+def ranked_papers(chunks: DataFrame, most: int = 10, per_paper: int = 2, pool: int = 50, protected: DataFrame | None = None) -> DataFrame:
+    """(q, paper, place, nth, ord) of the best chunks of each query's best papers, from (q, paper_id, ord, score, likeness, close).
+
+    Papers are ranked by document_scores() with the likeness of their titles; the first `pool` of them then by `close` of their
+    best chunk. `most` stay; protected papers (q, paper) beyond take the last places of these, in their order."""
+    papers = document_scores(chunks, best=("likeness", "close")).withColumn("score", F.round(titled(F.col("score"), F.col("likeness")), 9))
+    papers = papers.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ord")))
+    papers = reranked(papers, "close", pool).select("q", "paper", "pos", F.lit(False).alias("safe"))
+    if protected is not None:
+        safe = protected.select("q", "paper", F.lit(True).alias("named")).distinct()
+        papers = papers.join(safe, ["q", "paper"], "left").withColumn("safe", F.coalesce("named", F.lit(False)))
+    missed = (F.col("safe") & (F.col("pos") > most)).cast("int")
+    papers = papers.withColumn("missed", missed).withColumn("nth_missed", F.sum("missed").over(Window.partitionBy("q").orderBy("pos")))
+    papers = papers.withColumn("n_missed", F.least(F.sum("missed").over(Window.partitionBy("q")), F.lit(most)))
+    papers = papers.where((F.col("pos") <= most - F.col("n_missed")) | ((F.col("missed") == 1) & (F.col("nth_missed") <= most)))
+    papers = papers.select("q", "paper", F.row_number().over(Window.partitionBy("q").orderBy("pos")).alias("place"))
+    best = Window.partitionBy("q", "paper").orderBy(F.desc("score"), "ord")
+    rows = chunks.select("q", _own_paper().alias("paper"), "ord", "score").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= per_paper)
+    return rows.join(papers, ["q", "paper"]).select("q", "paper", "place", "nth", "ord")
+
+
+def with_term_papers(pool: DataFrame, hits: DataFrame, chunks: DataFrame, top: int = 20, per_paper: int = 2, least_chars: int = 80) -> DataFrame:
+    """(q, paper_id, ord, dist, by_terms): the pool's rows (q, paper_id, ord, dist), and of papers that only the terms found
+    (hits: q, paper_id, rank; the first `top`) the nearest chunks (q, paper_id, ord, dist, n_chars) that are long enough.
+    Papers are the same without their versions."""
+    same = lambda d: d.withColumn("base", ids.normalize_id(F.col("paper_id")))
+    new = same(hits.where(F.col("rank") <= top)).where("base <> ''").select("q", "base").distinct()
+    new = new.join(same(pool).select("q", "base"), ["q", "base"], "left_anti")
+    found = same(chunks.where(F.col("n_chars") >= least_chars)).join(new, ["q", "base"])
+    near = Window.partitionBy("q", "base").orderBy("dist", "ord")
+    found = found.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= per_paper)
+    return pool.select("q", "paper_id", "ord", "dist", F.lit(False).alias("by_terms")).unionByName(found.select("q", "paper_id", "ord", "dist", F.lit(True).alias("by_terms")))
+
+
+def within_years(rows: DataFrame, asked: DataFrame, year: str = "year") -> DataFrame:
+    """Rows (q, year) inside their query's range (asked: q, first, last; nulls are open), or all of them where none is; adds
+    status: any (nothing asked), kept or none. Queries' counts are added up in tasks, so a query with many rows isn't one task."""
+    inside = (F.col(year) >= F.coalesce("first", F.lit(-(10**6)))) & (F.col(year) <= F.coalesce("last", F.lit(10**6)))
+    rows = rows.join(asked.select("q", "first", "last"), "q", "left").withColumn("inside", F.coalesce(inside, F.lit(False)))
+    some = rows.groupBy("q").agg(F.max("inside").alias("some"))
+    free = F.col("first").isNull() & F.col("last").isNull()
+    status = F.when(free, "any").when(F.col("some"), "kept").otherwise("none")
+    kept = rows.join(some, "q").withColumn("status", status).where((F.col("status") != "kept") | F.col("inside"))
+    return kept.drop("first", "last", "inside", "some")
+
+
 def promoted(rows: DataFrame, query_tokens: Column, least: float = 0.6) -> DataFrame:
     """Adds pos: the row whose title holds most query tokens comes first if that is `least` of them or more; else by ord."""
     share = F.size(F.array_intersect(query_tokens, text.overlap_tokens(F.col("title")))) / F.greatest(F.size(query_tokens), F.lit(1))
@@ -126,8 +185,7 @@ def demoted(rows: DataFrame, flag: Column) -> DataFrame:
 
 def first_per_paper(rows: DataFrame) -> DataFrame:
     """Adds pos: each paper's first row in order, then the others; rows without an id count as papers of their own."""
-    own = F.when(F.coalesce("paper_id", F.lit("")) == "", F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.col("paper_id"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("q", own).orderBy("ord")))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("q", _own_paper()).orderBy("ord")))
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy((F.col("nth") > 1).cast("int"), "ord")))
 
 

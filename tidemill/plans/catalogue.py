@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions import ids, stats, text
+from tidemill.functions import ids, questions, stats, text
 from tidemill.operators import evaluate, grounding, keys, retrieval, schedule
 from tidemill.sources.tables import in_range, table
 
@@ -303,6 +303,55 @@ def doc_score_top2(spark, sf_dir):
     return retrieval.document_scores(retrieval.fused(_pool(spark, sf_dir))).select("q", "paper", "n_chunks", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_POOL}, {_FUSED}, nth AS (SELECT *, row_number() OVER (PARTITION BY q, paper_id ORDER BY score DESC, ord) AS r FROM fus),
+p AS (SELECT q, paper_id, sum(CASE r WHEN 1 THEN score WHEN 2 THEN 0.15 * score ELSE 0 END) AS s, min(ord) AS o, max(CASE WHEN r = 1 THEN ord * 13 % 101 / 100 END) AS l, max(CASE WHEN r = 1 THEN ord * 29 % 97 END) AS c FROM nth GROUP BY q, paper_id),
+a AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round((s + 0.08 * l) * CASE WHEN l > 0.7 THEN 1.05 ELSE 1 END, 9) DESC, o) AS r1 FROM p),
+b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY r1 > 4, CASE WHEN r1 <= 4 THEN -c ELSE 0 END, r1) AS pos FROM a),
+m AS (SELECT *, (pos > 5 AND paper_id IN ('1', '2'))::INT AS missed FROM b), k AS (SELECT *, sum(missed) OVER (PARTITION BY q) AS n FROM m),
+f AS (SELECT q, paper_id, row_number() OVER (PARTITION BY q ORDER BY pos) AS place FROM k WHERE pos <= 5 - n OR missed = 1)
+SELECT q, paper_id AS paper, place, r AS nth, ord FROM f JOIN nth USING (q, paper_id) WHERE r <= 2""")
+def paper_ranking(spark, sf_dir):
+    """Five papers (labels) of each query with two chunks each, the first four by another score, labels 1 and 2 protected."""
+    pool = retrieval.fused(_pool(spark, sf_dir)).withColumn("likeness", F.col("ord") * 13 % 101 / 100).withColumn("close", (F.col("ord") * 29 % 97).cast("double"))
+    named = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.explode(F.array(F.lit("1"), F.lit("2"))).alias("paper"))
+    rows = retrieval.ranked_papers(pool, most=5, per_paper=2, pool=4, protected=named)
+    return rows.select("q", "paper", F.col("place").cast("long").alias("place"), F.col("nth").cast("long").alias("nth"), "ord")
+
+
+@query(rf"""WITH {PAPERS}, d AS (SELECT *, regexp_replace(paper_id, 'v[0-9]+$', '') AS base, doc_id * 37 % 101 AS dist FROM papers),
+h AS (SELECT DISTINCT lang, base FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM d WHERE doc_id % 3 = 0) WHERE rank <= 20),
+n AS (SELECT * FROM h ANTI JOIN (SELECT * FROM d WHERE doc_id % 10 = 0) USING (lang, base)),
+c AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, base ORDER BY dist, doc_id) AS r FROM d JOIN n USING (lang, base) WHERE len(text) >= 80)
+SELECT lang, doc_id, false AS by_terms FROM d WHERE doc_id % 10 = 0 UNION ALL SELECT lang, doc_id, true FROM c WHERE r <= 2""")
+def bm25_union(spark, sf_dir):
+    """Every tenth document as a vector hit of its language, every third as a hit of the terms; the nearest texts of new papers."""
+    d = papers(spark, sf_dir).select(F.col("lang").alias("q"), "paper_id", F.col("doc_id").alias("ord"), (F.col("doc_id") * 37 % 101).alias("dist"), F.length("text").alias("n_chars"))
+    hits = d.where("ord % 3 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("ord")))
+    return retrieval.with_term_papers(d.where("ord % 10 = 0"), hits, d).select(F.col("q").alias("lang"), F.col("ord").alias("doc_id"), "by_terms")
+
+
+_QUESTIONS = ("2024년 이후 나온 논문 3개 찾아줘", "최신 연구(2023~2021년) 12편 추천해줘", "작년에 나온 상위 10개 중 하나", "요즘 연구 5편의 논문을 골라줘", "2022년 이전 연구", "2023년까지 나온 논문 4편 정리해줘")
+_STATED = "(VALUES (0, 2024, NULL, 3), (1, 2021, 2023, NULL), (2, 2029, 2029, NULL), (3, NULL, NULL, 5), (4, NULL, 2021, NULL), (5, NULL, 2023, 4)) a(q, first, last, n)"
+
+
+def _stated(spark):
+    asked = spark.createDataFrame(list(enumerate(_QUESTIONS)), "q long, question string")
+    return asked.withColumn("years", questions.year_range(F.col("question"), 2030)).select("q", "years.first", "years.last", questions.requested_count(F.col("question")).alias("n"))
+
+
+@query(f"SELECT q::BIGINT AS q, first, last, n FROM {_STATED}")
+def question_conditions(spark, sf_dir):
+    return _stated(spark)
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 6 AS q, 2020 + doc_id % 7 AS year FROM documents), j AS (SELECT *, (first IS NULL OR year >= first) AND (last IS NULL OR year <= last) AS inside FROM d JOIN {_STATED} USING (q)),
+s AS (SELECT *, CASE WHEN first IS NULL AND last IS NULL THEN 'any' WHEN bool_or(inside) OVER (PARTITION BY q) THEN 'kept' ELSE 'none' END AS status FROM j) SELECT doc_id, q, status FROM s WHERE status <> 'kept' OR inside""")
+def year_filter(spark, sf_dir):
+    """Documents of made-up years as hits of six questions."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 6).alias("q"), (2020 + F.col("doc_id") % 7).alias("year"))
+    return retrieval.within_years(d, _stated(spark)).select("doc_id", "q", "status")
+
+
 @query(rf"""WITH {PAPERS}, t AS (SELECT doc_id, lang, list_distinct(list_filter(regexp_split_to_array(lower(trim(title)), '[^0-9A-Za-z가-힣]+'), lambda x: len(x) >= 2)) AS t FROM papers),
 asked AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(trim(title)), '[^0-9A-Za-z가-힣]+'), lambda x: len(x) >= 2)) AS a FROM papers WHERE doc_id = 11),
 s AS (SELECT lang, doc_id, CASE WHEN len(a) >= 2 THEN len(list_intersect(a, t)) / greatest(1, len(a)) ELSE 0 END AS share FROM t, asked), b AS (SELECT *, first_value(doc_id) OVER (PARTITION BY lang ORDER BY share DESC, doc_id) AS best FROM s)
@@ -381,7 +430,10 @@ def wilson(spark, sf_dir):
 
 @query(f"WITH {_JUDGED} SELECT lang, list_sort(list(n_chars))[count(*)::INT // 2 + 1] AS upper_median, round(median(n_chars), 6) AS median, count(DISTINCT source) AS n_sources FROM j GROUP BY lang")
 def medians(spark, sf_dir):
-    return _judged(spark, sf_dir).groupBy("lang").agg(evaluate.upper_median("n_chars").alias("upper_median"), F.round(F.median("n_chars"), 6).alias("median"), F.count_distinct("source").alias("n_sources"))
+    j = _judged(spark, sf_dir).select("lang", "n_chars", "source")
+    upper = evaluate.upper_medians(j, "lang", "n_chars").withColumnRenamed("lang", "of")
+    rest = j.groupBy("lang").agg(F.round(F.median("n_chars"), 6).alias("median"), F.count_distinct("source").alias("n_sources"))
+    return rest.join(upper, F.col("lang").eqNullSafe(F.col("of"))).drop("of")
 
 
 @query(f"WITH {_JUDGED} SELECT sum((quality = 1 AND toxic = 1)::INT)::BIGINT AS both, sum((quality = 1 AND toxic <> 1)::INT)::BIGINT AS only_a, sum((quality <> 1 AND toxic = 1)::INT)::BIGINT AS only_b, sum((quality <> 1 AND toxic <> 1)::INT)::BIGINT AS neither FROM j")
@@ -410,6 +462,19 @@ def pearson(spark, sf_dir):
     return _judged(spark, sf_dir).agg(F.round(F.corr(F.col("n_chars").cast("double"), F.col("quality").cast("double")), 6).alias("r"), F.count("*").alias("n"))
 
 
+@query("""WITH a AS (SELECT doc_id, lang, source, text FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE source END AS source, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0)
+SELECT CASE WHEN b.doc_id IS NULL THEN 'not_both' WHEN a.source IS DISTINCT FROM b.source THEN 'context_differs' WHEN l.toxic = 1 THEN 'no_gold' WHEN COALESCE(trim(a.text), '') = '' OR COALESCE(trim(b.text), '') = '' THEN 'empty_answer' ELSE 'passed' END AS verdict, count(*) AS n
+FROM a LEFT JOIN b USING (doc_id) LEFT JOIN labels l USING (doc_id) GROUP BY verdict""")
+def run_pairs(spark, sf_dir):
+    """Two runs over the documents, joined by question with the first reason why a pair is not compared."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    a, b = d.where("doc_id % 11 <> 0"), d.where("doc_id % 13 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("source")).alias("b_source"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("b_text"), F.lit(True).alias("both"))
+    pairs = a.join(b, "doc_id", "left").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rules = {"not_both": F.col("both").isNull(), "context_differs": ~F.col("source").eqNullSafe(F.col("b_source")), "no_gold": F.col("toxic") == 1, "empty_answer": blank("text") | blank("b_text")}
+    return pairs.groupBy(evaluate.first_failing(rules).alias("verdict")).agg(F.count("*").alias("n"))
+
+
 # Grounding and decontamination
 
 
