@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.functions import ids, questions, stats, text
+from tidemill.functions import ids, questions, stats, text, verdicts
 from tidemill.operators import grounding, keys, retrieval, schedule
 from tidemill.sources import tables
 from tidemill.streaming import jobs
@@ -118,3 +118,38 @@ def test_question_conditions(spark, question, years, n):
 @pytest.mark.parametrize(("lines", "want"), [(["x" * 20] * 3, True), (["x" * 20, "y" * 30, "x" * 20, "y" * 30], False), (["a"] * 5, False), ([], False)])
 def test_has_repeated_line(spark, lines, want):
     assert one(spark, text.has_repeated_line(F.col("c")), c="\n".join(lines)) is want
+
+
+@pytest.mark.parametrize(("query", "want"), [
+    ("deep research agents for papers 2025", '"deep research" agents for'), ("deep research agents evaluation survey 2025", '"deep research" agents evaluation'),
+    ("graph rag retrieval large Large", "graph rag retrieval"), ("recent xlarge model, methods tuning", "xlarge model tuning"), ("  best papers ", "best papers"), (None, ""),
+])
+def test_cleaned_query(spark, query, want):
+    assert one(spark, questions.cleaned(F.col("c")), c=query) == want
+
+
+@pytest.mark.parametrize(("raw", "graded", "want"), [
+    ("답: 문서 3", False, ("있음", 3)), ("답： [문서 12]", False, ("있음", 12)), ("답: 없음", False, ("없음", None)), ("모름", False, None), (None, False, None),
+    ("답: 부분, 문서 2", True, ("부분", 2)), ("답: 있음 [문서 4", True, ("있음", 4)), ("답: 없음", True, ("없음", None)), ("답: 문서 3", True, None),
+])
+def test_picked(spark, raw, graded, want):
+    found = one(spark, verdicts.picked(F.col("c"), graded), c=raw)
+    assert (found and tuple(found)) == want
+
+
+def test_item_documents(spark):
+    rows = spark.createDataFrame([(1, "문서 2: 항목 1, 3\n문서 1: 1\n문서 2: 1\n문서 3: 없음 1"), (2, "x"), (3, None)], "k long, raw string")
+    found = {(r.k, r.item): r.docs for r in verdicts.item_documents(rows, "k", "raw", 2).collect()}
+    assert found == {(1, 1): [2, 1]}
+
+
+@pytest.mark.parametrize(("answer", "gold", "want"), [
+    ("### 서론\n소개.\n### 본론\n1. A [문서 2]\n2. B [문서 1]\n### 결론\n끝", [2], []),
+    ("### 서론\n소개.\n### 본론\n1. A [문서 1]\n2. B\n### 결론\n끝 [문서 9]", [2], ["인용범위", "항목무인용", "정답이1번아님"]),
+    ("### 서론\n소개 {x} 2401.00001v2\n### 본론\n1. A [문서 1]\n### 결론\n끝", [], ["arXivID", "플레이스홀더/힌트누출", "정답없는데안밝힘"]),
+    (f"### 서론\n{verdicts.NO_DOCUMENT}.\n### 본론\n1. A [문서 1]\n### 결론\n끝", [1], ["정답있는데없다고함"]),
+    (None, [], ["섹션", "본론항목", "정답없는데안밝힘"]),
+])
+def test_format_violations(spark, answer, gold, want):
+    rows = spark.createDataFrame([(answer, gold, 5)], "a string, g array<int>, n int")
+    assert rows.select(verdicts.format_violations(F.col("a"), F.col("g"), F.col("n")).alias("x")).first().x == want

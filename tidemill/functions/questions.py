@@ -30,3 +30,43 @@ def requested_count(c: Column, least: int = 2, most: int = 10) -> Column:
     """The number of papers that a question asks for, null without one or outside of least to most."""
     n = F.regexp_extract(c, COUNT, 1).try_cast("int")
     return F.when(n.between(least, most), n)
+
+
+# Words and patterns that decide results.
+INTENTS = {
+    "survey": ("survey systematic review overview literature", r"\b(survey|systematic\s+review|overview|literature\s+review)\b"),
+    "benchmark": ("benchmark evaluation metrics dataset", r"(?s)^(?=.*benchmark).*(evaluation|metric|dataset)"),
+    "framework": ("framework architecture pipeline design", r"framework|pipeline"),
+    "method": ("method approach algorithm methodology", r"\b(method|approach|algorithm|methodology)\b"),
+}
+GENERIC = (
+    "research researches academic paper papers study studies survey surveys keywords keyword summary trend trends "
+    "overview literature article articles publication publications recent latest methods method approach approaches "
+    "best practices guidelines"
+).split()
+PHRASES = ("deep research",)
+YEAR_WORD = r"^(?:19|20)\d\d$"
+
+
+def variants(c: Column, most: int = 6, least_chars: int = 8) -> Column:
+    """Array of (intent, query): the query itself, then with the words of each intent that it doesn't state yet; only
+    itself if it is short, nothing if it is blank."""
+    base = F.trim(F.coalesce(c, F.lit("")))
+    added = [
+        F.when((F.length(base) >= least_chars) & ~F.lower(base).rlike(stated), F.struct(F.lit(intent).alias("intent"), F.trim(F.regexp_replace(F.concat(base, F.lit(f" {words}")), r"\s+", " ")).alias("query")))
+        for intent, (words, stated) in INTENTS.items()
+    ]
+    own = F.when(base != "", F.struct(F.lit("base").alias("intent"), base.alias("query")))
+    return F.slice(F.array_compact(F.array(own, *added)), 1, max(1, most))
+
+
+def cleaned(c: Column, least: int = 3) -> Column:
+    """The query without generic words and years, fixed phrases in quotes; the query itself if fewer than `least` words stay."""
+    q = F.coalesce(c, F.lit(""))
+    for phrase in PHRASES:
+        q = F.regexp_replace(q, f"(?i){phrase}", phrase.replace(" ", "\0"))
+    held = lambda t: F.instr(t, "\0") > 0
+    kept = F.filter(F.split(q, r"[\s,]+"), lambda t: (t != "") & (held(t) | (~F.lower(t).isin(GENERIC) & ~t.rlike(YEAR_WORD))))
+    kept = F.transform(kept, lambda t: F.when(held(t), F.concat(F.lit('"'), F.replace(t, F.lit("\0"), F.lit(" ")), F.lit('"'))).otherwise(t))
+    kept = F.split(F.regexp_replace(F.array_join(kept, "\1"), "(?i)(?:(?:^|\1)large)+$", ""), "\1")
+    return F.when(F.size(kept) >= least, F.array_join(kept, " ")).otherwise(F.trim(F.coalesce(c, F.lit(""))))

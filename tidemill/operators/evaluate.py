@@ -56,7 +56,7 @@ def upper_medians(rows: DataFrame, by: str, value: str) -> DataFrame:
     return at.where(F.col("reached") > F.floor(F.col("total") / 2)).groupBy(by).agg(F.min(value).alias("upper_median"))
 
 
-def first_failing(rules: dict[str, Column], passed: str = "passed") -> Column:
+def first_failing(rules: dict[str, Column], passed: str | None = "passed") -> Column:
     """The name of the first rule that holds, in the order given; `passed` if none does."""
     return F.coalesce(*[F.when(rule, name) for name, rule in rules.items()], F.lit(passed))
 

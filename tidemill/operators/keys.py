@@ -57,3 +57,20 @@ def quota_sample(df: DataFrame, slot: str, quota: int, key: str, seed: int = 0)
     """Up to `quota` rows of each slot in an order by the md5 of seed and key; the same in every engine."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(slot).orderBy(order))).where(F.col("nth") <= quota)
+
+
+def assembled(rows: DataFrame, slot: str, key: str, order: str, quota: int, reason: str = "reason", seed: int = 0) -> DataFrame:
+    """Rows without a reason of rejection, the first of each key in each slot, and up to `quota` of these, with nth."""
+    columns = [c for c in rows.columns if c not in (slot, key)]
+    first = rows.where(F.col(reason).isNull()).groupBy(slot, key).agg(F.min_by(F.struct(*columns), order).alias("__row"))
+    return quota_sample(first, slot, quota, key, seed).select(slot, key, "__row.*", "nth").drop(reason)
+
+
+def assembly_counts(rows: DataFrame, slot: str, key: str, quota: int, reason: str = "reason") -> DataFrame:
+    """(slot, outcome, n): rows rejected for each reason, and repeated, over quota and used ones."""
+    n = rows.groupBy(slot, reason, key).agg(F.count("*").alias("n"))
+    passed = n.where(F.col(reason).isNull()).groupBy(slot).agg(F.sum("n").alias("all"), F.count("*").alias("keys"))
+    used = F.least("keys", F.lit(quota))
+    parts = F.array(*[F.struct(F.lit(name).alias("outcome"), c.alias("n")) for name, c in (("repeated", F.col("all") - F.col("keys")), ("over_quota", F.col("keys") - used), ("used", used))])
+    kept = passed.select(slot, F.inline(parts)).where("n > 0")
+    return n.where(F.col(reason).isNotNull()).groupBy(slot, F.col(reason).alias("outcome")).agg(F.sum("n").alias("n")).unionByName(kept)

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions import ids, questions, stats, text
+from tidemill.functions import ids, questions, stats, text, verdicts
 from tidemill.operators import evaluate, grounding, keys, retrieval, schedule
 from tidemill.sources.tables import in_range, table
 
@@ -330,6 +330,37 @@ def bm25_union(spark, sf_dir):
     return retrieval.with_term_papers(d.where("ord % 10 = 0"), hits, d).select(F.col("q").alias("lang"), F.col("ord").alias("doc_id"), "by_terms")
 
 
+@query("""WITH a AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS b FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, 'base' AS intent, b AS query FROM a WHERE b <> ''
+UNION ALL SELECT doc_id, i.intent, trim(regexp_replace(b || ' ' || i.words, '\\s+', ' ', 'g')) FROM a, (VALUES ('survey', 'survey systematic review overview literature'), ('benchmark', 'benchmark evaluation metrics dataset'), ('framework', 'framework architecture pipeline design'), ('method', 'method approach algorithm methodology')) i(intent, words)
+WHERE len(b) >= 8 AND NOT CASE i.intent WHEN 'survey' THEN regexp_matches(lower(b), '\\b(survey|systematic\\s+review|overview|literature\\s+review)\\b') WHEN 'benchmark' THEN contains(lower(b), 'benchmark') AND regexp_matches(lower(b), 'evaluation|metric|dataset')
+WHEN 'framework' THEN regexp_matches(lower(b), 'framework|pipeline') ELSE regexp_matches(lower(b), '\\b(method|approach|algorithm|methodology)\\b') END) SELECT doc_id, intent, md5(query) AS digest FROM v""")
+def query_variants(spark, sf_dir):
+    """Every document's first line as a query."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.inline(questions.variants(F.substring_index("text", "\n", 1)))).select("doc_id", "intent", F.md5("query").alias("digest"))
+
+
+_SLOTS = r"""r AS (SELECT doc_id, lang, lower(trim(regexp_replace(split_part(COALESCE(text, ''), chr(10), 1), '\s+', ' ', 'g'))) AS k, CASE WHEN COALESCE(trim(text), '') = '' THEN 'empty' WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'cjk_leak' WHEN len(text) > 5000 THEN 'too_long' END AS reason FROM documents),
+f AS (SELECT lang, k, min(doc_id) AS doc_id FROM r WHERE reason IS NULL GROUP BY lang, k)"""
+
+
+def _slots(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    x = F.coalesce("text", F.lit(""))
+    reason = evaluate.first_failing({"empty": F.trim(x) == "", "cjk_leak": text.hanzi(x) > 0, "too_long": F.length(x) > 5000}, None)
+    return d.select("doc_id", "lang", F.lower(F.trim(F.regexp_replace(F.substring_index(x, "\n", 1), r"\s+", " "))).alias("k"), reason.alias("reason"))
+
+
+@query(f"WITH {_SLOTS} SELECT lang, doc_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || k)) AS nth FROM f) WHERE nth <= 40")
+def assemble_slots(spark, sf_dir):
+    return keys.assembled(_slots(spark, sf_dir), "lang", "k", "doc_id", 40, seed=7).select("lang", "doc_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"WITH {_SLOTS}, p AS (SELECT lang, count(*) AS a FROM r WHERE reason IS NULL GROUP BY lang), u AS (SELECT lang, count(*) AS k FROM f GROUP BY lang), c AS (SELECT p.lang, a, k FROM p JOIN u ON p.lang IS NOT DISTINCT FROM u.lang) SELECT lang, reason AS outcome, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL UNION ALL SELECT * FROM (SELECT lang, 'repeated', a - k AS n FROM c UNION ALL SELECT lang, 'over_quota', k - least(k, 40) FROM c UNION ALL SELECT lang, 'used', least(k, 40) FROM c) WHERE n > 0")
+def assemble_outcomes(spark, sf_dir):
+    return keys.assembly_counts(_slots(spark, sf_dir), "lang", "k", 40)
+
+
 _QUESTIONS = ("2024년 이후 나온 논문 3개 찾아줘", "최신 연구(2023~2021년) 12편 추천해줘", "작년에 나온 상위 10개 중 하나", "요즘 연구 5편의 논문을 골라줘", "2022년 이전 연구", "2023년까지 나온 논문 4편 정리해줘")
 _STATED = "(VALUES (0, 2024, NULL, 3), (1, 2021, 2023, NULL), (2, 2029, 2029, NULL), (3, NULL, NULL, 5), (4, NULL, 2021, NULL), (5, NULL, 2023, 4)) a(q, first, last, n)"
 
