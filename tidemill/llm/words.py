@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,7 +36,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # the worker lives on for other stages
+        release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: the task's worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def split(texts: pa.Array, lower: bool = False) -> Words:
