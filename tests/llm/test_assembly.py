@@ -169,6 +169,6 @@ def test_slots_of_odd_rows(spark, odd, empty, monkeypatch):
 def test_written_shards(spark, odd, tmp_path):
     path = f"{tmp_path}/shards"
     sharding.write(odd, path, (1.0, 1.0))
-    back = spark.read.schema(StructType(odd.schema.fields).add("shard", "integer")).parquet(path)
+    back = spark.read.schema(StructType(list(odd.schema.fields)).add("shard", "integer")).parquet(path)
     assert sorted(str(r) for r in back.select(*odd.columns).collect()) == sorted(str(r) for r in odd.collect())
     assert back.where(F.col("shard") != sharding.shard_of(F.col("doc_id"), (1.0, 1.0))).count() == 0
