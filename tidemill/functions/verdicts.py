@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns and words that decide results.
-PICK = r"답\s*[:：]\s*(?:\[?\s*문서\s*(\d{1,2})\s*\]?|(없음))"
-GRADED_PICK = r"답\s*[:：]\s*(?:(있음|부분)\s*,?\s*\[?\s*문서\s*(\d{1,2})|(없음))"
-ITEM_LINE = r"문서\s*(\d{1,2})\s*[:：]\s*(.*)"
+# Patterns and words that decide results; (?U) gives white space of all scripts.
+PICK = r"(?U)답\s*[:：]\s*(?:\[?\s*문서\s*(\d{1,2})\s*\]?|(없음))"
+GRADED_PICK = r"(?U)답\s*[:：]\s*(?:(있음|부분)\s*,?\s*\[?\s*문서\s*(\d{1,2})|(없음))"
+ITEM_LINE = r"(?U)문서\s*(\d{1,2})\s*[:：]\s*(.*)"
 NONE = "없음"
 SECTIONS = ("서론", "본론", "결론")
 NO_DOCUMENT = "제공된 문서에는 질문이 찾는 연구가 없습니다"
@@ -42,13 +42,13 @@ def _after(c: Column, mark: str) -> Column:
 
 
 def format_violations(answer: Column, gold: Column, n_docs: Column) -> Column:
-    """Names of the format rules that an answer breaks. gold: numbers of the documents that answer the question, maybe none."""
+    """Names of the format rules that an answer breaks, without the counts that a report may put behind two of them. gold: numbers of the documents that answer the question, maybe none."""
     answer = F.coalesce(answer, F.lit(""))
     opening, closing = f"### {SECTIONS[1]}", f"### {SECTIONS[2]}"
-    heads = F.regexp_extract_all(answer, F.lit(r"(?m)^###\s*(서론|본론|결론)\s*$"), F.lit(1))
+    heads = F.regexp_extract_all(answer, F.lit(r"(?mU)^###\s*(서론|본론|결론)\s*$"), F.lit(1))
     body = F.when(answer.contains(opening), F.substring_index(_after(answer, opening), closing, 1)).otherwise("")
-    blocks = F.slice(F.split(body, r"(?m)^\s*\d+\.\s"), 2, 1_000_000)
-    cites = F.regexp_extract_all(answer, F.lit(r"\[문서\s*(\d+)\]"), F.lit(1))
+    blocks = F.slice(F.split(body, r"(?mU)^\s*\d+\.\s"), 2, 1_000_000)
+    cites = F.regexp_extract_all(answer, F.lit(r"(?U)\[문서\s*(\d+)\]"), F.lit(1))
     says_none = F.substring_index(answer, opening, 1).contains(NO_DOCUMENT)
     first = F.coalesce(F.get(blocks, F.lit(0)), F.lit(""))
     has_gold = F.size(gold) > 0
@@ -56,10 +56,10 @@ def format_violations(answer: Column, gold: Column, n_docs: Column) -> Column:
         "섹션": heads != F.array(*map(F.lit, SECTIONS)),
         "본론항목": ~F.size(blocks).between(1, 4),
         "인용범위": F.exists(cites, lambda x: ~F.coalesce(x.try_cast("int").between(1, n_docs), F.lit(False))),
-        "항목무인용": F.exists(blocks, lambda x: ~x.rlike(r"\[문서\s*\d+\]")),
+        "항목무인용": F.exists(blocks, lambda x: ~x.rlike(r"(?U)\[문서\s*\d+\]")),
         "arXivID": answer.rlike(r"(?U)\b\d{4}\.\d{4,5}(v\d+)?\b"),
         "플레이스홀더/힌트누출": answer.rlike(PLACEHOLDER),
-        "정답이1번아님": has_gold & ~F.exists(gold, lambda g: F.regexp(first, F.concat(F.lit(r"\[문서\s*"), g.cast("string"), F.lit(r"\]")))),
+        "정답이1번아님": has_gold & ~F.exists(gold, lambda g: F.regexp(first, F.concat(F.lit(r"(?U)\[문서\s*"), g.cast("string"), F.lit(r"\]")))),
         "정답있는데없다고함": has_gold & says_none,
         "정답없는데안밝힘": ~has_gold & ~says_none,
     }

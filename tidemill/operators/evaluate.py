@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.order import accumulated
+
 
 def first_hits(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """(q, stratum, rank): the first rank with a relevant item, null without one. ranked: (q, item, rank); gold: (q, stratum, item)."""
@@ -34,8 +36,7 @@ def auc(scored: DataFrame, score: str, positive: Column) -> DataFrame:
     """Probability that a positive row scores above a negative one, ties half; by average ranks of distinct scores, which
     are summed before they are ordered, so no pair is formed."""
     at = scored.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = at.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
+    wins = accumulated(at, [], [F.col(score)], {"upto": F.col("n")}).withColumn("wins", F.col("p") * (F.col("upto") - F.col("n") / 2))
     return wins.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.round(F.sum("wins") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 

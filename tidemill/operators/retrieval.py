@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import ids, text
+from tidemill.functions.questions import trimmed
+from tidemill.operators.order import accumulated, numbered
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -24,6 +26,13 @@ def postings(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id", terms
     return rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
+def grouped_postings(docs: DataFrame, key: str, tokens: str = "tokens", terms: DataFrame | None = None) -> DataFrame:
+    """postings() of keys that have several rows, whose tokens count together."""
+    sizes = docs.groupBy(F.col(key).alias("__of")).agg(F.sum(F.size(tokens)).alias("len"))
+    rows = postings(docs, tokens, key, terms).groupBy("term", key).agg(F.sum("tf").alias("tf"))
+    return rows.join(sizes, F.col(key) == F.col("__of")).select("term", key, "tf", "len")
+
+
 def document_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(term, df): documents that have each term; tasks add up their own before the shuffle."""
     return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -76,7 +85,7 @@ def minmax(c: Column, within: Column | str, equal: float = 0.5) -> Column:
     return F.when(high - low < 1e-12, F.lit(equal)).otherwise((c - low) / (high - low))
 
 
-def fused(pool: DataFrame, vector_weight: float = 0.5, bm25_weight: float = 0.5, boost: float = 1.2, query: str | None = None) -> DataFrame:
+def fused(pool: DataFrame, vector_weight: float = 0.5, bm25_weight: float = 0.5, boost: float = 1.2, query: Column | None = None) -> DataFrame:
     """Adds score to (q, ord, dist, bm25, title): weighted min-max of 1 / (1 + dist) and BM25; a BM25 column without
     differences counts 0, one of distances 0.5. Without any distance the incoming order scores. A query of five
     characters or more that stands in the title multiplies by boost."""
@@ -87,8 +96,9 @@ def fused(pool: DataFrame, vector_weight: float = 0.5, bm25_weight: float = 0.5,
     v = F.when(F.count("dist").over(w) > 0, by_dist).otherwise((n - place + 1) / n)
     rows = pool.withColumn("v", v).withColumn("b", F.coalesce("bm25", F.lit(0.0)))
     score = vector_weight * minmax(F.col("v"), "q") + bm25_weight * minmax(F.col("b"), "q", 0.0)
-    if query and len(query.strip()) >= 5:
-        score = score * F.when(F.lower(F.coalesce("title", F.lit(""))).contains(query.strip().lower()), boost).otherwise(1.0)
+    if query is not None:
+        asked = F.lower(trimmed(query))
+        score = score * F.when((F.length(asked) >= 5) & F.contains(F.lower(F.coalesce("title", F.lit(""))), asked), boost).otherwise(1.0)
     return rows.withColumn("score", score)
 
 
@@ -144,19 +154,45 @@ def ranked_papers(chunks: DataFrame, most: int = 10, per_paper: int = 2, pool: i
     return rows.join(papers, ["q", "paper"]).select("q", "paper", "place", "nth", "ord")
 
 
-def with_term_papers(pool: DataFrame, hits: DataFrame, chunks: DataFrame, top: int = 20, per_paper: int = 2, least_chars: int = 80) -> DataFrame:
+def with_term_papers(pool: DataFrame, hits: DataFrame, chunks: DataFrame, top: int = 120, per_paper: int = 5, least_chars: int = 80) -> DataFrame:
     """(q, paper_id, ord, dist, by_terms): the pool's rows (q, paper_id, ord, dist), and of papers that only the terms found
-    (hits: q, paper_id, rank; the first `top`) the nearest chunks (q, paper_id, ord, dist, n_chars) that are long enough.
-    Papers are the same without their versions."""
+    (hits: q, paper_id, rank; the first `top`) the nearest chunks (q, paper_id, ord, dist, n_chars), of which
+    those that are too short are then left out and not replaced. Papers are the same without their versions."""
     same = lambda d: d.withColumn("base", ids.normalize_id(F.col("paper_id")))
     new = same(hits.where(F.col("rank") <= top)).where("base <> ''").select("q", "base").distinct()
     new = new.join(same(pool).select("q", "base"), ["q", "base"], "left_anti")
-    found = same(chunks.where(F.col("n_chars") >= least_chars)).join(new, ["q", "base"])
     near = Window.partitionBy("q", "base").orderBy("dist", "ord")
-    found = found.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= per_paper)
+    found = same(chunks).join(new, ["q", "base"]).withColumn("nth", F.row_number().over(near)).where((F.col("nth") <= per_paper) & (F.col("n_chars") >= least_chars))
     return pool.select("q", "paper_id", "ord", "dist", F.lit(False).alias("by_terms")).unionByName(found.select("q", "paper_id", "ord", "dist", F.lit(True).alias("by_terms")))
 
 
+def candidates(questions: DataFrame, chunks: DataFrame, term_scores: DataFrame, papers: int = 5, top: int = 120, per_hit: int = 5, least_chars: int = 80) -> DataFrame:
+    """The pool of each question, (q, ord, vec_id, paper_id, title, dist, bm25): the max(20 * papers, 100) nearest chunks, the
+    one whose title holds most words of the question first if that is 60 % or more of them, chunks that read like a
+    bibliography last; then the `per_hit` nearest chunks of each of the `top` papers by terms that are not among them, without
+    short ones. bm25 is the paper's score by terms, 0 without one.
+
+    questions: (q, question, qv); chunks: (vec_id, embedding, paper_id, title, n_chars, refs); term_scores: (q, base, bm25) of
+    papers without version. A pool has as many rows for a question as these numbers allow, whatever the chunks are.
+    """
+    fetch = max(20 * papers, 100)
+    near = nearest(chunks, questions.select("q", "qv"), fetch).join(questions.select("q", "question"), "q")
+    words = text.overlap_tokens(F.col("question"))
+    share = F.when(F.size(words) >= 2, F.size(F.array_intersect(words, text.overlap_tokens(F.col("title")))) / F.size(words)).otherwise(0.0)
+    best = F.first("vec_id").over(Window.partitionBy("q").orderBy(F.desc("share"), "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = near.withColumn("share", share).withColumn("later", ((F.col("share") < 0.6) | (F.col("vec_id") != best)).cast("int"))
+    pool = near.select("q", "vec_id", "paper_id", "title", "dist", F.struct(F.lit(0).alias("a"), F.col("refs").cast("int").alias("b"), F.col("later").alias("c"), F.col("rank").cast("double").alias("d")).alias("at"))
+    base = lambda d: d.withColumn("base", ids.normalize_id(F.col("paper_id")))
+    hits = top_k(term_scores.where("bm25 > 0").withColumn("by", F.round("bm25", 9)), top, by="by", key="base").select("q", "base", F.col("rank").alias("hit"))
+    new = hits.join(base(pool).select("q", "base"), ["q", "base"], "left_anti").join(questions.select("q", "qv"), "q")
+    found = base(chunks).join(new, "base").withColumn("dist", 1 - cosine(F.col("embedding"), F.col("qv")))
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("q", "base").orderBy("dist", "vec_id"))).where((F.col("nth") <= per_hit) & (F.col("n_chars") >= least_chars))
+    added = found.select("q", "vec_id", "paper_id", "title", "dist", F.struct(F.lit(1).alias("a"), F.col("hit").cast("int").alias("b"), F.col("nth").cast("int").alias("c"), F.lit(0.0).alias("d")).alias("at"))
+    rows = base(pool.unionByName(added)).join(term_scores.select("q", "base", "bm25"), ["q", "base"], "left")
+    placed = rows.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy("at", "vec_id")))
+    return placed.select("q", F.col("ord").cast("long").alias("ord"), "vec_id", "paper_id", "title", "dist", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+
+
 def within_years(rows: DataFrame, asked: DataFrame, year: str = "year") -> DataFrame:
     """Rows (q, year) inside their query's range (asked: q, first, last; nulls are open), or all of them where none is; adds
     status: any (nothing asked), kept or none. Queries' counts are added up in tasks, so a query with many rows isn't one task."""
@@ -173,25 +209,28 @@ def promoted(rows: DataFrame, query_tokens: Column, least: float = 0.6) -> DataF
     """Adds pos: the row whose title holds most query tokens comes first if that is `least` of them or more; else by ord."""
     share = F.size(F.array_intersect(query_tokens, text.overlap_tokens(F.col("title")))) / F.greatest(F.size(query_tokens), F.lit(1))
     rows = rows.withColumn("share", F.when(F.size(query_tokens) >= 2, share).otherwise(0.0))
-    best = F.first("ord").over(Window.partitionBy("q").orderBy(F.desc("share"), "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    top = (F.col("ord") == best) & (F.col("share") >= least)
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(F.when(top, 0).otherwise(1), "ord")))
+    # the best of each query is found in the tasks before the shuffle; only it changes its place
+    best = rows.where(F.col("share") >= least).groupBy(F.col("q").alias("of")).agg(F.max_by("ord", F.struct("share", -F.col("ord"))).alias("best"))
+    rows = rows.join(best, F.col("q").eqNullSafe(F.col("of")), "left").withColumn("first", F.coalesce(F.col("ord") == F.col("best"), F.lit(False)))
+    return numbered(rows.drop("of", "best"), ["q"], [F.desc("first"), F.col("ord")]).drop("first")
 
 
 def demoted(rows: DataFrame, flag: Column) -> DataFrame:
     """Adds pos: rows without the flag first, each kind in its order."""
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy(flag.cast("int"), "ord")))
+    return numbered(rows.withColumn("flagged", flag.cast("int")), ["q"], [F.col("flagged"), F.col("ord")]).drop("flagged")
 
 
 def first_per_paper(rows: DataFrame) -> DataFrame:
     """Adds pos: each paper's first row in order, then the others; rows without an id count as papers of their own."""
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("q", _own_paper()).orderBy("ord")))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy((F.col("nth") > 1).cast("int"), "ord")))
+    paper = rows.withColumn("paper", _own_paper())
+    first = paper.groupBy(F.col("q").alias("of"), F.col("paper").alias("by")).agg(F.min("ord").alias("first"))
+    rows = paper.join(first, F.col("q").eqNullSafe(F.col("of")) & (F.col("paper") == F.col("by"))).withColumn("later", (F.col("ord") > F.col("first")).cast("int"))
+    return numbered(rows.drop("of", "by", "first", "paper"), ["q"], [F.col("later"), F.col("ord")]).drop("later")
 
 
 def within_budget(rows: DataFrame, most: int, by: str = "paper_id", order: str = "ord", size: str = "n_chars") -> DataFrame:
     """Rows in order until the first that would exceed `most` in sum."""
-    return rows.withColumn("__sum", F.sum(size).over(Window.partitionBy(by).orderBy(order))).where(F.col("__sum") <= most).drop("__sum")
+    return accumulated(rows, [by], [F.col(order)], {"__sum": F.col(size)}).where(F.col("__sum") <= most).drop("__sum")
 
 
 def interleaved(rows: DataFrame, most: int = 3) -> DataFrame:
@@ -209,16 +248,17 @@ def reranked(rows: DataFrame, score: str, n: int = 50) -> DataFrame:
 
 def hybrid_merge(vectors: DataFrame, terms: DataFrame, vector_weight: float = 0.5, term_weight: float = 0.5, k: int = 30) -> DataFrame:
     """(q, paper_id, vec_id, score, rank): the k best of vector rows (q, paper_id, vec_id, dist) and papers that only the terms
-    found (q, paper_id, bm25), which have no vec_id. Each signal is scaled to 0 to 1 within a query, one value alone to 0; an
+    found (q, paper_id, bm25), which have no vec_id and are named without version. Papers are the same without their versions. Each signal is scaled to 0 to 1 within a query, one value alone to 0; an
     absent signal is 0, a null distance 0.5. A paper's rows of terms count by their best; ties go to vector rows, then by id."""
 
     def scaled(c: Column) -> Column:
         low, high = F.min(c).over(Window.partitionBy("q")), F.max(c).over(Window.partitionBy("q"))
         return (c - low) / F.when(high > low, high - low).otherwise(1.0)
 
-    v = vectors.withColumn("v", scaled(1 - F.coalesce("dist", F.lit(0.5)))).select("q", "paper_id", "vec_id", "v")
-    b = terms.withColumn("b", scaled(F.col("bm25"))).groupBy("q", "paper_id").agg(F.max("b").alias("b"))
+    base = ids.normalize_id(F.col("paper_id")).alias("base")
+    v = vectors.withColumn("v", scaled(1 - F.coalesce("dist", F.lit(0.5)))).select("q", "paper_id", base, "vec_id", "v")
+    b = terms.withColumn("b", scaled(F.col("bm25"))).groupBy("q", base).agg(F.max("b").alias("b"))
     score = vector_weight * F.coalesce("v", F.lit(0.0)) + term_weight * F.coalesce("b", F.lit(0.0))
     place = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), F.col("vec_id").asc_nulls_last(), "paper_id")
-    merged = v.join(b, ["q", "paper_id"], "full").withColumn("score", score)
+    merged = v.join(b, ["q", "base"], "full").withColumn("paper_id", F.coalesce("paper_id", "base")).withColumn("score", score)
     return merged.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("q", "paper_id", "vec_id", "score", "rank")

@@ -5,41 +5,15 @@ Documents stand for papers and chunks: their ids are made from doc_id, and the f
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import ids, questions, stats, text, verdicts
 from tidemill.operators import evaluate, grounding, keys, retrieval, schedule
+from tidemill.plans.registry import ORACLE_SQL, PAPERS, QUERIES, TOKENS, papers, query
 from tidemill.sources.tables import in_range, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    pid = F.format_string("%04d.%05d", 2401 + F.pmod("doc_id", F.lit(12)), F.pmod("doc_id", F.lit(700)))
-    return d.select("doc_id", F.concat(pid, F.lit("v"), (F.col("doc_id") % 3 + 1).cast("string")).alias("paper_id"), F.substring_index("text", "\n", 1).alias("title"), "text", "source", "lang", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("string").alias("published"))
-
-
-PAPERS = r"""papers AS (SELECT doc_id, printf('%04d.%05dv%d', 2401 + doc_id % 12, doc_id % 700, doc_id % 3 + 1) AS paper_id, split_part(text, chr(10), 1) AS title,
-  text, source, lang, strftime(DATE '2024-01-01' + (doc_id % 365)::INT, '%Y-%m-%d') AS published FROM documents)"""
-#: Tokens of a text in DuckDB: lower case, a-b as a, b and ab, split at other characters, of two characters or more.
-TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(trim(text)), '([\pL\pN_]+)-([\pL\pN_]+)', '\1 \2 \1\2', 'g'), '[^0-9A-Za-z가-힣]+'), lambda t: len(t) >= 2)"
-
+from tidemill.plans import ranking  # noqa: F401 - registers its queries
 
 # Text
 
@@ -212,8 +186,9 @@ idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) EL
 
 
 def _index(spark, sf_dir):
-    """Documents with their tokens, the terms' weights, and the mean length. Texts are tokenized once; executors keep the tokens."""
-    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens")).persist(StorageLevel.DISK_ONLY).where(F.size("tokens") > 0)
+    """Documents with their tokens, the terms' weights, and the mean length. Nothing is kept: tokenizing again costs less than
+    writing all tokens."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     n, mean = d.agg(F.count("*"), F.avg(F.size("tokens"))).first()
     return d, retrieval.term_weights(retrieval.document_counts(d), n), mean
 
@@ -259,77 +234,6 @@ def nearest_per_label(spark, sf_dir):
     return retrieval.nearest(*_probe(spark, sf_dir), 2, "label").select("q", "label", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-_MERGED = f"""{_NEAR}, ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, vec_id) AS r, row_number() OVER (PARTITION BY q, label ORDER BY dist, vec_id) AS rl FROM near),
-vec AS (SELECT q, label AS paper_id, vec_id, 1 - dist AS sim FROM ranked WHERE r <= 5),
-bm AS (SELECT q, label AS paper_id, (vec_id * 37 % 101)::DOUBLE AS bm25 FROM ranked WHERE rl = 1 AND vec_id % 2 = 0),
-v AS (SELECT q, paper_id, vec_id, (sim - min(sim) OVER w) / CASE WHEN max(sim) OVER w > min(sim) OVER w THEN max(sim) OVER w - min(sim) OVER w ELSE 1 END AS v FROM vec WINDOW w AS (PARTITION BY q)),
-b AS (SELECT q, paper_id, (bm25 - min(bm25) OVER w) / CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN max(bm25) OVER w - min(bm25) OVER w ELSE 1 END AS b FROM bm WINDOW w AS (PARTITION BY q)),
-merged AS (SELECT q, paper_id, vec_id, 0.5 * COALESCE(v, 0) + 0.5 * COALESCE(b, 0) AS score FROM v FULL JOIN b USING (q, paper_id))"""
-
-
-@query(f"WITH {_MERGED} SELECT q, paper_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id NULLS LAST, paper_id) AS rank FROM merged) WHERE rank <= 30")
-def hybrid_merge(spark, sf_dir):
-    """The five nearest vectors of each query, and every second label's nearest as the papers that terms found."""
-    v, probe = _probe(spark, sf_dir)
-    near = retrieval.nearest(v, probe, 5).select("q", F.col("label").alias("paper_id"), "vec_id", "dist")
-    found = retrieval.nearest(v, probe, 1, "label").where("vec_id % 2 = 0").select("q", F.col("label").alias("paper_id"), (F.col("vec_id") * 37 % 101).cast("double").alias("bm25"))
-    return retrieval.hybrid_merge(near, found).select("q", "paper_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-_POOL = f"""{_NEAR}, pool AS (SELECT q, vec_id AS ord, label::VARCHAR AS paper_id, '' AS title, dist, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE (vec_id * 37 % 101)::DOUBLE END AS bm25 FROM near),
-sig AS (SELECT *, 1 / (1 + greatest(0, dist)) AS v, COALESCE(bm25, 0) AS b FROM pool)"""
-
-
-def _pool(spark, sf_dir):
-    near = retrieval.nearest(*_probe(spark, sf_dir), 10**9)
-    return near.select("q", F.col("vec_id").alias("ord"), F.col("label").cast("string").alias("paper_id"), F.lit("").alias("title"), "dist", F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") * 37 % 101).cast("double")).alias("bm25"))
-
-
-_FUSED = """fus AS (SELECT q, ord, paper_id, 0.5 * COALESCE((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0.5) + 0.5 * COALESCE((b - min(b) OVER w) / nullif(max(b) OVER w - min(b) OVER w, 0), 0) AS score FROM sig WINDOW w AS (PARTITION BY q))"""
-
-
-@query(f"WITH {_POOL}, {_FUSED} SELECT q, ord, round(score, 6) AS score FROM fus")
-def minmax_fusion(spark, sf_dir):
-    return retrieval.fused(_pool(spark, sf_dir)).select("q", "ord", F.round("score", 6).alias("score"))
-
-
-@query(f"WITH {_POOL} SELECT q, ord, round(1 / (60 + row_number() OVER (PARTITION BY q ORDER BY v DESC, ord)) + 1 / (60 + row_number() OVER (PARTITION BY q ORDER BY b DESC, ord)), 9) AS rrf FROM sig")
-def rrf_fusion(spark, sf_dir):
-    return retrieval.rrf(retrieval.fused(_pool(spark, sf_dir))).select("q", "ord", F.round("rrf", 9).alias("rrf"))
-
-
-@query(f"WITH {_POOL}, {_FUSED}, nth AS (SELECT *, row_number() OVER (PARTITION BY q, paper_id ORDER BY score DESC, ord) AS r FROM fus) SELECT q, paper_id AS paper, count(*) AS n_chunks, round(sum(CASE r WHEN 1 THEN score WHEN 2 THEN 0.15 * score ELSE 0 END), 6) AS score FROM nth GROUP BY q, paper_id")
-def doc_score_top2(spark, sf_dir):
-    return retrieval.document_scores(retrieval.fused(_pool(spark, sf_dir))).select("q", "paper", "n_chunks", F.round("score", 6).alias("score"))
-
-
-@query(f"""WITH {_POOL}, {_FUSED}, nth AS (SELECT *, row_number() OVER (PARTITION BY q, paper_id ORDER BY score DESC, ord) AS r FROM fus),
-p AS (SELECT q, paper_id, sum(CASE r WHEN 1 THEN score WHEN 2 THEN 0.15 * score ELSE 0 END) AS s, min(ord) AS o, max(CASE WHEN r = 1 THEN ord * 13 % 101 / 100 END) AS l, max(CASE WHEN r = 1 THEN ord * 29 % 97 END) AS c FROM nth GROUP BY q, paper_id),
-a AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round((s + 0.08 * l) * CASE WHEN l > 0.7 THEN 1.05 ELSE 1 END, 9) DESC, o) AS r1 FROM p),
-b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY r1 > 4, CASE WHEN r1 <= 4 THEN -c ELSE 0 END, r1) AS pos FROM a),
-m AS (SELECT *, (pos > 5 AND paper_id IN ('1', '2'))::INT AS missed FROM b), k AS (SELECT *, sum(missed) OVER (PARTITION BY q) AS n FROM m),
-f AS (SELECT q, paper_id, row_number() OVER (PARTITION BY q ORDER BY pos) AS place FROM k WHERE pos <= 5 - n OR missed = 1)
-SELECT q, paper_id AS paper, place, r AS nth, ord FROM f JOIN nth USING (q, paper_id) WHERE r <= 2""")
-def paper_ranking(spark, sf_dir):
-    """Five papers (labels) of each query with two chunks each, the first four by another score, labels 1 and 2 protected."""
-    pool = retrieval.fused(_pool(spark, sf_dir)).withColumn("likeness", F.col("ord") * 13 % 101 / 100).withColumn("close", (F.col("ord") * 29 % 97).cast("double"))
-    named = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.explode(F.array(F.lit("1"), F.lit("2"))).alias("paper"))
-    rows = retrieval.ranked_papers(pool, most=5, per_paper=2, pool=4, protected=named)
-    return rows.select("q", "paper", F.col("place").cast("long").alias("place"), F.col("nth").cast("long").alias("nth"), "ord")
-
-
-@query(rf"""WITH {PAPERS}, d AS (SELECT *, regexp_replace(paper_id, 'v[0-9]+$', '') AS base, doc_id * 37 % 101 AS dist FROM papers),
-h AS (SELECT DISTINCT lang, base FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM d WHERE doc_id % 3 = 0) WHERE rank <= 20),
-n AS (SELECT * FROM h ANTI JOIN (SELECT * FROM d WHERE doc_id % 10 = 0) USING (lang, base)),
-c AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, base ORDER BY dist, doc_id) AS r FROM d JOIN n USING (lang, base) WHERE len(text) >= 80)
-SELECT lang, doc_id, false AS by_terms FROM d WHERE doc_id % 10 = 0 UNION ALL SELECT lang, doc_id, true FROM c WHERE r <= 2""")
-def bm25_union(spark, sf_dir):
-    """Every tenth document as a vector hit of its language, every third as a hit of the terms; the nearest texts of new papers."""
-    d = papers(spark, sf_dir).select(F.col("lang").alias("q"), "paper_id", F.col("doc_id").alias("ord"), (F.col("doc_id") * 37 % 101).alias("dist"), F.length("text").alias("n_chars"))
-    hits = d.where("ord % 3 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("ord")))
-    return retrieval.with_term_papers(d.where("ord % 10 = 0"), hits, d).select(F.col("q").alias("lang"), F.col("ord").alias("doc_id"), "by_terms")
-
-
 @query("""WITH a AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS b FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, 'base' AS intent, b AS query FROM a WHERE b <> ''
 UNION ALL SELECT doc_id, i.intent, trim(regexp_replace(b || ' ' || i.words, '\\s+', ' ', 'g')) FROM a, (VALUES ('survey', 'survey systematic review overview literature'), ('benchmark', 'benchmark evaluation metrics dataset'), ('framework', 'framework architecture pipeline design'), ('method', 'method approach algorithm methodology')) i(intent, words)
 WHERE len(b) >= 8 AND NOT CASE i.intent WHEN 'survey' THEN regexp_matches(lower(b), '\\b(survey|systematic\\s+review|overview|literature\\s+review)\\b') WHEN 'benchmark' THEN contains(lower(b), 'benchmark') AND regexp_matches(lower(b), 'evaluation|metric|dataset')
@@ -389,7 +293,7 @@ s AS (SELECT lang, doc_id, CASE WHEN len(a) >= 2 THEN len(list_intersect(a, t))
 SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN doc_id = best AND share >= 0.6 THEN 0 ELSE 1 END, doc_id) AS pos FROM b""")
 def title_promote(spark, sf_dir):
     p = papers(spark, sf_dir)
-    asked = p.where("doc_id = 11").select(text.overlap_tokens(F.col("title")).alias("a"))
+    asked = p.where("doc_id = 11").agg(F.min("title").alias("title")).select(text.overlap_tokens(F.col("title")).alias("a"))
     rows = p.select(F.col("lang").alias("q"), F.col("doc_id").alias("ord"), "title").join(F.broadcast(asked))  # one row
     return retrieval.promoted(rows, F.col("a")).select(F.col("q").alias("lang"), F.col("ord").alias("doc_id"), F.col("pos").cast("long").alias("pos"))
 
