@@ -71,7 +71,7 @@ bm AS (SELECT q, base, greatest(0, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.2
 def _term_scores(chunks, asked):
     """(q, base, bm25): the Okapi scores of papers, all chunks of one together, for the questions as widened."""
     docs = chunks.select("base", text.tokens(F.col("text")).alias("tokens"))
-    wide = asked.select("q", text.tokens(questions.expanded(F.col("question"))).alias("terms"))
+    wide = stored(asked.select("q", questions.expanded(F.col("question")).alias("x")), "questions").select("q", text.tokens(F.col("x")).alias("terms"))
     index = retrieval.grouped_postings(docs, "base", terms=wide.select(F.explode("terms").alias("term")).distinct())
     n, mean = docs.groupBy("base").agg(F.sum(F.size("tokens")).alias("len")).where("len > 0").agg(F.count("*"), F.avg("len")).first()
     counts = docs.select("base", F.explode(F.array_distinct("tokens")).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
