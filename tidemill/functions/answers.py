@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemill.functions.bind import once
 from tidemill.functions.text import hanzi
 
 # Heads, sentences, words and patterns that decide results; (?U) gives classes of all scripts.
@@ -43,27 +44,38 @@ def _all(c: Column, pattern: str, group: int = 0) -> Column:
 
 def mapped(c: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
     """c with f of each match in its place."""
-    return F.array_join(F.zip_with(F.split(c, pattern, -1), _all(c, pattern), lambda rest, m: F.concat(rest, F.coalesce(f(m), F.lit("")))), "")
+    return once(c, lambda x: F.array_join(F.zip_with(F.split(x, pattern, -1), _all(x, pattern), lambda rest, m: F.concat(rest, F.coalesce(f(m), F.lit("")))), ""))
 
 
-def _cut(c: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """What stands before the first match, the match, and what follows; nulls without one."""
-    parts = F.split(c, pattern, 2)
-    there = F.size(parts) == 2
-    return F.when(there, parts[0]), F.when(there, F.regexp_extract(c, pattern, 0)), F.when(there, F.get(parts, F.lit(1)))
+def _cut(c: Column, pattern: str) -> Column:
+    """Struct (a, m, z): what stands before the first match, the match, and what follows; null without one."""
+
+    def parts(x: Column) -> Column:
+        rest = lambda s: F.when(F.size(s) == 2, F.struct(s[0].alias("a"), F.regexp_extract(x, pattern, 0).alias("m"), F.get(s, F.lit(1)).alias("z")))
+        return once(F.split(x, pattern, 2), rest)
+
+    return once(c, parts)
+
+
+def _parted(c: Column) -> Column:
+    """Struct (a, b, z): the cuts of an answer at the body's head, and of what follows at the conclusion's head."""
+    return once(_cut(c, BODY), lambda a: F.struct(a.alias("a"), _cut(a["z"], CONCLUSION).alias("z")))
 
 
 def sections(c: Column) -> Column:
     """Struct (lead, body, rest) that joins to the answer: through the body's head, the body, from the conclusion's head on if
     that follows. Without a body's head all is lead and body is null."""
     c = F.coalesce(c, F.lit(""))
-    before, head, after = _cut(c, BODY)
-    body, close, rest = _cut(after, CONCLUSION)
-    ends = body.isNotNull() & (body != "") & ~before.rlike(CONCLUSION)
-    return F.struct(
-        F.when(head.isNull(), c).otherwise(F.concat(before, head)).alias("lead"),
-        F.when(ends, body).otherwise(after).alias("body"), F.when(ends, F.concat(close, rest)).otherwise("").alias("rest"),
-    )
+
+    def named(p: Column) -> Column:
+        head, close = p["a"], p["z"]
+        ends = close["a"].isNotNull() & (close["a"] != "") & ~head["a"].rlike(CONCLUSION)
+        return F.struct(
+            F.when(head["m"].isNull(), c).otherwise(F.concat(head["a"], head["m"])).alias("lead"),
+            F.when(ends, close["a"]).otherwise(head["z"]).alias("body"), F.when(ends, F.concat(close["m"], close["z"])).otherwise("").alias("rest"),
+        )
+
+    return once(_parted(c), named)
 
 
 def cited(c: Column) -> Column:
@@ -74,35 +86,38 @@ def cited(c: Column) -> Column:
 def contradiction_dropped(c: Column) -> Column:
     """Without the introduction's first sentence that no document is there, if the conclusion doesn't say so too. Answers
     without the three heads in order are unchanged."""
-    before, head, rest = _cut(c, INTRO)
-    intro, body_head, after = _cut(rest, BODY)
-    body, _, conclusion = _cut(after, CONCLUSION)
-    ordered = body.isNotNull() & ~F.concat(before, intro).rlike(CONCLUSION) & ~before.rlike(BODY)
-    first, _, tail = _cut(intro, NO_DOCUMENT)
-    new = F.regexp_replace(F.concat(first, tail), r"^(\n?)[ \t]+", "$1")
-    wrong = ordered & first.isNotNull() & ~conclusion.rlike(NEGATIVE)
-    return F.when(F.coalesce(wrong, F.lit(False)), F.concat(before, head, new, body_head, after)).otherwise(c)
+
+    def mended(i: Column, p: Column) -> Column:
+        head, close, said = p["a"], p["z"], _cut(p["a"]["a"], NO_DOCUMENT)
+        ordered = close["a"].isNotNull() & ~F.concat(i["a"], head["a"]).rlike(CONCLUSION) & ~i["a"].rlike(BODY)
+        new = F.regexp_replace(F.concat(said["a"], said["z"]), r"^(\n?)[ \t]+", "$1")
+        return F.when(ordered & said["a"].isNotNull() & ~close["z"].rlike(NEGATIVE), F.concat(i["a"], i["m"], new, head["m"], head["z"]))
+
+    return F.coalesce(once(_cut(c, INTRO), lambda i: once(_parted(i["z"]), lambda p: mended(i, p))), c)
 
 
 def related_marked(c: Column) -> Column:
     """Body items marked as related if the conclusion says that nothing was found, and the introduction begins with saying so;
     marked items stay."""
-    before, body_head, after = _cut(c, BODY)
-    body, close, rest = _cut(after, CONCLUSION)
-    own = F.coalesce(_cut(rest, CONCLUSION_END)[0], rest)
-    # an item without a bold name gets the mark behind its number
-    def mark(line: Column) -> Column:
+
+    def mark(line: Column) -> Column:  # an item without a bold name gets the mark behind its number
         m, name = F.regexp_extract(line, ITEM_NAME, 0), F.regexp_extract(line, ITEM_NAME, 2)
         behind = F.regexp_replace(line, ITEM_NAME, "")
         new = F.when(name != "", F.concat(m, F.lit(f" {RELATED}"), behind)).otherwise(F.concat(m, F.lit(f"{RELATED} "), behind))
         return F.when(line.rlike(ITEM_NAME) & ~F.contains(line, F.lit("관련 연구")), new).otherwise(line)
 
-    marked = F.array_join(F.transform(F.split(body, "\n", -1), mark), "\n")
-    first, intro_head, intro = _cut(before, INTRO)
-    told = F.concat(first, intro_head, F.lit(f"\n{RELATED_LEAD} "), F.regexp_replace(intro, r"^\n+", ""))
-    lead = F.when(intro.isNotNull() & ~intro.rlike(NONE_FOUND), told).otherwise(before)
-    applies = body.isNotNull() & ~before.rlike(CONCLUSION) & own.rlike(NONE_FOUND) & (marked != body)
-    return F.when(F.coalesce(applies, F.lit(False)), F.concat(lead, body_head, marked, close, rest)).otherwise(c)
+    def lead(before: Column) -> Column:
+        told = lambda i: F.when(~i["z"].rlike(NONE_FOUND), F.concat(i["a"], i["m"], F.lit(f"\n{RELATED_LEAD} "), F.regexp_replace(i["z"], r"^\n+", "")))
+        return F.coalesce(once(_cut(before, INTRO), told), before)
+
+    def mended(p: Column) -> Column:
+        head, close = p["a"], p["z"]
+        own = F.coalesce(_cut(close["z"], CONCLUSION_END)["a"], close["z"])
+        applies = ~head["a"].rlike(CONCLUSION) & own.rlike(NONE_FOUND)
+        new = lambda body: F.when(body != close["a"], F.concat(lead(head["a"]), head["m"], body, close["m"], close["z"]))
+        return F.when(applies, once(F.array_join(F.transform(F.split(close["a"], "\n", -1), mark), "\n"), new))
+
+    return F.coalesce(once(_parted(c), mended), c)
 
 
 def internal_refs_cleaned(c: Column, ids: Column) -> Column:
@@ -137,13 +152,18 @@ def foreign_numbers(c: Column, sources: Column) -> Column:
 def grounded_item(c: Column, sources: Column) -> Column:
     """An item without the sentences that hold a number of no source; citations that go with them are put behind. Unchanged if
     it has no source, or no sentence with text would stay."""
-    kept = lambda s: F.filter(F.split(s, SENTENCE_END, -1), lambda x: F.size(foreign_numbers(x, sources)) == 0)
-    text = lambda s: F.exists(kept(s), lambda x: F.regexp_replace(x, NOT_TEXT, " ").rlike(r"(?U)\w"))
-    out = F.array_join(kept(c), " ")
-    lost = F.array_except(cited(c), cited(out))
-    last = lambda i: F.element_at(F.filter(_all(c, CITED), lambda m: F.regexp_extract(m, CITED, 1) == i), -1)
-    mended = F.concat(out, F.array_join(F.transform(lost, last), ""))
-    return F.when((F.size(sources) > 0) & (F.size(kept(c)) < F.size(F.split(c, SENTENCE_END, -1))) & text(c), mended).otherwise(c)
+
+    def mended(parts: Column) -> Column:
+        def of(kept: Column) -> Column:
+            out = F.array_join(kept, " ")
+            last = lambda i: F.element_at(F.filter(_all(c, CITED), lambda m: F.regexp_extract(m, CITED, 1) == i), -1)
+            text = F.exists(kept, lambda x: F.regexp_replace(x, NOT_TEXT, " ").rlike(r"(?U)\w"))
+            behind = F.array_join(F.transform(F.array_except(cited(c), cited(out)), last), "")
+            return F.when((F.size(kept) < F.size(parts)) & text, F.concat(out, behind))
+
+        return once(F.filter(parts, lambda x: F.size(foreign_numbers(x, sources)) == 0), of)
+
+    return F.coalesce(F.when(F.size(sources) > 0, once(F.split(c, SENTENCE_END, -1), mended)), c)
 
 
 def conclusion_fault(c: Column, blocks: Column) -> Column:
@@ -187,24 +207,25 @@ def conclusion_aligned(c: Column) -> Column:
     """The answer with each decimal of its conclusion that the body's items of the papers cited in the sentence have not, but for
     exactly one of the same integer part, as many decimals or more and at most 1 % off that the sentence lacks, as that one.
     Parts of the conclusion about papers elsewhere stay."""
-    before, body_head, after = _cut(c, BODY)
-    body, close, rest = _cut(after, CONCLUSION)
-    items = F.split(body, r"(?U)\n(?=\s*(?:<b>)?\d+\.\s)", -1)
     decimals = lambda x: F.filter(_all(x, DECIMAL, 1), lambda v: ~v.rlike(r"^\d{4}\.\d{4,5}$"))
-    known = F.transform(F.filter(items, lambda x: F.size(cited(x)) > 0), lambda x: F.struct(cited(x).alias("ids"), decimals(x).alias("values")))
-    at = F.instr(rest, ELSEWHERE)
-    own, other = F.when(at > 0, F.substr(rest, F.lit(1), at - 1)).otherwise(rest), F.when(at > 0, F.substr(rest, at)).otherwise("")
-
-    def sentence(s: Column) -> Column:
-        values = F.array_distinct(F.flatten(F.transform(F.filter(known, lambda k: F.arrays_overlap(k["ids"], cited(s))), lambda k: k["values"])))
-        places = lambda x: F.length(F.substring_index(x, ".", -1))
+    places = lambda x: F.length(F.substring_index(x, ".", -1))
 
+    def aligned(s: Column, values: Column) -> Column:
         def near(x: Column) -> Column:
             close_to = lambda v: F.abs(v.cast("double") - x.cast("double")) <= 0.01 * F.greatest(x.cast("double"), F.lit(1e-9))
             return F.filter(values, lambda v: (F.substring_index(v, ".", 1) == F.substring_index(x, ".", 1)) & close_to(v) & ~F.contains(s, v) & (places(v) >= places(x)))
 
-        return mapped(s, DECIMAL, lambda x: F.when(x.rlike(r"^\d{4}\.\d{4,5}$") | F.array_contains(values, x) | (F.size(near(x)) != 1), x).otherwise(near(x)[0]))
+        return mapped(s, DECIMAL, lambda x: F.when(x.rlike(r"^\d{4}\.\d{4,5}$") | F.array_contains(values, x), x).otherwise(once(near(x), lambda n: F.when(F.size(n) == 1, n[0]).otherwise(x))))
+
+    def mended(p: Column) -> Column:
+        head, close = p["a"], p["z"]
+        items = F.split(close["a"], r"(?U)\n(?=\s*(?:<b>)?\d+\.\s)", -1)
+        known = F.transform(F.filter(items, lambda x: F.size(cited(x)) > 0), lambda x: F.struct(cited(x).alias("ids"), decimals(x).alias("values")))
+        at = F.instr(close["z"], ELSEWHERE)
+        own, other = F.when(at > 0, F.substr(close["z"], F.lit(1), at - 1)).otherwise(close["z"]), F.when(at > 0, F.substr(close["z"], at)).otherwise("")
+        parts = F.split(own, r"(?U)(?<=[.!?。])(?=\s)", -1)  # sentences keep the white space before them
+        of = lambda s, k: F.array_distinct(F.flatten(F.transform(F.filter(k, lambda x: F.arrays_overlap(x["ids"], cited(s))), lambda x: x["values"])))
+        said = once(known, lambda k: F.array_join(F.transform(parts, lambda s: once(of(s, k), lambda v: F.when(F.size(v) > 0, aligned(s, v)).otherwise(s))), ""))
+        return F.when(~head["a"].rlike(CONCLUSION) & close["a"].isNotNull(), F.concat(head["a"], head["m"], close["a"], close["m"], said, other))
 
-    parts = F.split(own, r"(?U)(?<=[.!?。])(?=\s)", -1)  # sentences keep the white space before them
-    new = F.concat(before, body_head, body, close, F.array_join(F.transform(parts, sentence), ""), other)
-    return F.when(body.isNotNull() & ~before.rlike(CONCLUSION), new).otherwise(c)
+    return F.coalesce(once(_parted(c), mended), c)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemill.functions.bind import once
+
 # Patterns and years that decide results; (?U) gives white space and word borders of all scripts.
 RANGE = r"(?U)(20\d\d)\s*년?\s*(?:~|-|–|부터)\s*(20\d\d)\s*년"
 YEAR = r"(?U)(20\d\d)\s*년\s*(이후|부터|이전|전에|전|까지)?"
@@ -100,11 +100,6 @@ def _spaced(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[-_]+", " ")
 
 
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that f names often: computed once, and written once into the plan."""
-    return F.element_at(F.transform(F.array(c), f), 1)
-
-
 def with_expansions(c: Column) -> Column:
     """The query and the long forms of the short names in it that it doesn't spell out, each once, in the list's order."""
 
@@ -112,7 +107,7 @@ def with_expansions(c: Column) -> Column:
         found = [F.when(_spaced(q).rlike(f"(?<![{OUTSIDE}])(?:{short}|{short.replace('-', ' ')})(?![{OUTSIDE}])") & ~F.contains(F.lower(q), F.lit(long.lower())), long) for short, long in EXPANSIONS.items()]
         return F.concat_ws(" ", q, F.array_distinct(F.array_compact(F.array(*found))))
 
-    return _once(trimmed(c), widen)
+    return once(trimmed(c), widen)
 
 
 def with_generic_tail(c: Column) -> Column:
@@ -135,4 +130,4 @@ def with_short_tail(c: Column) -> Column:
 
 def expanded(c: Column) -> Column:
     """The query as the search by terms takes it; the search by vectors takes the plain one."""
-    return _once(_once(with_expansions(c), with_generic_tail), with_short_tail)
+    return once(once(with_expansions(c), with_generic_tail), with_short_tail)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import ids
+from tidemill.operators.order import numbered
 
 NUMBER = r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w]|\.\d)"
 
@@ -57,6 +58,23 @@ def citation_edges(papers: DataFrame, content: str = "content") -> DataFrame:
     return rows.where(ids.valid_arxiv_id(F.col("dst")) & (F.col("src") != F.col("dst"))).distinct()
 
 
+def outside_targets(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(dst, n, rank): targets of edges (src, dst) that are not known (id), by how many sources name them, then by name. Rows
+    that repeat an edge count once; ranks come from ranges, so no task has to hold all targets."""
+    out = edges.select("src", "dst").distinct().join(known.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti")
+    return numbered(out.groupBy("dst").agg(F.count("*").alias("n")), [], [F.desc("n"), F.col("dst")], "rank")
+
+
+def edge_totals(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: sources, edges to known and to other targets, and how many other targets there are."""
+    inside = known.select(F.col("id").alias("dst"), F.lit(True).alias("inside")).distinct()
+    rows = edges.select("src", "dst").distinct().join(inside, "dst", "left")
+    outside = F.col("inside").isNull()
+    by_target = rows.groupBy("dst", outside.alias("outside")).agg(F.count("*").alias("n"))
+    counts = by_target.agg(F.coalesce(F.sum(F.when(~F.col("outside"), F.col("n"))), F.lit(0)).alias("inside"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("n"))), F.lit(0)).alias("outside"), F.count_if("outside").alias("targets"))
+    return counts.join(F.broadcast(edges.agg(F.count_distinct("src").alias("sources"))))  # one row each
+
+
 #: Up to so many runs of items are broadcast; more are joined by their own partitions.
 BROADCAST_RUNS = 200_000
 

@@ -53,6 +53,23 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def records(entries: DataFrame, key: str, values: tuple[str, ...], hidden: str = "chroma:") -> DataFrame:
+    """(key, doc, meta): a record for each key from entries (key, name, *values), whatever names there are. An entry's value is the
+    first of its values that is given, as text; entries without one are left out. The entry `hidden`document is the record's
+    text, others of that beginning are dropped. Of entries that repeat a name the least value stays. Only one record's entries
+    meet, sorted by name."""
+    given = entries.select(key, "name", F.coalesce(*[F.col(v).cast("string") for v in values]).alias("value"))
+    one = given.groupBy(key, "name").agg(F.min("value").alias("value"))
+    shown = ~F.startswith("name", F.lit(hidden)) & F.col("value").isNotNull()
+    meta = F.map_from_entries(F.array_sort(F.collect_list(F.when(shown, F.struct("name", "value")))))
+    return one.groupBy(key).agg(F.max(F.when(F.col("name") == f"{hidden}document", F.col("value"))).alias("doc"), meta.alias("meta"))
+
+
+def as_texts(meta: Column) -> Column:
+    """A map with text values; nulls are empty."""
+    return F.transform_values(meta, lambda _, v: F.coalesce(v.cast("string"), F.lit("")))
+
+
 def quota_sample(df: DataFrame, slot: str, quota: int, key: str, seed: int = 0) -> DataFrame:
     """Up to `quota` rows of each slot in an order by the md5 of seed and key; the same in every engine."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
