@@ -42,9 +42,9 @@ def test_blank_texts(spark):
 
 def test_collapsed_spans(spark):
     span = "a repeated span of text "
-    assert one(spark, text.collapsed_spans("c"), c=f"x {span * 3}y") == f"x {span}y"
-    assert one(spark, text.collapsed_spans("c"), c="short short") == "short short"
-    assert one(spark, text.collapsed_spans("c"), c=None) is None
+    assert one(spark, text.collapsed_spans(F.col("c")), c=f"x {span * 3}y") == f"x {span}y"
+    assert one(spark, text.collapsed_spans(F.col("c")), c="short short") == "short short"
+    assert one(spark, text.collapsed_spans(F.col("c")), c=None) is None
 
 
 def test_exact_tests(spark):

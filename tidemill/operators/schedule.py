@@ -51,14 +51,16 @@ def missing_days(events: DataFrame, day: str = "day", *by: str) -> DataFrame:
     return span.select(*by, F.explode(F.sequence("a", "b")).alias(day)).join(days, [*by, day], "left_anti")
 
 
-def month_ranges(spark, year: int, spec: str) -> DataFrame:
-    """(label, first, last) of the months of a list such as 1-3,7."""
-    parts = F.transform(F.split(F.lit(spec), ","), F.trim)
-    months = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.element_at(F.split(p, "-"), -1).cast("int"))))))
-    rows = spark.range(1).select(F.explode(months).alias("m")).withColumn("first", F.when(F.col("m").between(1, 12), F.make_date(F.lit(year), "m", F.lit(1))).otherwise(F.raise_error(F.lit("months are 1 to 12"))))
-    return rows.select(F.date_format("first", "yyyy-MM").alias("label"), F.col("first").cast("string").alias("first"), F.last_day("first").cast("string").alias("last"))
-
-
-def quarter_ranges(spark, year: int) -> DataFrame:
-    first = F.add_months(F.make_date(F.lit(year), F.lit(1), F.lit(1)), (F.col("id") * 3).cast("int"))
-    return spark.range(4).select(F.concat(F.lit("Q"), (F.col("id") + 1).cast("string")).alias("label"), first.cast("string").alias("first"), F.last_day(F.add_months(first, 2)).cast("string").alias("last"))
+def month_ranges(rows: DataFrame, key: str, year: Column, spec: Column) -> DataFrame:
+    """(key, label, first, last) of the months of each row's list such as 1-3,7, each once; a month outside of 1 to 12 is an error."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda p: p != "")
+    months = F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.element_at(F.split(p, "-"), -1).cast("int")))))
+    first = F.when(F.col("m").between(1, 12), F.make_date("y", "m", F.lit(1))).otherwise(F.raise_error(F.lit("months are 1 to 12")))
+    each = rows.select(key, year.alias("y"), F.explode(months).alias("m")).withColumn("first", first)
+    return each.select(key, F.date_format("first", "yyyy-MM").alias("label"), F.col("first").cast("string").alias("first"), F.last_day("first").cast("string").alias("last"))
+
+
+def quarter_ranges(rows: DataFrame, year: str) -> DataFrame:
+    """(year, label, first, last) of the four quarters of each row's year."""
+    each = rows.select(year, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q")).withColumn("d", F.add_months(F.make_date(F.col(year), F.lit(1), F.lit(1)), F.col("q") * 3))
+    return each.select(year, F.concat(F.lit("Q"), (F.col("q") + 1).cast("string")).alias("label"), F.col("d").cast("string").alias("first"), F.last_day(F.add_months("d", 2)).cast("string").alias("last"))

@@ -34,13 +34,22 @@ _MATCHED = "COALESCE(list_sum(list_transform(regexp_extract_all({t}, '{p}'), lam
 _URLS = _MATCHED.format(t="t", p=r"(?i)https?://\S+")
 
 
-@query(rf"SELECT source, count(*) AS n, sum((len(t) >= 80 AND {_URLS} <= 0.2 * greatest(1, len(t)))::INT)::BIGINT AS good FROM (SELECT source, regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS t FROM documents) GROUP BY source")
+#: Characters in formulas of a text t in DuckDB; the ones in single $ by a fold over the pieces between them, from left to right.
+_MATH = f"""({_MATCHED.format(t="t", p=r"\$\$[\s\S]{0,800}?\$\$")} + {_MATCHED.format(t="t", p=r"\\\[[\s\S]{0,1000}?\\\]")} + {_MATCHED.format(t="t", p=r"\\\([\s\S]{0,800}?\\\)")}
+  + list_reduce(list_prepend({{'i': 0::BIGINT, 'free': 0::BIGINT, 'n': 0::BIGINT}}, list_transform(range(1, len(string_split(t, '$')) - 1), lambda i: {{'i': i, 'free': 0::BIGINT, 'n': 0::BIGINT}})), lambda s, x:
+    CASE WHEN x.i >= s.free AND NOT ends_with(string_split(t, '$')[x.i], chr(92)) AND len(string_split(t, '$')[x.i + 1]) BETWEEN 1 AND 120 AND NOT contains(string_split(t, '$')[x.i + 1], chr(10))
+      AND (string_split(t, '$')[x.i + 2] <> '' OR x.i + 2 = len(string_split(t, '$'))) THEN {{'i': x.i, 'free': x.i + 2, 'n': s.n + len(string_split(t, '$')[x.i + 1]) + 2}} ELSE {{'i': x.i, 'free': s.free, 'n': s.n}} END).n)"""
+_STRIPPED = r"regexp_replace(text, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')"
+
+
+@query(f"SELECT source, count(*) AS n, sum((len(t) >= 80 AND {_MATH} <= 0.3 * len(t) AND {_URLS} <= 0.2 * len(t))::INT)::BIGINT AS good FROM (SELECT source, {_STRIPPED} AS t FROM documents) GROUP BY source")
 def quality_gate_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.sum(((F.length(text.stripped(F.col("text"))) >= text.LEAST_CHARS) & (text.url_share(text.stripped(F.col("text"))) <= text.MOST_URL)).cast("long")).alias("good"))
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.sum(text.good_chunk(F.col("text")).cast("long")).alias("good"))
 
 
-@query()
+@query(f"""SELECT doc_id, len(t) >= 80 AND {_MATH} <= 0.3 * len(t) AND {_URLS} <= 0.2 * len(t) AS good, (SELECT round(least(1, {_MATH} / greatest(1, len(t))), 6) FROM (SELECT raw AS t)) AS math_share
+FROM (SELECT doc_id, text AS raw, {_STRIPPED} AS t FROM documents)""")
 def good_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.good_chunk(F.col("text")).alias("good"), F.round(text.math_share(F.col("text")), 6).alias("math_share"))
 
@@ -67,7 +76,12 @@ def chunk_fixed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.windows(F.col("text"))).alias("nth", "chunk"))
 
 
-@query()
+#: A fold in DuckDB over strings x: what is held takes the next one while `joins`, else it goes out; both ends as in the operators.
+_FOLD = """list_reduce(list_transform({items}, lambda x: {{'out': []::VARCHAR[], 'held': {each}}}), lambda a, x: CASE WHEN {joins} THEN {{'out': a.out, 'held': a.held || {between} || x.held}} ELSE {{'out': {emit}, 'held': x.held}} END)"""
+_SMALL = _FOLD.format(items="string_split(text, chr(10))", each="trim(x)", joins="len(a.held) < 120 AND len(a.held) + len(x.held) + 2 <= 900", between="chr(10) || chr(10)", emit="CASE WHEN a.held <> '' THEN list_append(a.out, a.held) ELSE a.out END")
+
+
+@query(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS nth, len(chunk)::INT AS n_chars FROM (SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, CASE WHEN r.held <> '' THEN list_append(r.out, r.held) ELSE r.out END AS c FROM (SELECT doc_id, {_SMALL} AS r FROM documents WHERE text IS NOT NULL)))")
 def chunk_merge_fold(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(text.merged_small(F.split("text", "\n"))).alias("nth", "chunk")).select("doc_id", "nth", F.length("chunk").alias("n_chars"))
@@ -86,15 +100,20 @@ def repeated_line_flag(spark, sf_dir):
 @query()
 def collapsed_repeats(spark, sf_dir):
     d = table(spark, sf_dir, "conversations")
-    return d.select("conv_id", "turn", F.length(text.collapsed_spans("text")).alias("n"))
+    return d.select("conv_id", "turn", F.length(text.collapsed_spans(F.col("text"))).alias("n"))
 
 
-@query()
+@query(r"""SELECT doc_id, len(list_filter(string_split(replace(replace(replace(regexp_replace(flat, '([.!?]) +', '\1' || chr(1), 'g'), 'vs.' || chr(1), 'vs. '), 'al.' || chr(1), 'al. '), 'e.g.' || chr(1), 'e.g. '), chr(1)), lambda s: len(trim(s)) > 20))::INT AS n_sentences
+FROM (SELECT doc_id, regexp_replace(regexp_replace(COALESCE(text, ''), '(?i)\[초록\]|#+\s*\**abstract\**', ' ', 'g'), '\s+', ' ', 'g') AS flat FROM documents)""")
 def sentence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query()
+_PIECES = "flatten(list_transform(string_split(COALESCE(text, ''), chr(10)), lambda x: CASE WHEN len(x) <= 3500 THEN [x] ELSE list_transform(range(0, len(x), 3500), lambda s: substr(x, s + 1, 3500)) END))"
+_PACKED = _FOLD.format(items=_PIECES, each="x", joins="len(a.held) + 1 + len(x.held) <= 3500", between="chr(10)", emit="list_append(a.out, a.held)")
+
+
+@query(f"SELECT doc_id, (i - 1)::INT AS nth, len(part)::INT AS n_chars FROM (SELECT doc_id, unnest(c) AS part, generate_subscripts(c, 1) AS i FROM (SELECT doc_id, list_append(r.out, r.held) AS c FROM (SELECT doc_id, {_PACKED} AS r FROM documents)))")
 def telegram_parts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.packed_lines(F.col("text"), 3500)).alias("nth", "part")).select("doc_id", "nth", F.length("part").alias("n_chars"))
 
@@ -265,26 +284,35 @@ def assemble_outcomes(spark, sf_dir):
     return keys.assembly_counts(_slots(spark, sf_dir), "lang", "k", 40)
 
 
-_QUESTIONS = ("2024년 이후 나온 논문 3개 찾아줘", "최신 연구(2023~2021년) 12편 추천해줘", "작년에 나온 상위 10개 중 하나", "요즘 연구 5편의 논문을 골라줘", "2022년 이전 연구", "2023년까지 나온 논문 4편 정리해줘")
-_STATED = "(VALUES (0, 2024, NULL, 3), (1, 2021, 2023, NULL), (2, 2029, 2029, NULL), (3, NULL, NULL, 5), (4, NULL, 2021, NULL), (5, NULL, 2023, 4)) a(q, first, last, n)"
+#: Questions that turns of conversations are made into, with %1$d for a year, %2$d for the next but one, %3$d for a number, and what they state.
+_QUESTIONS = {
+    "%1$d년 이후 나온 논문 %3$d개 찾아줘": ("y", "NULL", "k"), "최신 연구(%2$d~%1$d년) %3$d편 추천해줘": ("y", "y + 2", "k"), "작년에 나온 상위 %3$d개 중 하나": ("2029", "2029", "NULL"),
+    "요즘 연구 %3$d편의 논문을 골라줘": ("NULL", "NULL", "k"), "%1$d년 이전 연구": ("NULL", "y - 1", "NULL"), "%1$d년까지　나온 논문 %3$d편 정리해줘": ("NULL", "y", "k"),
+}
+_STATED = "a AS (SELECT conv_id AS q, CASE i " + " ".join(f"WHEN {i} THEN {v[0]}" for i, v in enumerate(_QUESTIONS.values())) + " END AS first, CASE i " + " ".join(f"WHEN {i} THEN {v[1]}" for i, v in enumerate(_QUESTIONS.values())) + " END AS last, CASE WHEN k BETWEEN 2 AND 10 THEN CASE i " + " ".join(f"WHEN {i} THEN {v[2]}" for i, v in enumerate(_QUESTIONS.values())) + " END END AS n FROM (SELECT conv_id, conv_id % 6 AS i, 2018 + conv_id // 6 % 7 AS y, 1 + (conv_id // 6 + turn) % 13 AS k FROM conversations WHERE turn = 0))"
 
 
-def _stated(spark):
-    asked = spark.createDataFrame(list(enumerate(_QUESTIONS)), "q long, question string")
-    return asked.withColumn("years", questions.year_range(F.col("question"), 2030)).select("q", "years.first", "years.last", questions.requested_count(F.col("question")).alias("n"))
+def _stated(spark, sf_dir):
+    """Each conversation's first turn as a question with conditions behind its words."""
+    c = table(spark, sf_dir, "conversations").where("turn = 0")
+    year, number = 2018 + F.floor(F.col("conv_id") / 6) % 7, 1 + (F.floor(F.col("conv_id") / 6) + F.col("turn")) % 13
+    asked = F.element_at(F.array(*[F.format_string(q, year, year + 2, number) for q in _QUESTIONS]), (F.col("conv_id") % 6 + 1).cast("int"))
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]", "")
+    rows = c.select(F.col("conv_id").alias("q"), F.concat(words, F.lit(" "), asked).alias("question"))
+    return rows.withColumn("years", questions.year_range(F.col("question"), 2030)).select("q", "years.first", "years.last", questions.requested_count(F.col("question")).alias("n"))
 
 
-@query(f"SELECT q::BIGINT AS q, first, last, n FROM {_STATED}")
+@query(f"WITH {_STATED} SELECT q, first::INT AS first, last::INT AS last, n::INT AS n FROM a")
 def question_conditions(spark, sf_dir):
-    return _stated(spark)
+    return _stated(spark, sf_dir)
 
 
-@query(f"""WITH d AS (SELECT doc_id, doc_id % 6 AS q, 2020 + doc_id % 7 AS year FROM documents), j AS (SELECT *, (first IS NULL OR year >= first) AND (last IS NULL OR year <= last) AS inside FROM d JOIN {_STATED} USING (q)),
+@query(f"""WITH {_STATED}, d AS (SELECT doc_id, doc_id % 200 AS q, 2015 + doc_id % 11 AS year FROM documents), j AS (SELECT d.*, first, last, (first IS NULL OR year >= first) AND (last IS NULL OR year <= last) AS inside FROM d LEFT JOIN a USING (q)),
 s AS (SELECT *, CASE WHEN first IS NULL AND last IS NULL THEN 'any' WHEN bool_or(inside) OVER (PARTITION BY q) THEN 'kept' ELSE 'none' END AS status FROM j) SELECT doc_id, q, status FROM s WHERE status <> 'kept' OR inside""")
 def year_filter(spark, sf_dir):
-    """Documents of made-up years as hits of six questions."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 6).alias("q"), (2020 + F.col("doc_id") % 7).alias("year"))
-    return retrieval.within_years(d, _stated(spark)).select("doc_id", "q", "status")
+    """Documents of eleven years as hits of the conversations' questions."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 200).alias("q"), (2015 + F.col("doc_id") % 11).alias("year"))
+    return retrieval.within_years(d, _stated(spark, sf_dir)).select("doc_id", "q", "status")
 
 
 @query(rf"""WITH {PAPERS}, t AS (SELECT doc_id, lang, list_distinct(list_filter(regexp_split_to_array(lower(trim(title)), '[^0-9A-Za-z가-힣]+'), lambda x: len(x) >= 2)) AS t FROM papers),
@@ -298,7 +326,10 @@ def title_promote(spark, sf_dir):
     return retrieval.promoted(rows, F.col("a")).select(F.col("q").alias("lang"), F.col("ord").alias("doc_id"), F.col("pos").cast("long").alias("pos"))
 
 
-@query()
+@query(rf"""WITH {PAPERS}, s AS (SELECT lang, doc_id, t, left(t, 600) AS head FROM (SELECT lang, doc_id, regexp_replace(COALESCE(text, ''), '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS t FROM papers)),
+f AS (SELECT lang, doc_id, len(t) >= 30 AND CASE WHEN contains(lower(head), 'doi:') OR contains(lower(head), 'doi.org/') THEN 2 ELSE 0 END + CASE WHEN contains(lower(head), 'issn') OR contains(lower(head), 'isbn') THEN 2 ELSE 0 END + regexp_matches(head, '_[A-Z][A-Za-z].*?_')::INT
+  + contains(head, 'https://doi.org/')::INT + len(regexp_extract_all(head, '\[\d{{1,4}}\]')) + regexp_matches(t, '^\s*[-–•*]?\s*\[?\d*\]?\s*[A-Z][a-z]+\s+[A-Z]')::INT >= 3 AS refs FROM s)
+SELECT lang AS q, doc_id AS ord, row_number() OVER (PARTITION BY lang ORDER BY refs, doc_id) AS pos FROM f""")
 def reference_demote(spark, sf_dir):
     p = papers(spark, sf_dir).select(F.col("lang").alias("q"), F.col("doc_id").alias("ord"), "text")
     return retrieval.demoted(p, text.reference_like(F.col("text"))).select("q", "ord", F.col("pos").cast("long").alias("pos"))
@@ -490,22 +521,30 @@ def tumbling_events(spark, sf_dir):
     return e.groupBy("event_type", F.window("ts", "1 hour")["start"].cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(rf"""WITH {PAPERS} SELECT doc_id, 21 AS n_versions, lower(regexp_replace(title, '[^\pL\pN\pM]+', '', 'g')) AS loose, lower(regexp_replace(title, '[^\pL\pN\pM_]+', '', 'g')) AS title_key,
+@query(rf"""WITH {PAPERS} SELECT doc_id, md5(regexp_replace(paper_id, 'v[0-9]+$', '') || array_to_string(list_transform(range(1, 21), lambda i: ',' || regexp_replace(paper_id, 'v[0-9]+$', '') || 'v' || i), '')) AS versions, lower(regexp_replace(title, '[^\pL\pN\pM]+', '', 'g')) AS loose, lower(regexp_replace(title, '[^\pL\pN\pM_]+', '', 'g')) AS title_key,
   published BETWEEN '2024-02-01' AND '2024-06-30' AS in_range FROM papers""")
 def id_forms(spark, sf_dir):
     """Keys under which a paper is looked up: its versions, its title without separators, and a range of its date."""
     p = papers(spark, sf_dir)
-    return p.select("doc_id", F.size(ids.version_candidates(F.col("paper_id"))).alias("n_versions"), ids.loose_key(F.col("title")).alias("loose"), ids.title_key(F.col("title")).alias("title_key"), in_range(F.col("published"), "2024-02-01", "2024-06-30").alias("in_range"))
+    return p.select("doc_id", F.md5(F.array_join(ids.version_candidates(ids.normalize_id(F.col("paper_id"))), ",")).alias("versions"), ids.loose_key(F.col("title")).alias("loose"), ids.title_key(F.col("title")).alias("title_key"), in_range(F.col("published"), "2024-02-01", "2024-06-30").alias("in_range"))
 
 
-@query("""SELECT 'Q' || (i + 1) AS label, strftime(make_date(2024, 3 * i::INT + 1, 1), '%Y-%m-%d') AS first, strftime(last_day(make_date(2024, 3 * i::INT + 3, 1)), '%Y-%m-%d') AS last FROM range(4) t(i)""")
+@query("""WITH y AS (SELECT DISTINCT year(ts) - user_id % 40 AS y FROM events) SELECT y::INT AS year, 'Q' || (i + 1) AS label, strftime(make_date(y, 3 * i::INT + 1, 1), '%Y-%m-%d') AS first, strftime(last_day(make_date(y, 3 * i::INT + 3, 1)), '%Y-%m-%d') AS last FROM y, range(4) t(i)""")
 def quarter_ranges(spark, sf_dir):
-    return schedule.quarter_ranges(spark, 2024)
+    """The quarters of the years that lie up to forty years before some event."""
+    years = table(spark, sf_dir, "events").select((F.year("ts") - F.col("user_id") % 40).cast("int").alias("year")).distinct()
+    return schedule.quarter_ranges(years, "year")
 
 
-@query("""SELECT strftime(d, '%Y-%m') AS label, strftime(d, '%Y-%m-%d') AS first, strftime(last_day(d), '%Y-%m-%d') AS last FROM (SELECT make_date(2024, m, 1) AS d FROM (VALUES (1), (2), (3), (12)) t(m))""")
+@query("""WITH d AS (SELECT doc_id, 2000 + doc_id % 31 AS y, 1 + doc_id % 12 AS a, least(12, 1 + doc_id % 12 + doc_id % 4) AS b, 1 + doc_id * 5 % 12 AS c FROM documents), m AS (SELECT DISTINCT doc_id, y, unnest(list_append(range(a, b + 1), c)) AS m FROM d)
+SELECT doc_id, strftime(make_date(y, m, 1), '%Y-%m') AS label, strftime(make_date(y, m, 1), '%Y-%m-%d') AS first, strftime(last_day(make_date(y, m, 1)), '%Y-%m-%d') AS last FROM m""")
 def month_ranges(spark, sf_dir):
-    return schedule.month_ranges(spark, 2024, "1-3, 12")
+    """The months of each document's list, a range and another month."""
+    n = F.col("doc_id")
+    first = 1 + n % 12
+    spec = F.concat(first.cast("string"), F.lit("-"), F.least(F.lit(12), first + n % 4).cast("string"), F.lit(", "), (1 + n * 5 % 12).cast("string"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (2000 + n % 31).cast("int").alias("year"), spec.alias("spec"))
+    return schedule.month_ranges(d, "doc_id", F.col("year"), F.col("spec"))
 
 
 _MARKED = r"SELECT doc_id, split_part(text, chr(10), 1) || ' http://a.b/' || doc_id || ' 漢字漢。 “q”? \n' AS x FROM documents WHERE text IS NOT NULL"
