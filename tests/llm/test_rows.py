@@ -93,11 +93,18 @@ def test_texts_without_letters_are_undetermined(spark):
 
 def test_references_are_whole_texts(spark):
     docs = spark.createDataFrame([(i, f"abc {'x' * (10 * i)}", "l1") for i in range(1, 9)] + [(20, "Ä long one " * 50, "l2"), (21, "1 2", "l3"), (22, None, "l1")], "doc_id long, text string, lang string")
-    found = language.reference(docs, chars=300, rows=5)
+    found = language.reference(docs, chars=150, rows=5)
     assert set(found) == {"l1", "l2"} and found["l2"].count("ä long one") == 50
     assert {len(p) for p in found["l1"].split() if p.startswith("x")} <= {10 * i for i in range(1, 9)} and len(found["l1"]) <= 102
 
 
+def test_languages_keep_their_references_beside_others(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} " * 30, f"l{i % 50}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every, one = language.reference(docs), language.reference(docs.where("lang = 'l7'"))
+    assert len(every) == 50 and every["l7"] == one["l7"] and len(one["l7"]) > 4 * 85
+
+
 def test_language(spark, odd, empty):
     docs = queries.documents(spark, "/root/testdata/sf0.01")
     found = language.predict(docs, queries.LEARN, ("lang",)).where((queries.remainder(3) == 1) & F.col("lang").isNotNull()).collect()

@@ -20,9 +20,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidemill.llm import words
 
-#: Characters of reference text of all languages together, which share them evenly, and labelled rows of each that are drawn
-#: (by hash) to fill them.
-REFERENCE_CHARS, REFERENCE_ROWS = 80_000, 300
+#: Characters of reference text of each language, whatever others there are, and labelled rows of it that are drawn (by hash)
+#: to fill them.
+REFERENCE_CHARS, REFERENCE_ROWS = 20_000, 300
 #: The prediction for texts without letters.
 UNDETERMINED = "und"
 #: Bits of difference that change the score's odds by a factor of two.
@@ -128,7 +128,7 @@ def plain(texts: pa.Array) -> pa.Array:
 
 
 def reference(labelled: DataFrame, chars: int = REFERENCE_CHARS, rows: int = REFERENCE_ROWS) -> dict[str, str]:
-    """For each non-null lang, the plain() letters of whole texts that together have its share of `chars` characters at most.
+    """For each non-null lang, the plain() letters of whole texts that together have `chars` characters at most.
 
     They come from up to `rows` texts, drawn by the hash of doc_id: in that order each that fits into what is left is taken;
     where none fits, the shortest is. The bound holds whatever the table's size. Languages without letters in their texts
@@ -137,8 +137,7 @@ def reference(labelled: DataFrame, chars: int = REFERENCE_CHARS, rows: int = REF
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text", F.length("text").alias("size")).where("size > 0")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "size")
     drawn = labelled.select("doc_id", "lang", "size").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= rows).orderBy("lang", "nth").collect()
-    share = chars // max(1, len({r.lang for r in drawn}))
-    taken, left = [], {r.lang: share for r in drawn}
+    taken, left = [], {r.lang: chars for r in drawn}
     for r in drawn:
         if r.size <= left[r.lang]:
             left[r.lang] -= r.size
