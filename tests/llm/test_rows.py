@@ -93,7 +93,7 @@ def test_texts_without_letters_are_undetermined(spark):
 
 def test_references_are_whole_texts(spark):
     docs = spark.createDataFrame([(i, f"abc {'x' * (10 * i)}", "l1") for i in range(1, 9)] + [(20, "Ä long one " * 50, "l2"), (21, "1 2", "l3"), (22, None, "l1")], "doc_id long, text string, lang string")
-    found = language.reference(docs, chars=150, rows=5)
+    found = language.reference(docs, chars=100, rows=5)
     assert set(found) == {"l1", "l2"} and found["l2"].count("ä long one") == 50
     assert {len(p) for p in found["l1"].split() if p.startswith("x")} <= {10 * i for i in range(1, 9)} and len(found["l1"]) <= 102
 
