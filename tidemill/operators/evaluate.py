@@ -76,3 +76,60 @@ def majority(runs: DataFrame, key: str, fail: Column) -> DataFrame:
 
 def rank_band(c: Column) -> Column:
     return F.when(c.isNull(), "none").when(c <= 5, "1-5").when(c <= 10, "6-10").when(c <= 30, "11-30").otherwise("31+")
+
+
+def keep_sets(rows: DataFrame, by: str, question: str) -> DataFrame:
+    """(by, tp, fp, fn, precision, recall) of what each judge keeps, over all its rows (question, kept, relevant). A question of
+    which a judge keeps nothing is kept whole."""
+    some = rows.groupBy(F.col(by).alias("__by"), F.col(question).alias("__q")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("some"))
+    rows = rows.join(some, (F.col(by) == F.col("__by")) & (F.col(question) == F.col("__q")))
+    kept, good = F.coalesce("kept", F.lit(False)) | ~F.col("some"), F.coalesce("relevant", F.lit(False))
+    n = rows.groupBy(by).agg(F.count_if(kept & good).alias("tp"), F.count_if(kept & ~good).alias("fp"), F.count_if(~kept & good).alias("fn"))
+    share = lambda a, b: F.round(F.col(a) / F.greatest(F.lit(1), F.col(a) + F.col(b)), 6)
+    return n.select(by, "tp", "fp", "fn", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"))
+
+
+def judge_agreement(rows: DataFrame, by: str, *key: str) -> DataFrame:
+    """(a, b, n, agreement) of each pair of judges over the keys that both judged; judges are few."""
+    one = rows.select(*key, F.col(by).alias("a"), F.col("kept").alias("x"))
+    two = rows.select(*key, F.col(by).alias("b"), F.col("kept").alias("y"))
+    return one.join(two, list(key)).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg(F.col("x").eqNullSafe(F.col("y")).cast("double")), 6).alias("agreement"))
+
+
+def graded(rows: DataFrame, by: str, question: str, grade: str, best: int = 2) -> DataFrame:
+    """(by, questions, mean_best, with_best, zeros, n): the mean number of best grades of a question, questions with one, and rows
+    without any relevance."""
+    q = rows.groupBy(by, question).agg(F.count_if(F.col(grade) == best).alias("best"), F.count_if(F.col(grade) == 0).alias("zero"), F.count("*").alias("n"))
+    return q.groupBy(by).agg(F.count("*").alias("questions"), F.round(F.avg("best"), 6).alias("mean_best"), F.count_if(F.col("best") > 0).alias("with_best"), F.sum("zero").alias("zeros"), F.sum("n").alias("n"))
+
+
+def set_recall(ranked: DataFrame, gold: DataFrame, depths: tuple[int, ...] = (5, 15)) -> DataFrame:
+    """(type, questions, and for each depth hit_d, all_d and three_d): questions with one, all and three or more of their gold items
+    among the first d. ranked: (q, item, rank); gold: (q, type, item); questions without a ranking count as misses."""
+    hits = gold.select("q", "type", "item").distinct().join(ranked.groupBy("q", "item").agg(F.min("rank").alias("rank")), ["q", "item"], "left")
+    q = hits.groupBy("q", "type").agg(F.count("*").alias("n_gold"), *[F.count_if(F.col("rank") <= d).alias(f"n_{d}") for d in depths])
+    of = lambda d: [F.count_if(F.col(f"n_{d}") > 0).alias(f"hit_{d}"), F.count_if(F.col(f"n_{d}") == F.col("n_gold")).alias(f"all_{d}"), F.count_if(F.col(f"n_{d}") >= 3).alias(f"three_{d}")]
+    return q.groupBy("type").agg(F.count("*").alias("questions"), *[c for d in depths for c in of(d)])
+
+
+def gap_stats(rows: DataFrame, gap: str, tiny: float = 0.02, small: float = 0.05, large: float = 0.2) -> DataFrame:
+    """n, mean, median, least and greatest gap, and how many are tiny (below), small (up to), middling and large (from)."""
+    g = F.col(gap)
+    return rows.where(g.isNotNull()).agg(F.count("*").alias("n"), F.round(F.avg(g), 4).alias("mean"), F.round(F.median(g), 4).alias("median"), F.min(g).alias("least"), F.max(g).alias("greatest"), F.count_if(g < tiny).alias("tiny"), F.count_if((g >= tiny) & (g <= small)).alias("small"), F.count_if((g > small) & (g < large)).alias("middling"), F.count_if(g >= large).alias("large"))
+
+
+def first_stage(rows: DataFrame, key: str, stage: str, stages: tuple[str, ...], passed: Column) -> DataFrame:
+    """(key, stage): the first of the stages, in their order, whose row of the key passed; keys without one are left out."""
+    place = F.array_position(F.array(*map(F.lit, stages)), F.col(stage))
+    return rows.where(passed & (place > 0)).groupBy(key).agg(F.min_by(stage, place).alias(stage))
+
+
+def violation_counts(rows: DataFrame, reasons: str) -> DataFrame:
+    """(reason, n): rows by each reason's part before a colon, an array of them a row."""
+    return rows.select(F.explode(reasons).alias("reason")).groupBy(F.substring_index("reason", ":", 1).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def paired_counts(pairs: DataFrame, a: str, b: str, stratum: str) -> DataFrame:
+    """(stratum, n, n_a, n_b, only_a, only_b) of two runs' flags over questions that both answered."""
+    x, y = F.coalesce(a, F.lit(False)), F.coalesce(b, F.lit(False))
+    return pairs.groupBy(stratum).agg(F.count("*").alias("n"), F.count_if(x).alias("n_a"), F.count_if(y).alias("n_b"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"))

@@ -13,7 +13,7 @@ from tidemill.operators import evaluate, grounding, keys, retrieval, schedule
 from tidemill.plans.registry import ORACLE_SQL, PAPERS, QUERIES, TOKENS, papers, query
 from tidemill.sources.tables import in_range, table
 
-from tidemill.plans import answers, matching, ranking  # noqa: F401 - they register their queries
+from tidemill.plans import answers, judging, matching, ranking  # noqa: F401 - they register their queries
 
 # Text
 
