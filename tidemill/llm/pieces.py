@@ -26,7 +26,9 @@ from tidemill.llm import words
 
 SPACE = "▁"
 #: Words whose ids a task keeps, and characters that are indexed at once.
-CACHED_WORDS, INDEXED_CHARS = 100_000, 500_000
+CACHED_WORDS, INDEXED_CHARS = 100_000, 250_000
+#: Bytes of text that are encoded at once; a longer text is a piece of its own.
+TEXT_BYTES = 1 << 20
 _NONE, _START, _UNKNOWN = -9, -1, -2
 
 
@@ -265,7 +267,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, bytes] = {}
-        for piece in words.pieces(batches):
+        for piece in words.pieces(batches, most=TEXT_BYTES):
             ids, borders = encode_texts(piece.column("text"), path, kept)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
@@ -291,7 +293,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, bytes] = {}
-        for piece in words.pieces(batches):
+        for piece in words.pieces(batches, most=TEXT_BYTES):
             ids, borders = encode_texts(piece.column("text"), path, kept)
             data, texts = ids.astype("<u4").tobytes(), pc.fill_null(piece.column("text"), "").to_pylist()
             back = decode_ids(ids, borders, path)

@@ -34,7 +34,9 @@ NEIGHBOURS, POWER, PRIOR_WEIGHT = 15, 3, 1.0
 #: Examples in a block of the index.
 BLOCK = 1_024
 #: Queries that are compared at once; terms of more than one in as many examples, OFTEN at most, are held as dense rows.
-BATCH, OFTEN = 64, 1_024
+BATCH, OFTEN = 32, 1_024
+#: Bytes of text that are scored at once; a longer text is a piece of its own.
+TEXT_BYTES = 1 << 20
 #: Twice what a cosine in single precision may be off, at least.
 MARGIN = 1e-4
 #: A text with this score or more counts as toxic.
@@ -279,7 +281,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         none = model.score(model.vote(np.zeros(0, np.int64), np.zeros(0)))
-        for piece in words.pieces(batches):
+        for piece in words.pieces(batches, most=TEXT_BYTES):
             scores, evidence = np.full(piece.num_rows, none), [[]] * piece.num_rows
             found = [(i, c, weigh(t, model.idf[c])) for i, (c, t) in enumerate(zip(*_columns(piece.column("text"), model.vocabulary), strict=True)) if len(c)]
             for (i, *_), (rows, cosines) in zip(found, model.all_nearest([x[1:] for x in found], NEIGHBOURS), strict=True):
