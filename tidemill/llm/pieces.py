@@ -26,9 +26,9 @@ from tidemill.llm import words
 
 SPACE = "▁"
 #: Words whose ids a task keeps, and characters that are indexed at once.
-CACHED_WORDS, INDEXED_CHARS = 100_000, 250_000
+CACHED_WORDS, INDEXED_CHARS = 300_000, 300_000
 #: Bytes of text that are encoded at once; a longer text is a piece of its own.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 5 << 18
 _NONE, _START, _UNKNOWN = -9, -1, -2
 
 
@@ -62,10 +62,11 @@ class Vocabulary:
     def adjacent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may follow piece a: undo their merges, last first, and see whether a merge across comes before.
         Of equal merges the left one comes first."""
-        ok, todo = np.ones(len(a), bool), np.arange(len(a))
-        x, y = a.copy(), b.copy()
+        pairs, back = np.unique(a * len(self.pieces) + b, return_inverse=True)
+        x, y = pairs // len(self.pieces), pairs % len(self.pieces)
+        ok, todo = np.ones(len(x), bool), np.arange(len(x))
         never = np.iinfo(np.int64).max
-        until_x, until_y = np.full(len(a), never), np.full(len(a), never)
+        until_x, until_y = np.full(len(x), never), np.full(len(x), never)
         while len(todo):
             code = x * len(self.pieces) + y
             at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
@@ -77,7 +78,7 @@ class Vocabulary:
             undo = self.rank[x] > self.rank[y]
             until_x, until_y = np.where(undo, self.rank[x], until_x), np.where(undo, until_y, self.rank[y])
             x, y = np.where(undo, self.right[x], x), np.where(undo, y, self.left[y])
-        return ok
+        return ok[back]
 
 
 @cache
@@ -147,8 +148,8 @@ def _occurrences(text: np.ndarray, suffixes: np.ndarray, vocab: Vocabulary) -> t
     return low, np.maximum(low, high)
 
 
-def _matched(units: list[str], vocab: Vocabulary) -> list[np.ndarray]:
-    """Ids of each unit (a text without a space behind another character)."""
+def _matched(units: list[str], vocab: Vocabulary) -> list[bytes]:
+    """Ids of each unit (a text without a space behind another character), as little-endian unsigned 32-bit integers."""
     joined = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     size = np.fromiter(map(len, units), np.int64, len(units))
     start = np.cumsum(size + 1) - size - 1
@@ -187,7 +188,7 @@ def _matched(units: list[str], vocab: Vocabulary) -> list[np.ndarray]:
         where[alive] -= spans[own]
         steps.append((alive, own, where[alive].copy()))
     if not steps:
-        return [np.zeros(0, np.int64)] * len(units)
+        return [b""] * len(units)
     of, ids, places = (np.concatenate([s[k] for s in steps]) for k in range(3))
     order = np.argsort(places, kind="stable")
     of, ids, places = of[order], ids[order], places[order]
@@ -195,7 +196,8 @@ def _matched(units: list[str], vocab: Vocabulary) -> list[np.ndarray]:
         spelled = [vocab.byte_ids[np.frombuffer(chr(joined[p]).encode("utf-8", "replace"), np.uint8)] if i == _UNKNOWN else [i] for i, p in zip(ids, places, strict=True)]
         lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         ids, of = np.concatenate(spelled), np.repeat(of, lengths)
-    return np.split(ids, np.cumsum(np.bincount(of, minlength=len(units)))[:-1])
+    data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(of, minlength=len(units)))).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def encode_texts(texts: pa.Array, path: str, kept: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +230,7 @@ def encode_texts(texts: pa.Array, path: str, kept: dict[str, bytes] | None = Non
         size += len(unit) + 1
         if size > INDEXED_CHARS or k == len(new) - 1:
             batch = new[start : k + 1]
-            fresh |= {u: x.astype("<u4").tobytes() for u, x in zip(batch, _matched(batch, vocab), strict=True)}
+            fresh |= zip(batch, _matched(batch, vocab), strict=True)
             start, size = k + 1, 0
     found = [kept[units[i]] if units[i] in kept else fresh[units[i]] for i in used]
     kept.update(islice(fresh.items(), max(0, CACHED_WORDS - len(kept))))
