@@ -161,7 +161,7 @@ _built: dict[tuple[str, ...], Parsers] = {}
 
 
 def _parsers(texts: tuple[str, ...]) -> Parsers:
-    """This worker's automata of the texts, kept until others are asked for."""
+    """This task's automata of the texts."""
     if texts not in _built:
         _built.clear()
         _built[texts] = Parsers([t.encode() for t in texts])
@@ -192,6 +192,8 @@ def identify(docs: DataFrame, references: dict[str, str], keep: tuple[str, ...]
                 rate[some] = least[some] / size[some]
             columns = [piece.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rate, from_pandas=True)], ["doc_id", *keep, "lang_pred", "score", "bits_per_char"])
+        _built.clear()  # the worker lives on for other stages
+        words.release()
 
     source = docs.select("doc_id", *keep, *[c for c in ("text",) if c not in keep])
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits_per_char", DoubleType())]

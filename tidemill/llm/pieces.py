@@ -272,6 +272,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for piece in words.pieces(batches, most=TEXT_BYTES):
             ids, borders = encode_texts(piece.column("text"), path, kept)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+        kept.clear()
+        words.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -302,5 +304,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             sums = [crc32(data[4 * a : 4 * b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
             same = [a == b.replace(SPACE, " ") for a, b in zip(back, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(borders)), pa.array(sums, pa.int64()), pa.array([len(x) for x in back], pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "ids_crc32", "n_chars", "round_trip"])
+        kept.clear()
+        words.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_chars long, round_trip boolean")
