@@ -12,9 +12,9 @@ from tidemill.llm import dedup, language, mixing, pieces, queries, toxicity
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, lang, text and all other columns in one, so that no operator's column meets one of theirs.
 
-    From here on the session passes rows to Python in batches of 8 MB, which bounds what a task's worker holds.
+    From here on the session passes rows to Python in batches of 4 MB, which bounds what a task's worker holds.
     """
-    queries.store.set_small_batches(docs.sparkSession)
+    queries.store.set_small_batches(docs.sparkSession, 4 << 20)
     return docs.select("doc_id", "text", "lang", F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"))
 
 
@@ -77,7 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and reread by the next."""
+    """All stages over documents, each written to the shared folder and reread by the next. The session keeps its small Arrow
+    batches afterwards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = queries.store.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
