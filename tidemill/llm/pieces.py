@@ -26,9 +26,9 @@ from tidemill.llm import words
 
 SPACE = "▁"
 #: Words whose ids a task keeps, and characters that are indexed at once.
-CACHED_WORDS, INDEXED_CHARS = 300_000, 300_000
+CACHED_WORDS, INDEXED_CHARS = 300_000, 500_000
 #: Bytes of text that are encoded at once; a longer text is a piece of its own.
-TEXT_BYTES = 5 << 18
+TEXT_BYTES = 2 << 20
 _NONE, _START, _UNKNOWN = -9, -1, -2
 
 
@@ -223,7 +223,8 @@ def encode_texts(texts: pa.Array, path: str, kept: dict[str, bytes] | None = Non
     borders = np.concatenate(([0], np.cumsum(keep)))[borders]
     rows = rows[keep]
     used = np.unique(rows)
-    new = [units[i] for i in used if units[i] not in kept]
+    names = [units[i] for i in used.tolist()]
+    new = [u for u in names if u not in kept]
     fresh: dict[str, bytes] = {}
     start = size = 0
     for k, unit in enumerate(new):
@@ -232,7 +233,7 @@ def encode_texts(texts: pa.Array, path: str, kept: dict[str, bytes] | None = Non
             batch = new[start : k + 1]
             fresh |= zip(batch, _matched(batch, vocab), strict=True)
             start, size = k + 1, 0
-    found = [kept[units[i]] if units[i] in kept else fresh[units[i]] for i in used]
+    found = [x if (x := kept.get(u)) is not None else fresh[u] for u in names]
     kept.update(islice(fresh.items(), max(0, CACHED_WORDS - len(kept))))
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     place = np.zeros(len(units), np.int64)
