@@ -14,6 +14,13 @@ def first_hits(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return gold.select("q", "stratum").distinct().join(hits, "q", "left")
 
 
+def first_relevant(ranked: DataFrame, questions: DataFrame, relevant: Column) -> DataFrame:
+    """first_hits() where ranked rows (q, rank) tell themselves whether they are relevant, so nothing is made of items that no
+    ranking has. questions: (q, stratum)."""
+    hits = ranked.where(relevant).groupBy("q").agg(F.min("rank").alias("rank"))
+    return questions.select("q", "stratum").distinct().join(hits, "q", "left")
+
+
 def recall_mrr(hits: DataFrame) -> DataFrame:
     """n, recall@5, recall@10 and mrr@10 of all strata (stratum 'all') and each, in one aggregation."""
     at = lambda k: F.round(F.avg((F.coalesce("rank", F.lit(10**9)) <= k).cast("double")), 4)

@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import ids, text
 from tidemill.functions.questions import trimmed
+from tidemill.operators import grid
 from tidemill.operators.order import accumulated, numbered
+from tidemill.sources.stored import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-#: Up to so many terms of queries are broadcast; more are joined by their own partitions.
-BROADCAST_TERMS = 100_000
-
-
-def postings(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
-    """(term, key, tf, len): how often each term stands in each document, and the document's length. terms (term): only
-    of these, which are picked before anything is shuffled."""
-    rows = docs.select(key, F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
-    if terms is not None:
-        few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    return rows.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
-
-
-def grouped_postings(docs: DataFrame, key: str, tokens: str = "tokens", terms: DataFrame | None = None) -> DataFrame:
-    """postings() of keys that have several rows, whose tokens count together."""
-    sizes = docs.groupBy(F.col(key).alias("__of")).agg(F.sum(F.size(tokens)).alias("len"))
-    rows = postings(docs, tokens, key, terms).groupBy("term", key).agg(F.sum("tf").alias("tf"))
-    return rows.join(sizes, F.col(key) == F.col("__of")).select("term", key, "tf", "len")
-
-
 def document_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(term, df): documents that have each term; tasks add up their own before the shuffle."""
     return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -45,11 +28,13 @@ def term_weights(counts: DataFrame, n_docs: int, epsilon: float = EPSILON) -> Da
     return df.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(index: DataFrame, weights: DataFrame, queries: DataFrame, mean_len: float, key: str = "doc_id") -> DataFrame:
-    """(q, key, score) of all documents that share a term with the query. queries: (q, terms), repeated terms count."""
+def best_by_terms(docs: DataFrame, weights: DataFrame, queries: DataFrame, mean_len: float, sizes: tuple[int, int], k: int, key: str = "doc_id", wanted: DataFrame | None = None) -> DataFrame:
+    """(q, key, score, by, wanted): the k best BM25 scores above 0 of each query inside each block of documents (key, tokens), by
+    the score rounded to 9 digits (by), then the key; and the scores of the pairs (q, key) that are wanted, marked so. queries:
+    (q, terms), repeated terms count. The scores of all pairs are never rows. sizes: documents and tokens, in all."""
     asked = queries.select("q", F.explode("terms").alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean_len))
-    return index.join(asked.join(weights, "term"), "term").groupBy("q", key).agg(F.sum(part).alias("score"))
+    asked = asked.join(weights, "term").select("q", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    return grid.best_by_terms(docs, stored(asked, "asked"), mean_len, sizes, k, K1, B, key, wanted)
 
 
 def top_k(scores: DataFrame, k: int, by: str = "score", key: str = "doc_id", within: str = "q") -> DataFrame:
@@ -65,17 +50,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-#: Up to so many query vectors are broadcast; more meet the vectors partition by partition.
-BROADCAST_QUERIES = 5_000
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
-    """Exact k nearest by 1 - cosine, of each query and (if given) each group. queries: (q, qv), a stated set. Spark keeps
-    the k best of each task before it shuffles, so what is moved is that and not the pairs."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    pairs = vectors.crossJoin(F.broadcast(queries) if few else queries.repartition(F.col("q"))).withColumn("dist", 1 - cosine(F.col("embedding"), F.col("qv")))
-    place = Window.partitionBy("q", *([group] if group else [])).orderBy("dist", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).drop("qv", "embedding")
+    """Exact k nearest by 1 - cosine, of each query and (if given) each group. queries: (q, qv), a stated set. Blocks of both
+    sides meet in arrays, and what is moved is the k best of each block and not the pairs; columns beside the vector are
+    joined to these."""
+    rows = stored(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    grp = F.coalesce(F.col(group).cast("string"), F.lit("\0")) if group else F.lit("")
+    near = grid.nearest_rows(rows.select("row", "vec_id", grp.alias("grp"), "embedding"), stored(queries, "queries"), k)
+    near = near.join(rows.select("row", grp.alias("grp")), "row") if group else near
+    place = Window.partitionBy("q", *(["grp"] if group else [])).orderBy("dist", "vec_id")
+    best = near.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("row", "q", "dist", "rank")
+    return best.join(rows.drop("embedding"), "row").drop("row")
 
 
 def minmax(c: Column, within: Column | str, equal: float = 0.5) -> Column:
@@ -166,14 +151,15 @@ def with_term_papers(pool: DataFrame, hits: DataFrame, chunks: DataFrame, top: i
     return pool.select("q", "paper_id", "ord", "dist", F.lit(False).alias("by_terms")).unionByName(found.select("q", "paper_id", "ord", "dist", F.lit(True).alias("by_terms")))
 
 
-def candidates(questions: DataFrame, chunks: DataFrame, term_scores: DataFrame, papers: int = 5, top: int = 120, per_hit: int = 5, least_chars: int = 80) -> DataFrame:
+def candidates(questions: DataFrame, chunks: DataFrame, term_scores: Callable[[DataFrame, int], DataFrame], papers: int = 5, top: int = 120, per_hit: int = 5, least_chars: int = 80) -> DataFrame:
     """The pool of each question, (q, ord, vec_id, paper_id, title, dist, bm25): the max(20 * papers, 100) nearest chunks, the
     one whose title holds most words of the question first if that is 60 % or more of them, chunks that read like a
     bibliography last; then the `per_hit` nearest chunks of each of the `top` papers by terms that are not among them, without
     short ones. bm25 is the paper's score by terms, 0 without one.
 
-    questions: (q, question, qv); chunks: (vec_id, embedding, paper_id, title, n_chars, refs); term_scores: (q, base, bm25) of
-    papers without version. A pool has as many rows for a question as these numbers allow, whatever the chunks are.
+    questions: (q, question, qv); chunks: (vec_id, embedding, paper_id, title, n_chars, refs); term_scores gives from pairs
+    (q, base) and a number k the rows (q, base, bm25, by, wanted) of papers without version: each question's k best by `by`
+    at least, and the wanted pairs. A pool has as many rows for a question as these numbers allow, whatever the chunks are.
     """
     fetch = max(20 * papers, 100)
     near = nearest(chunks, questions.select("q", "qv"), fetch).join(questions.select("q", "question"), "q")
@@ -183,12 +169,16 @@ def candidates(questions: DataFrame, chunks: DataFrame, term_scores: DataFrame,
     near = near.withColumn("share", share).withColumn("later", ((F.col("share") < 0.6) | (F.col("vec_id") != best)).cast("int"))
     pool = near.select("q", "vec_id", "paper_id", "title", "dist", F.struct(F.lit(0).alias("a"), F.col("refs").cast("int").alias("b"), F.col("later").alias("c"), F.col("rank").cast("double").alias("d")).alias("at"))
     base = lambda d: d.withColumn("base", ids.normalize_id(F.col("paper_id")))
-    hits = top_k(term_scores.where("bm25 > 0").withColumn("by", F.round("bm25", 9)), top, by="by", key="base").select("q", "base", F.col("rank").alias("hit"))
+    pool = stored(pool, "near")
+    scores = stored(term_scores(base(pool).select("q", "base").distinct(), top), "scores")
+    best = stored(top_k(scores.where("NOT wanted AND bm25 > 0"), top, by="by", key="base"), "hits")
+    hits = best.select("q", "base", F.col("rank").alias("hit"))
     new = hits.join(base(pool).select("q", "base"), ["q", "base"], "left_anti").join(questions.select("q", "qv"), "q")
     found = base(chunks).join(new, "base").withColumn("dist", 1 - cosine(F.col("embedding"), F.col("qv")))
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("q", "base").orderBy("dist", "vec_id"))).where((F.col("nth") <= per_hit) & (F.col("n_chars") >= least_chars))
     added = found.select("q", "vec_id", "paper_id", "title", "dist", F.struct(F.lit(1).alias("a"), F.col("hit").cast("int").alias("b"), F.col("nth").cast("int").alias("c"), F.lit(0.0).alias("d")).alias("at"))
-    rows = base(pool.unionByName(added)).join(term_scores.select("q", "base", "bm25"), ["q", "base"], "left")
+    known = scores.where("wanted").select("q", "base", "bm25").unionByName(best.select("q", "base", "bm25").join(new.select("q", "base"), ["q", "base"], "left_semi"))
+    rows = base(pool.unionByName(added)).join(known, ["q", "base"], "left")
     placed = rows.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy("at", "vec_id")))
     return placed.select("q", F.col("ord").cast("long").alias("ord"), "vec_id", "paper_id", "title", "dist", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
 

@@ -68,15 +68,15 @@ terms AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest({tokens_sql('
 bm AS (SELECT q, base, greatest(0, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m)))) AS bm25 FROM post JOIN idf USING (term) JOIN terms USING (term) JOIN plen USING (base), stat GROUP BY q, base)"""
 
 
-def _term_scores(chunks, asked):
-    """(q, base, bm25): the Okapi scores of papers, all chunks of one together, for the questions as widened."""
+def _term_scores(chunks, asked, k, wanted=None):
+    """(q, base, bm25, by, wanted): the Okapi scores of papers, all chunks of one together, for the questions as widened: each
+    question's k best of each block, and the wanted ones."""
     docs = chunks.select("base", text.tokens(F.col("text")).alias("tokens"))
-    wide = stored(asked.select("q", questions.expanded(F.col("question")).alias("x")), "questions").select("q", text.tokens(F.col("x")).alias("terms"))
-    index = retrieval.grouped_postings(docs, "base", terms=wide.select(F.explode("terms").alias("term")).distinct())
-    n, mean = docs.groupBy("base").agg(F.sum(F.size("tokens")).alias("len")).where("len > 0").agg(F.count("*"), F.avg("len")).first()
+    wide = asked.select("q", questions.expanded(F.col("question")).alias("x")).select("q", text.tokens(F.col("x")).alias("terms"))
+    n, mean, size = docs.groupBy("base").agg(F.sum(F.size("tokens")).alias("len")).where("len > 0").agg(F.count("*"), F.avg("len"), F.sum("len")).first()
     counts = docs.select("base", F.explode(F.array_distinct("tokens")).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
-    scores = retrieval.bm25(index, retrieval.term_weights(counts, n), wide, mean, "base")
-    return scores.select("q", "base", F.greatest("score", F.lit(0.0)).alias("bm25"))
+    scores = retrieval.best_by_terms(docs, retrieval.term_weights(counts, n), wide, mean or 1.0, (n, size or 0), k, "base", wanted)
+    return scores.select("q", "base", F.greatest("score", F.lit(0.0)).alias("bm25"), "by", "wanted")
 
 
 _POOL = rf"""{_C}, {_BM}, near AS (SELECT q, qv, x, doc_id, base, paper_id, title, text, 1 - list_cosine_similarity(qv, v) AS dist FROM c, asked),
@@ -98,11 +98,11 @@ fus AS (SELECT *, (0.5 * COALESCE((v - min(v) OVER w) / nullif(max(v) OVER w - m
 
 def _retrieved(spark, sf_dir):
     """Chunks, questions and the stored pool of each question, scored; the pool is read more than once."""
-    chunks = _chunks(spark, sf_dir)
+    chunks = stored(_chunks(spark, sf_dir), "chunks")
     asked = _questions(chunks)
     stripped = text.stripped(F.col("text"))
     narrow = chunks.select("vec_id", "embedding", "paper_id", "title", F.length("text").alias("n_chars"), text.reference_like(stripped).alias("refs"))
-    pool = retrieval.candidates(asked, narrow, _term_scores(chunks, asked)).join(asked.select("q", "question"), "q")
+    pool = retrieval.candidates(asked, narrow, lambda wanted, k: _term_scores(chunks, asked, k, wanted)).join(asked.select("q", "question"), "q")
     return chunks, asked, stored(retrieval.fused(pool, query=F.col("question")), "pool")
 
 
@@ -168,10 +168,10 @@ more AS (SELECT n.*, row_number() OVER (PARTITION BY n.q, n.base ORDER BY dist,
 SELECT q, doc_id AS vec_id, paper_id, false AS by_terms FROM v UNION ALL SELECT q, doc_id, paper_id, true FROM more WHERE nth <= 5 AND len(text) >= 80""")
 def bm25_union(spark, sf_dir):
     """The thirty nearest chunks of each question, and chunks of the papers that only the terms found."""
-    chunks = _chunks(spark, sf_dir)
+    chunks = stored(_chunks(spark, sf_dir), "chunks")
     asked = _questions(chunks)
     near = retrieval.nearest(chunks.select("vec_id", "embedding", "paper_id"), asked.select("q", "qv"), 30).select("q", "paper_id", F.col("vec_id").alias("ord"), "dist")
-    hits = retrieval.top_k(_term_scores(chunks, asked).where("bm25 > 0").withColumn("by", F.round("bm25", 9)), 120, by="by", key="base").select("q", F.col("base").alias("paper_id"), "rank")
+    hits = stored(retrieval.top_k(_term_scores(chunks, asked, 120), 120, by="by", key="base").select("q", F.col("base").alias("paper_id"), "rank"), "hits")
     # only chunks of papers that some question's terms found are measured
     found = chunks.join(hits.select("q", F.col("paper_id").alias("base")), "base").join(asked.select("q", "qv"), "q")
     found = found.select("q", "paper_id", F.col("vec_id").alias("ord"), (1 - retrieval.cosine(F.col("embedding"), F.col("qv"))).alias("dist"), F.length("text").alias("n_chars"))
@@ -187,8 +187,8 @@ merged AS (SELECT v.q, v.paper_id, v.doc_id, 0.5 * v.v + 0.5 * COALESCE(b.b, 0)
 SELECT q, paper_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, doc_id NULLS LAST, paper_id) AS rank FROM merged) WHERE rank <= 30""")
 def hybrid_merge(spark, sf_dir):
     """The twenty nearest chunks of each question and the twenty best papers by terms, named with and without version."""
-    chunks = _chunks(spark, sf_dir)
+    chunks = stored(_chunks(spark, sf_dir), "chunks")
     asked = _questions(chunks)
     near = retrieval.nearest(chunks.select("vec_id", "embedding", "paper_id"), asked.select("q", "qv"), 20).select("q", "paper_id", "vec_id", "dist")
-    found = retrieval.top_k(_term_scores(chunks, asked).where("bm25 > 0").withColumn("by", F.round("bm25", 9)), 20, by="by", key="base").select("q", F.col("base").alias("paper_id"), "bm25")
+    found = retrieval.top_k(_term_scores(chunks, asked, 20), 20, by="by", key="base").select("q", F.col("base").alias("paper_id"), "bm25")
     return retrieval.hybrid_merge(near, found).select("q", "paper_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
