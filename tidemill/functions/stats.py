@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from math import comb
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,26 +20,45 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.when(n > 0, F.struct(bound(middle - half).alias("low"), bound(middle + half).alias("high")))
 
 
+def _weights(mode: int, low: int, high: int, up: Callable[[np.ndarray], np.ndarray], step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Values between low and high, ascending, and their weights relative to the mode's, as products of up(x), which is weight(x + 1)
+    / weight(x). Values at both ends whose weights are below 1e-300 are left out: a few dozen deviations hold all others."""
+
+    def outward(at: int, end: int, sign: int) -> list[np.ndarray]:
+        parts, last = [np.empty(0)], 1.0
+        while at != end and last >= 1e-300:
+            n = min(step, abs(end - at))
+            x = at + sign * np.arange(n, dtype=float)
+            parts.append(last * np.cumprod(up(x) if sign > 0 else 1 / up(x - 1)))
+            at, last = at + sign * n, parts[-1][-1]
+        return parts
+
+    above, below = np.concatenate(outward(mode, high, 1)), np.concatenate(outward(mode, low, -1))
+    return np.arange(mode - len(below), mode + len(above) + 1), np.concatenate([below[::-1], [1.0], above])
+
+
 @pandas_udf(DoubleType())
 def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
-    """Exact two-sided binomial test of discordant pairs, which is also the sign test; 1 without any."""
+    """Exact two-sided binomial test of discordant pairs, which is also the sign test; 1 without any. A missing count gives none."""
 
     def p(x: int, y: int) -> float:
-        n = int(x + y)
-        return min(1.0, 2 * sum(comb(n, i) for i in range(int(min(x, y)) + 1)) / 2**n) if n else 1.0
+        n = x + y
+        values, weights = _weights(n // 2, 0, n, lambda i: (n - i) / (i + 1))
+        return min(1.0, 2 * float(weights[values <= min(x, y)].sum() / weights.sum()))
 
-    return pd.Series([p(x, y) for x, y in zip(b, c, strict=True)])
+    return pd.Series([None if any(map(pd.isna, t)) else p(*map(int, t)) for t in zip(b, c, strict=True)], dtype=float)
 
 
 @pandas_udf(DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Fisher's exact two-sided test: all tables no likelier than the observed one."""
+    """Fisher's exact two-sided test: all tables no likelier than the observed one. A missing count gives none."""
 
     def p(a: int, b: int, c: int, d: int) -> float:
         rows, column, total = a + b, a + c, a + b + c + d
-        weight = lambda x: comb(rows, x) * comb(total - rows, column - x)
-        seen = weight(a)
-        every = range(max(0, column - (total - rows)), min(rows, column) + 1)
-        return min(1.0, sum(w for x in every if (w := weight(x)) <= seen * (1 + 1e-9)) / comb(total, column))
+        low, high = max(0, column - (total - rows)), min(rows, column)
+        mode = min(high, max(low, (rows + 1) * (column + 1) // (total + 2)))
+        values, weights = _weights(mode, low, high, lambda x: (rows - x) * (column - x) / ((x + 1) * (total - rows - column + x + 1)))
+        seen = weights[values == a]
+        return min(1.0, float(weights[weights <= seen[0] * (1 + 1e-9)].sum() / weights.sum())) if len(seen) else 0.0
 
-    return pd.Series([p(*map(int, t)) for t in zip(a, b, c, d, strict=True)])
+    return pd.Series([None if any(map(pd.isna, t)) else p(*map(int, t)) for t in zip(a, b, c, d, strict=True)], dtype=float)
