@@ -9,87 +9,99 @@ from __future__ import annotations
 import difflib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from tidemill.sources.stored import stored
 
-#: Up to so many texts that others are compared with are broadcast; more are dealt by their cells.
-BROADCAST_ITEMS = 20_000
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
-
-def _letters(c: Column) -> Column:
-    """How often each letter stands in a text, and all else."""
-    each = [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS]
-    return F.transform(F.array(F.struct(F.array(*each).alias("n"), F.length(c).alias("all"))), lambda s: F.array_append(s["n"], s["all"] - F.aggregate(s["n"], F.lit(0), lambda a, x: a + x)))[0]
-
-
-@lru_cache(maxsize=512)
-def _masks(text: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(text):
-        masks[ch] = masks.get(ch, 0) | 1 << i
-    return masks
+class Subsequences:
+    """Items side by side as the bits of one number, with a free bit behind each, so that a text's longest common subsequences with
+    all of them take one pass over its characters."""
+
+    def __init__(self, items: list[str]) -> None:
+        self.lengths = np.array([len(x) for x in items])
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        codes = np.frombuffer("\0".join([*items, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.n_bytes = len(codes) // 8 + 1
+        used = np.ones(len(codes), bool)
+        used[self.starts + self.lengths] = False
+        self.full = self._number(used)
+        order = np.argsort(codes, kind="stable")
+        order = order[used[order]]
+        self.masks = {}
+        for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else []:
+            bits = np.zeros(len(codes), bool)
+            bits[at] = True
+            self.masks[chr(codes[at[0]])] = self._number(bits)
+
+    @staticmethod
+    def _number(bits: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def lengths_with(self, text: str) -> np.ndarray:
+        """Length of the text's longest common subsequence with each item, which no sum of matching blocks exceeds."""
+        row, full, masks = self.full, self.full, self.masks
+        for ch in text:
+            if mask := masks.get(ch):
+                hit = row & mask
+                row = ((row + hit) | (row ^ hit)) & full
+        bits = np.unpackbits(np.frombuffer(row.to_bytes(self.n_bytes, "little"), np.uint8), bitorder="little")
+        return self.lengths - np.add.reduceat(bits, self.starts, dtype=np.int64)
 
 
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence of two texts, which no sum of matching blocks exceeds; a bit for each
-    character of b."""
-    masks, full = _masks(b), (1 << len(b)) - 1
-    row = full
-    for ch in a:
-        hit = row & masks.get(ch, 0)
-        row = (row + hit) | (row - hit)
-    return len(b) - (row & full).bit_count()
-
-
-def ratio_above(least: float):
-    """A function of two text columns: 2 * matched / all characters by the longest matching blocks, found first to left and
-    right of each other, or null below `least`. The second text's characters that fill more than a hundredth of it don't
-    begin a block if it has 200 or more."""
-
-    def ratio(x: str, y: str) -> float | None:
-        total = len(x) + len(y)
-        if not total:
-            return 1.0
-        if 2 * common_length(x, y) < least * total:
-            return None
-        found = difflib.SequenceMatcher(None, x, y).ratio()
-        return found if found >= least else None
+    """Length of the longest common subsequence of two texts."""
+    return int(Subsequences([b]).lengths_with(a)[0])
 
-    @pandas_udf(DoubleType())
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    return of
+#: Texts, and items, of a block; every block of texts meets each of items of its cell.
+TEXTS, ITEMS = 32_768, 4_096
 
 
 def alike(texts: DataFrame, items: DataFrame, least: float = 0.72) -> DataFrame:
     """(text, item, ratio): each distinct text with each distinct item whose ratio of matching blocks is `least` or more.
 
-    texts: (text), items: (item). Lengths of such a pair differ by less than a cell of a geometric scale, so pairs are formed
-    in a cell and its two neighbours; the letters that both have bound the ratio from above, then their longest common
-    subsequence, and only what is left is matched block by block. Two empty texts are alike; null ones are left out.
+    texts: (text), items: (item). Lengths of such a pair differ by less than a cell of a geometric scale, so blocks of texts meet
+    blocks of items of their cell and its two neighbours; the longest common subsequences bound the ratio from above, and only
+    what is left is matched block by block. Two empty texts are alike; null ones are left out.
     """
     step = math.log((2 - least) / least)
     cell = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
-    a = texts.where("text IS NOT NULL").select("text").distinct().select("text", _letters(F.col("text")).alias("n"), cell(F.col("text")).alias("cell"))
-    b = items.where("item IS NOT NULL").select("item").distinct().select("item", _letters(F.col("item")).alias("m"), cell(F.col("item")).alias("own"))
-    b = stored(b, "items")
-    few = b.count() <= BROADCAST_ITEMS
-    b = b.withColumn("cell", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-    pairs = a.join(F.broadcast(b) if few else b, "cell")
-    total = F.length("text") + F.length("item")
-    shared = F.aggregate(F.zip_with("n", "m", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.where((2 * F.least(F.length("text"), F.length("item")) >= least * total) & (2 * shared >= least * total))
-    return pairs.select("text", "item", ratio_above(least)("text", "item").alias("ratio")).where("ratio IS NOT NULL")
+    a = stored(texts.where("text IS NOT NULL").select("text").distinct(), "texts")
+    b = stored(items.where("item IS NOT NULL").select("item").distinct(), "items")
+    n_texts, n_items = (max(1, -(-d.count() // size)) for d, size in ((a, TEXTS), (b, ITEMS)))
+    n_texts = max(n_texts, texts.sparkSession.sparkContext.defaultParallelism)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = cell(F.col("item"))
+    b = b.select("item", dealt("item", n_items).alias("nth"), F.explode(F.array(own - 1, own, own + 1)).alias("cell"))
+    held = b.select("cell").distinct()  # a few lengths
+    a = a.select("text", cell(F.col("text")).alias("cell"), dealt("text", n_texts).alias("block")).join(F.broadcast(held), "cell", "left_semi")
+    a, b = a.select("*", every(n_items).alias("nth")), b.select("*", every(n_texts).alias("block"))
+
+    def matched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            names = sorted(right["item"])
+            all_items = Subsequences(names)
+            for text in sorted(left["text"]):
+                total = least * (len(text) + all_items.lengths)
+                if not (2 * np.minimum(len(text), all_items.lengths) >= total).any():
+                    continue
+                for i in np.flatnonzero(2 * all_items.lengths_with(text) >= total):
+                    ratio = difflib.SequenceMatcher(None, text, names[i]).ratio()
+                    if ratio >= least:
+                        found.append((text, names[i], ratio))
+        return pd.DataFrame(found, columns=["text", "item", "ratio"])
+
+    key = ["cell", "block", "nth"]
+    n = n_texts * n_items
+    return a.repartition(n, *key).groupBy(*key).cogroup(b.repartition(n, *key).groupBy(*key)).applyInPandas(matched, "text string, item string, ratio double")
 
 
 def known_titles(titles: DataFrame, known: DataFrame, least: int = 30) -> DataFrame:
