@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemill.sources.stored import stored
 
@@ -173,45 +174,52 @@ def named_titles(names: DataFrame, titles: DataFrame) -> DataFrame:
 KEYWORDS = 200_000
 
 
-def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str = "id", c: str = "text") -> DataFrame:
-    """(key, keyword): the distinct keywords that stand anywhere in a text. keywords: (keyword); empty and null ones are in
-    nothing. An automaton of up to KEYWORDS of them goes to all tasks, so a text is read once for all of these."""
+def _named(texts: DataFrame, keywords: DataFrame, key: str, c: str, name: str) -> DataFrame:
+    """(key, name): the distinct names of keywords (keyword, names) that stand anywhere in a text, from each row of texts once for
+    each block of keywords. An automaton of up to KEYWORDS of them goes to all tasks, so a text is read once for all of these."""
     spark = texts.sparkSession
-    rows = stored(keywords.where("keyword <> ''").select("keyword").distinct(), "keywords")
+    rows = stored(keywords, "keywords")
     blocks = max(1, -(-rows.count() // KEYWORDS))
-    kind = texts.schema[key].dataType.simpleString()
+    kind, of = texts.schema[key].dataType.simpleString(), keywords.schema["names"].dataType.elementType
     parts = []
     for block in range(blocks):
-        held = [r.keyword for r in rows.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == block).toLocalIterator()]
+        held = [(r.keyword, tuple(r.names)) for r in rows.where(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == block).toLocalIterator()]
         shared = spark.sparkContext.broadcast(held)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
             automaton = ahocorasick.Automaton()
-            for word in shared.value:
-                automaton.add_word(word, word)
+            for word, names in shared.value:
+                automaton.add_word(word, (word, names))
             if shared.value:
                 automaton.make_automaton()
             for batch in batches:
                 ids, found = [], []
                 for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    hits = {w for _, w in automaton.iter(body or "")} if shared.value else ()
-                    ids.extend([i] * len(hits))
-                    found.extend(hits)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string())], [key, "keyword"])
+                    hits = dict(x for _, x in automaton.iter(body or "")) if shared.value else {}
+                    names = set().union(*hits.values())
+                    ids.extend([i] * len(names))
+                    found.extend(names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, to_arrow_type(of))], [key, name])
 
-        parts.append(texts.select(key, c).mapInArrow(search, f"`{key}` {kind}, keyword string"))
+        parts.append(texts.select(key, c).mapInArrow(search, f"`{key}` {kind}, `{name}` {of.simpleString()}"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def keyword_hits(texts: DataFrame, keywords: DataFrame, key: str = "id", c: str = "text") -> DataFrame:
+    """(key, keyword): the distinct keywords that stand anywhere in a text. keywords: (keyword); empty and null ones are in
+    nothing."""
+    return _named(texts, keywords.where("keyword <> ''").select("keyword").distinct().withColumn("names", F.array("keyword")), key, c, "keyword")
+
+
 def keyword_supplement(asked: DataFrame, texts: DataFrame, present: DataFrame, most: int = 5, key: str = "id") -> DataFrame:
     """(q, key, nth): for each question the first `most` texts, by key, that hold one of its keywords and are not present yet.
     asked: (q, keywords); texts: (key, text); present: (q, key)."""
-    words = asked.select("q", F.explode("keywords").alias("keyword")).distinct()
-    hits = keyword_hits(texts, words.select("keyword"), key).join(words, "keyword").select("q", key).distinct()
-    new = hits.join(present.select("q", key), ["q", key], "left_anti")
-    return new.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(key))).where(F.col("nth") <= most)
+    words = asked.select("q", F.explode("keywords").alias("keyword")).where("keyword <> ''").groupBy("keyword").agg(F.collect_set("q").alias("names"))
+    # a text names its questions where it is read: its keywords times their questions are no rows
+    new = _named(texts, words, key, "text", "q").join(present.select("q", key), ["q", key], "left_anti")
+    return new.withColumn("nth", F.dense_rank().over(Window.partitionBy("q").orderBy(key))).where(F.col("nth") <= most).distinct()
