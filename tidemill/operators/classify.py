@@ -8,6 +8,8 @@ from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.sources.stored import stored
+
 #: Dimensions that n-grams of each kind are hashed to (a round of the fit adds up as many sums for each task), and the strength of a fit against its size (the inverse of C).
 DIMENSIONS, C = 1 << 14, 10.0
 
@@ -42,14 +44,19 @@ def fit(rows: DataFrame, c: str, label: str) -> PipelineModel:
     The n-grams' weights are their TF-IDF over the rows; Spark sums the loss over all partitions, so nothing but the
     coefficients comes to the driver."""
     rows = rows.where(F.col(label).isNotNull()).select(c, F.col(label).cast("double").alias("label"))
+    rows = stored(rows, "labelled")
     n, yes = rows.agg(F.count("*"), F.sum("label")).head()
     if not yes or yes == n:
         raise ValueError("rows of both kinds are needed")
     weighed = _featured(rows, c).withColumn("weight", F.when(F.col("label") == 1, n / (2 * yes)).otherwise(n / (2 * (n - yes))))
-    parts = [x for side in ("chars", "words") for x in (HashingTF(inputCol=f"__{side}", outputCol=f"__{side}_tf", numFeatures=DIMENSIONS), IDF(inputCol=f"__{side}_tf", outputCol=f"__{side}_idf", minDocFreq=1))]
+    sides = ("chars", "words")
+    hashed = [HashingTF(inputCol=f"__{side}", outputCol=f"__{side}_tf", numFeatures=DIMENSIONS) for side in sides]
+    # n-grams are made once; every later pass reads their counts
+    counted = stored(PipelineModel(hashed).transform(weighed).select("label", "weight", *[f"__{side}_tf" for side in sides]), "counts")
+    idf = [IDF(inputCol=f"__{side}_tf", outputCol=f"__{side}_idf", minDocFreq=1) for side in sides]
     joined = VectorAssembler(inputCols=["__chars_idf", "__words_idf"], outputCol="features")
     regression = LogisticRegression(weightCol="weight", regParam=1 / (C * n), standardization=False, maxIter=50)
-    return Pipeline(stages=[*parts, joined, regression]).fit(weighed)
+    return PipelineModel([*hashed, *Pipeline(stages=[*idf, joined, regression]).fit(counted).stages])
 
 
 def predicted(model: PipelineModel, rows: DataFrame, c: str) -> DataFrame:
