@@ -17,12 +17,19 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def document_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(term, df): documents that have each term; tasks add up their own before the shuffle."""
-    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, begun, size), stored: documents that have each term, how many of them begin with it, and these documents'
+    tokens; tasks add up their own before the shuffle. All of begun and size are the documents with a token and their
+    tokens, so that texts are tokenized once for the terms and their sizes."""
+    # outer: for a plain explode Spark looks first whether there are tokens, which tokenizes again
+    terms = docs.select(F.size(tokens).alias("n"), F.posexplode_outer(F.array_distinct(tokens)).alias("at", "term")).where("term IS NOT NULL")
+    first = F.col("at") == 0
+    counts = terms.groupBy("term").agg(F.count("*").alias("df"), F.count_if(first).alias("begun"), F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("size"))
+    return stored(counts, "counts")
 
 
 def term_weights(counts: DataFrame, n_docs: int, epsilon: float = EPSILON) -> DataFrame:
-    """(term, df) to (term, df, idf): ln((N - df + 0.5) / (df + 0.5)); negative values become epsilon times the mean of all."""
+    """(term, df), which is read twice, to (term, df, idf): ln((N - df + 0.5) / (df + 0.5)); negative values become epsilon
+    times the mean of all."""
     df = counts.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean"))  # one row
     return df.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))

@@ -71,10 +71,10 @@ bm AS (SELECT q, base, greatest(0, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.2
 def _term_scores(chunks, asked, k, wanted=None):
     """(q, base, bm25, by, wanted): the Okapi scores of papers, all chunks of one together, for the questions as widened: each
     question's k best of each block, and the wanted ones."""
-    docs = chunks.select("base", text.tokens(F.col("text")).alias("tokens"))
+    docs = stored(chunks.select("base", text.tokens(F.col("text")).alias("tokens")), "tokens")
     wide = asked.select("q", questions.expanded(F.col("question")).alias("x")).select("q", text.tokens(F.col("x")).alias("terms"))
     n, mean, size = docs.groupBy("base").agg(F.sum(F.size("tokens")).alias("len")).where("len > 0").agg(F.count("*"), F.avg("len"), F.sum("len")).first()
-    counts = docs.select("base", F.explode(F.array_distinct("tokens")).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    counts = stored(docs.select("base", F.explode(F.array_distinct("tokens")).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df")), "counts")
     scores = retrieval.best_by_terms(docs, retrieval.term_weights(counts, n), wide, mean or 1.0, (n, size or 0), k, "base", wanted)
     return scores.select("q", "base", F.greatest("score", F.lit(0.0)).alias("bm25"), "by", "wanted")
 
