@@ -1,9 +1,13 @@
 """Texts are worked through once for each pass over them: what is costly in an expression stands once in its plan."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from tidemill.functions import answers as rules
 from tidemill.functions import text
-from tidemill.operators import retrieval
+from tidemill.operators import answers, retrieval
+from tidemill.plans import answers as plans
 from tidemill.plans import catalogue
 
 
@@ -27,3 +31,23 @@ def test_weights_are_made_of_kept_counts(spark, sf_dir):
     assert "regexp_extract_all" not in plan(weights)
     told = docs.where(F.size("tokens") > 0).agg(F.count("*"), F.avg(F.size("tokens")), F.sum(F.size("tokens"))).first()
     assert tuple(told) == (n, mean, size)
+
+
+def test_lines_of_answers_are_made_once(spark):
+    a = spark.createDataFrame([(1, "### 서론\na\n\n### 본론\n1. b\n2. c\n\n### 결론\nd")], "answer long, text string")
+    made = plan(answers.lines(a))
+    assert "size(split(" not in made  # the body is not split again for each of its lines
+    assert made.count(rules.BODY) == plan(a.select(rules.sections(F.col("text")).alias("s"))).count(rules.BODY)  # nor cut out again
+
+
+def test_grounding_reads_answers_once(spark, sf_dir):
+    made = plan(plans.grounded_answers(spark, sf_dir))
+    assert made.count("Relation [") == 2  # the answers and their sources
+
+
+def test_numbers_that_stand_in_a_source(spark):
+    sources = ["1.2.3 12,5 7", "a12 .5 x,6 34", "3.14, 15. 9,2,6", "٣٤ 5٦ 1,000,000", "12.50%", "", "20-30", "1..2", "8.x 0.75"]
+    asked = sorted({n for s in sources for n in re.findall(r"\d+(?:[.,]\d+)?|\d", s)} | {"1", "2", "12", "5", "1,000", "000", "50", "3.1", "0"})
+    rows = spark.createDataFrame([(s, n) for s in sources for n in asked], "s string, n string")
+    found = rows.select("s", "n", F.array_contains(rules.standing(F.col("s")), F.col("n")).alias("new"), rules._stands(F.col("n"), F.col("s")).alias("old")).collect()
+    assert [r for r in found if r.new != r.old] == [] and any(r.new for r in found)

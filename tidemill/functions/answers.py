@@ -29,8 +29,9 @@ RELATED, RELATED_LEAD = "(관련 연구)", "제공된 문서에는 질문이 찾
 CONCLUSION_END = r"\n[ \t]*(?:📎|<b>📎|---)"
 ELSEWHERE = "\n\n📎"
 NUMBER = r"(?U)\d+(?:[.,]\d+)?"
+STANDING = r"(?U)(?<![\d.,])\d+(?:[.,]\d+)?"
 DECIMAL = r"(?U)(?<![\d.])(\d+\.\d+)(?![\d.])"
-YEAR = r"(?U)\b(?:19|20)\d{2}\b"
+YEAR = r"(?U)(?=19|20)\b(?:19|20)\d{2}\b"
 SENTENCE_END = r"(?U)(?<=[.!?。])\s+"
 NOT_TEXT = r"\[[^\]\n]*\]|\([^()\n]*\)|<b>[^<\n]*</b>|\*\*[^*\n]*\*\*|<[^>]+>"
 NO_RELATED_TAIL = r"(관련된 문서가 없습니다\.?)[ \t]*(?:\[[^\]\n]*\][ \t]*)+"
@@ -143,27 +144,33 @@ def _stands(number: Column, source: Column) -> Column:
     return F.regexp(source, F.concat(F.lit(r"(?U)(?<![\d.,])"), F.replace(number, F.lit("."), F.lit(r"\.")), F.lit(r"(?!\d)")))
 
 
-def foreign_numbers(c: Column, sources: Column) -> Column:
-    """Numbers of two characters or more, years and citations apart, that stand in none of the source texts (an array)."""
+def standing(c: Column) -> Column:
+    """Distinct numbers that stand in a text, without a digit, point or comma before and a digit behind: what _stands() finds."""
+    return once(_all(c, STANDING), lambda found: F.array_distinct(F.concat(found, F.transform(found, lambda n: F.regexp_extract(n, r"(?U)^\d+", 0)))))
+
+
+def foreign_numbers(c: Column, known: Column) -> Column:
+    """Numbers of two characters or more, years and citations apart, that are not among the known ones (an array)."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, CITED, " "), r"<[^>]+>", " "), YEAR, " ")
-    return F.filter(_all(plain, NUMBER), lambda n: (F.length(n) > 1) & ~F.exists(sources, lambda s: _stands(n, s)))
+    found = F.filter(_all(plain, NUMBER), lambda n: (F.length(n) > 1) & ~F.array_contains(known, n))
+    return F.when(c.isNull() | c.rlike(r"(?U)\d"), found).otherwise(F.array().cast("array<string>"))  # most sentences have no digit
 
 
-def grounded_item(c: Column, sources: Column) -> Column:
-    """An item without the sentences that hold a number of no source; citations that go with them are put behind. Unchanged if
-    it has no source, or no sentence with text would stay."""
+def grounded_item(c: Column, known: Column) -> Column:
+    """An item without the sentences that hold a number that is not known from its sources (an array, null without a source);
+    citations that go with them are put behind. Unchanged if it has no source, or no sentence with text would stay."""
 
-    def mended(parts: Column) -> Column:
-        def of(kept: Column) -> Column:
+    def mended(c: Column, known: Column) -> Column:
+        def of(parts: Column, kept: Column) -> Column:
             out = F.array_join(kept, " ")
             last = lambda i: F.element_at(F.filter(_all(c, CITED), lambda m: F.regexp_extract(m, CITED, 1) == i), -1)
             text = F.exists(kept, lambda x: F.regexp_replace(x, NOT_TEXT, " ").rlike(r"(?U)\w"))
             behind = F.array_join(F.transform(F.array_except(cited(c), cited(out)), last), "")
             return F.when((F.size(kept) < F.size(parts)) & text, F.concat(out, behind))
 
-        return once(F.filter(parts, lambda x: F.size(foreign_numbers(x, sources)) == 0), of)
+        return once(F.split(c, SENTENCE_END, -1), lambda parts: once(F.filter(parts, lambda x: F.size(foreign_numbers(x, known)) == 0), lambda kept: of(parts, kept)))
 
-    return F.coalesce(F.when(F.size(sources) > 0, once(F.split(c, SENTENCE_END, -1), mended)), c)
+    return once(c, lambda x: once(known, lambda k: F.coalesce(F.when(k.isNotNull(), mended(x, k)), x)))
 
 
 def conclusion_fault(c: Column, blocks: Column) -> Column:
@@ -178,10 +185,16 @@ def conclusion_fault(c: Column, blocks: Column) -> Column:
     )
 
 
+def _foreign_sentence(c: Column, sources: Column) -> Column:
+    """Whether a sentence has a foreign number; sources: an array of texts."""
+    known = F.flatten(F.transform(sources, standing))
+    return once(known, lambda k: F.exists(F.split(c, SENTENCE_END, -1), lambda s: F.size(foreign_numbers(s, k)) > 0))
+
+
 def item_fault(c: Column, old: Column, sources: Column) -> Column:
     """Why a rewritten item is refused, or null: length, Chinese characters, not longer than the old one, a foreign number."""
     plain = F.regexp_replace(F.regexp_replace(old, CITED, ""), r"(?U)^\s+|\s+$", "")
-    return F.when(~F.length(c).between(80, 700), "길이").when(hanzi(c) > 0, "한자").when(F.length(c) <= F.length(plain), "짧아짐").when(F.exists(F.split(c, SENTENCE_END, -1), lambda s: F.size(foreign_numbers(s, sources)) > 0), "문서 밖 숫자")
+    return F.when(~F.length(c).between(80, 700), "길이").when(hanzi(c) > 0, "한자").when(F.length(c) <= F.length(plain), "짧아짐").when(_foreign_sentence(c, sources), "문서 밖 숫자")
 
 
 def translation_fault(source: Column, c: Column) -> Column:

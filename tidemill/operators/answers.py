@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import answers as rules
+from tidemill.functions.bind import once
 
 #: A line that begins an item for joining items: a number, a point, and white space, maybe the line's end.
 _BEGINS = r"(?U)^[ \t]*\d{1,2}\.(?:\s|$)"
@@ -15,11 +16,11 @@ def lines(answers: DataFrame, key: str = "answer", c: str = "text") -> DataFrame
     """(key, part, kind, line, tail): the lead, each line of the body and the rest of answers; line and tail (the line feed)
     in the order of part join to the answer, so nothing is lost. A null answer is empty."""
     s = rules.sections(F.col(c))
-    parts = F.split(F.coalesce("s.body", F.lit("")), "\n", -1)
     row = lambda kind, line, tail: F.struct(F.lit(kind).alias("kind"), line.alias("line"), tail.alias("tail"))
-    body = F.transform(parts, lambda x, i: row("line", x, F.when(i < F.size(parts) - 1, "\n").otherwise("")))
-    every = F.concat(F.array(row("lead", F.col("s.lead"), F.lit(""))), F.when(F.col("s.body").isNull(), F.array().cast("array<struct<kind:string,line:string,tail:string>>")).otherwise(body), F.array(row("rest", F.col("s.rest"), F.lit(""))))
-    return answers.select(key, s.alias("s")).select(key, F.posexplode(every).alias("part", "row")).select(key, "part", "row.*")
+    body = once(F.split("s.body", "\n", -1), lambda parts: F.transform(parts, lambda x, i: row("line", x, F.when(i < F.size(parts) - 1, "\n").otherwise(""))))
+    every = F.concat(F.array(row("lead", F.col("s.lead"), F.lit(""))), F.coalesce(body, F.array().cast("array<struct<kind:string,line:string,tail:string>>")), F.array(row("rest", F.col("s.rest"), F.lit(""))))
+    # outer: for a plain explode Spark looks first whether there are rows, which makes them again
+    return answers.select(key, s.alias("s")).select(key, F.posexplode_outer(every).alias("part", "row")).select(key, "part", "row.*")
 
 
 def assembled(rows: DataFrame, key: str = "answer") -> DataFrame:
@@ -66,10 +67,14 @@ def grounded(rows: DataFrame, blocks: DataFrame, key: str = "answer") -> DataFra
     block), ids with or without version). Items without a known block stay; so do those that would lose all text."""
     head = r"(?U)^(\s*(?:<b>)?\d+\.\s)"
     normal = F.replace(F.replace("block", F.lit("{,}"), F.lit(",")), F.lit("\\%"), F.lit("%"))
-    known = blocks.select(F.col(key).alias("of"), F.regexp_replace("id", r"v\d+$", "").alias("id"), normal.alias("block"))
-    item = (F.col("kind") == "line") & F.col("line").rlike(head)
-    asked = rows.where(item).select(key, "part", F.explode(rules.cited(F.col("line"))).alias("cited"))
-    found = asked.join(known, (F.col(key) == F.col("of")) & (F.col("cited") == F.col("id"))).groupBy(key, "part").agg(F.collect_list("block").alias("sources"))
-    rows = rows.join(found, [key, "part"], "left")
-    mended = F.concat(F.regexp_extract("line", head, 1), rules.grounded_item(F.regexp_replace("line", head, ""), F.col("sources")))
-    return rows.withColumn("line", F.when(F.col("sources").isNotNull(), mended).otherwise(F.col("line"))).drop("sources")
+    told = blocks.where("block IS NOT NULL").select(F.col(key).alias("of"), F.struct(F.regexp_replace("id", r"v\d+$", "").alias("id"), rules.standing(normal).alias("numbers")).alias("block"))
+    told = told.groupBy("of").agg(F.collect_list("block").alias("told"))
+    item = (F.col("kind") == "line") & F.col("told").isNotNull() & F.col("line").rlike(head)
+
+    def mended(line: Column) -> Column:
+        known = once(rules.cited(line), lambda ids: F.filter("told", lambda b: F.array_contains(ids, b["id"])))
+        known = once(known, lambda b: F.when(F.size(b) > 0, F.flatten(F.transform(b, lambda x: x["numbers"]))))
+        return F.concat(F.regexp_extract(line, head, 1), rules.grounded_item(F.regexp_replace(line, head, ""), known))
+
+    rows = rows.join(told, F.col(key) == F.col("of"), "left")
+    return rows.withColumn("line", F.when(item, mended(F.col("line"))).otherwise(F.col("line"))).drop("of", "told")

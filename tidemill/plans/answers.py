@@ -38,7 +38,7 @@ def _sources(spark, sf_dir):
     """(answer, id, block): blocks of papers with the shares of their even items."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     n = F.size(F.split("text", "\n", -1))
-    paper = d.select("doc_id", n.alias("n"), F.explode(F.array(*map(F.lit, range(3)))).alias("p"))
+    paper = d.select("doc_id", n.alias("n")).select("doc_id", "n", F.explode(F.array(*map(F.lit, range(3)))).alias("p"))
     even = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: (k % 3 == F.col("p")) & (k % 2 == 0))
     said = F.array_join(F.transform(even, _share), " ; ")
     return paper.select(F.col("doc_id").alias("answer"), F.concat(F.lit("2401.0000"), F.col("p").cast("string")).alias("id"), F.concat(F.lit("[문서 "), (F.col("p") + 1).cast("string"), F.lit("] "), said).alias("block"))
