@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidemill.functions.bind import once
 from tidemill.functions.text import hanzi
 
-# Heads, sentences, words and patterns that decide results; (?U) gives classes of all scripts.
-HEAD = r"(?mdU)(?:^###\s*{0}\s*$|<b>{0}</b>)"
+# Heads, sentences, words and patterns that decide results; (?U) gives classes of all scripts. Patterns that are
+# searched for in whole answers look at what is cheap and seldom there first.
+HEAD = r"(?mdU)(?=[#<])(?:^###\s*{0}\s*$|<b>{0}</b>)"
 INTRO, BODY, CONCLUSION = (HEAD.format(name) for name in ("서론", "본론", "결론"))
 NO_DOCUMENT = r"(?U)제공된\s*(?:문서|텍스트|정보|자료)(?:들)?에는[^.\n]*?(?:없습니다|찾을 수 없습니다)\.?[ \t]*"
 NEGATIVE = r"포함되어 있지 않|제공되지 않|찾을 수 없|명시되어 있지 않|존재하지 않|확인되지 않|없습니다"
@@ -20,17 +21,17 @@ NONE_FOUND = r"찾는 연구(는|가)?[^.\n]{0,30}(없|찾을 수 없)|찾을 
 CITED = r"(?U)\[\s*(\d{4}\.\d{4,5})(?:v\d+)?\s*\]"
 CITED_ID = r"(?U)\[\d{4}\.\d{4,5}(?:v\d+)?\]"
 DOCUMENT = r"(?U)\[\s*문서\s*(\d{1,2})\s*\]"
-DOCUMENT_NOTE = r"(?U)\s*\((?:참고[:：]?\s*)?[^()\n]*문서\s*\d[^()\n]*\)"
-DOCUMENT_BARE = r"(?U)(?<![\[\w])문서\s*(\d{1,2}(?:\s*·\s*\d{1,2}(?!\d|\.\d))*)(?!\s*\])"
+DOCUMENT_NOTE = r"(?U)(?=[\s(])(?<!\s)\s*+\((?:참고[:：]?\s*)?[^()\n]*문서\s*\d[^()\n]*\)"
+DOCUMENT_BARE = r"(?U)문서(?<![\[\w]문서)\s*(\d{1,2}(?:\s*·\s*\d{1,2}(?!\d|\.\d))*)(?!\s*\])"
 REPEATED_CITATION = r"(?U)(\[\d{4}\.\d{4,5}(?:v\d+)?\])(?:\s*(?:과|와|,|및|그리고)?\s*\1)+"
 ITEM = r"(?U)^(\s*)(\d{1,2})\.(\s+)"
-ITEM_NAME = r"(?U)^(\s*\d{1,2}\.\s+)(\*\*[^*\n]+\*\*|<b>[^<\n]+</b>)?"
+ITEM_NAMED = ITEM + r"(?:\*\*[^*\n]+\*\*|<b>[^<\n]+</b>)"
 RELATED, RELATED_LEAD = "(관련 연구)", "제공된 문서에는 질문이 찾는 연구가 없습니다."
 CONCLUSION_END = r"\n[ \t]*(?:📎|<b>📎|---)"
 ELSEWHERE = "\n\n📎"
 NUMBER = r"(?U)\d+(?:[.,]\d+)?"
 STANDING = r"(?U)(?<![\d.,])\d+(?:[.,]\d+)?"
-DECIMAL = r"(?U)(?<![\d.])(\d+\.\d+)(?![\d.])"
+DECIMAL = r"(?U)(?=\d)(?<![\d.])(\d+\.\d+)(?![\d.])"
 YEAR = r"(?U)(?=19|20)\b(?:19|20)\d{2}\b"
 SENTENCE_END = r"(?U)(?<=[.!?。])\s+"
 NOT_TEXT = r"\[[^\]\n]*\]|\([^()\n]*\)|<b>[^<\n]*</b>|\*\*[^*\n]*\*\*|<[^>]+>"
@@ -49,11 +50,13 @@ def mapped(c: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
 
 
 def _cut(c: Column, pattern: str) -> Column:
-    """Struct (a, m, z): what stands before the first match, the match, and what follows; null without one."""
+    """Struct (a, m, z): what stands before the first match, the match, and what follows; null without one. The text behind a
+    match goes with it, for split() searches on to the end whatever its limit; the pattern then matches where its rest begins."""
 
     def parts(x: Column) -> Column:
-        rest = lambda s: F.when(F.size(s) == 2, F.struct(s[0].alias("a"), F.regexp_extract(x, pattern, 0).alias("m"), F.get(s, F.lit(1)).alias("z")))
-        return once(F.split(x, pattern, 2), rest)
+        behind = lambda s, y, m: F.struct(s[0].alias("a"), m.alias("m"), F.substr(y, F.length(m) + 1).alias("z"))
+        rest = lambda s: F.when(F.size(s) == 2, once(F.substr(x, F.length(s[0]) + 1), lambda y: once(F.regexp_extract(y, pattern, 0), lambda m: behind(s, y, m))))
+        return once(F.split(x, pattern + "(?s:.*)", 2), rest)
 
     return once(c, parts)
 
@@ -102,10 +105,8 @@ def related_marked(c: Column) -> Column:
     marked items stay."""
 
     def mark(line: Column) -> Column:  # an item without a bold name gets the mark behind its number
-        m, name = F.regexp_extract(line, ITEM_NAME, 0), F.regexp_extract(line, ITEM_NAME, 2)
-        behind = F.regexp_replace(line, ITEM_NAME, "")
-        new = F.when(name != "", F.concat(m, F.lit(f" {RELATED}"), behind)).otherwise(F.concat(m, F.lit(f"{RELATED} "), behind))
-        return F.when(line.rlike(ITEM_NAME) & ~F.contains(line, F.lit("관련 연구")), new).otherwise(line)
+        new = F.when(line.rlike(ITEM_NAMED), F.regexp_replace(line, ITEM_NAMED, f"$0 {RELATED}")).otherwise(F.regexp_replace(line, ITEM, f"$0{RELATED} "))
+        return F.when(F.contains(line, F.lit("관련 연구")), line).otherwise(new)
 
     def lead(before: Column) -> Column:
         told = lambda i: F.when(~i["z"].rlike(NONE_FOUND), F.concat(i["a"], i["m"], F.lit(f"\n{RELATED_LEAD} "), F.regexp_replace(i["z"], r"^\n+", "")))
@@ -239,6 +240,7 @@ def conclusion_aligned(c: Column) -> Column:
         parts = F.split(own, r"(?U)(?<=[.!?。])(?=\s)", -1)  # sentences keep the white space before them
         of = lambda s, k: F.array_distinct(F.flatten(F.transform(F.filter(k, lambda x: F.arrays_overlap(x["ids"], cited(s))), lambda x: x["values"])))
         said = once(known, lambda k: F.array_join(F.transform(parts, lambda s: once(of(s, k), lambda v: F.when(F.size(v) > 0, aligned(s, v)).otherwise(s))), ""))
-        return F.when(~head["a"].rlike(CONCLUSION) & close["a"].isNotNull(), F.concat(head["a"], head["m"], close["a"], close["m"], said, other))
+        # without a decimal in the conclusion nothing changes, and the body isn't read
+        return F.when(~head["a"].rlike(CONCLUSION) & own.rlike(DECIMAL), F.concat(head["a"], head["m"], close["a"], close["m"], said, other))
 
     return F.coalesce(once(_parted(c), mended), c)
