@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import answers as rules
 from tidemill.operators import answers
+from tidemill.plans import catalogue
 
 IDS = ["2401.00001", "2401.00002v2", "2401.00003v1"]
 BLOCKS = {"2401.00001": "[문서 1] gains 46{,}080 and 3.8\\% of 25", "2401.00002": "[문서 2] 24 languages, 61.85 points", "2401.00003": "2025 saw 7 and 512"}
@@ -155,6 +156,16 @@ def test_conclusions_take_the_body_s_decimals(spark):
         assert f(x) == x
 
 
+def test_every_rule_has_its_effect_on_the_made_answers(spark, monkeypatch):
+    counts = lambda: catalogue.QUERIES["answer_rules"](spark, "/root/testdata/sf0.001").head().asDict()
+    full = counts()
+    assert full["n"] > 0 and set(full.values()) == {full["n"]}
+    for rule, column in (("contradiction_dropped", "contradiction"), ("related_marked", "related"), ("internal_refs_cleaned", "refs"), ("conclusion_aligned", "aligned")):
+        with monkeypatch.context() as m:  # without the rule no answer counts
+            m.setattr(rules, rule, lambda c, *_: c)
+            assert counts() == full | {column: 0}
+
+
 def test_refusals(spark):
     blocks = F.create_map(F.lit(1), F.lit("gain 12.5 on 300"), F.lit(2), F.lit("x 7"))
     f = lambda x: one(spark, rules.conclusion_fault(F.lit(x), blocks))

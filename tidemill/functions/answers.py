@@ -234,11 +234,11 @@ def conclusion_aligned(c: Column) -> Column:
     def mended(p: Column) -> Column:
         head, close = p["a"], p["z"]
         items = F.split(close["a"], r"(?U)\n(?=\s*(?:<b>)?\d+\.\s)", -1)
-        known = F.transform(F.filter(items, lambda x: F.size(cited(x)) > 0), lambda x: F.struct(cited(x).alias("ids"), decimals(x).alias("values")))
+        known = F.filter(F.transform(items, lambda x: F.struct(cited(x).alias("ids"), decimals(x).alias("values"))), lambda x: F.size(x["ids"]) > 0)
         at = F.instr(close["z"], ELSEWHERE)
         own, other = F.when(at > 0, F.substr(close["z"], F.lit(1), at - 1)).otherwise(close["z"]), F.when(at > 0, F.substr(close["z"], at)).otherwise("")
         parts = F.split(own, r"(?U)(?<=[.!?。])(?=\s)", -1)  # sentences keep the white space before them
-        of = lambda s, k: F.array_distinct(F.flatten(F.transform(F.filter(k, lambda x: F.arrays_overlap(x["ids"], cited(s))), lambda x: x["values"])))
+        of = lambda s, k: F.when(s.rlike(DECIMAL), once(cited(s), lambda ids: F.array_distinct(F.flatten(F.transform(F.filter(k, lambda x: F.arrays_overlap(x["ids"], ids)), lambda x: x["values"])))))
         said = once(known, lambda k: F.array_join(F.transform(parts, lambda s: once(of(s, k), lambda v: F.when(F.size(v) > 0, aligned(s, v)).otherwise(s))), ""))
         # without a decimal in the conclusion nothing changes, and the body isn't read
         return F.when(~head["a"].rlike(CONCLUSION) & own.rlike(DECIMAL), F.concat(head["a"], head["m"], close["a"], close["m"], said, other))

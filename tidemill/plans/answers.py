@@ -21,17 +21,22 @@ def _share(k):
     return ((F.col("doc_id") * 7 + k * 13) % 500 + 10).cast("string")
 
 
+def _citation(k):
+    return F.concat(F.lit("[2401.0000"), (k % 3).cast("string"), F.lit("v1]"))
+
+
 def _answers(spark, sf_dir):
-    """(answer, text) of documents with a text."""
+    """(answer, text, share, citation) of documents with a text; share and citation are those of the last item."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
 
     def item(line, k):
-        return F.concat((2 * k % 97 + 1).cast("string"), F.lit(". **N"), F.char(97 + k % 26), F.lit("**: "), line, F.lit(" "), _share(k), F.lit("%다. [2401.0000"), (k % 3).cast("string"), F.lit("v1]"))
+        return F.concat((2 * k % 97 + 1).cast("string"), F.lit(". **N"), F.char(97 + k % 26), F.lit("**: "), line, F.lit(" "), _share(k), F.lit("%다. "), _citation(k))
 
     # a number of two digits or more would be a claim of its own; lines keep their words
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, "[0-9<>]", ""))
     body = F.array_join(F.transform(lines, item), "\n")
-    return d.select(F.col("doc_id").alias("answer"), F.concat(F.lit("### 서론\n"), F.col("lang"), F.lit("\n\n### 본론\n"), body, F.lit("\n\n### 결론\n1. 끝\n")).alias("text"))
+    text, last = F.concat(F.lit("### 서론\n"), F.col("lang"), F.lit("\n\n### 본론\n"), body, F.lit("\n\n### 결론\n1. 끝\n")), F.size(F.split("text", "\n", -1)) - 1
+    return d.select(F.col("doc_id").alias("answer"), text.alias("text"), _share(last).alias("share"), _citation(last).alias("citation"))
 
 
 def _sources(spark, sf_dir):
@@ -211,8 +216,11 @@ def answer_rules(spark, sf_dir):
     denied = F.regexp_replace("text", "### 서론\n", "### 서론\n제공된 문서에는 찾는 연구가 없습니다. ")
     ids = F.create_map(F.lit(1), F.lit("2401.00000v1"))
     noted = F.concat("text", F.lit(" (참고: 문서 1) 문서 1은 끝"))
+    # shares with two decimals, of which the conclusion gives the last item's with one and its paper
+    concluded = lambda said: F.concat(F.replace("text", F.lit("%다. ["), F.lit(".37%다. [")), F.lit("값은 "), "share", F.lit(f"{said}%다 "), "citation", F.lit(".\n"))
     made = a.select(
         (rules.contradiction_dropped(denied) == F.col("text")).alias("contradiction"), (rules.related_marked(F.concat("text", F.lit("찾을 수 없습니다."))) != F.concat("text", F.lit("찾을 수 없습니다."))).alias("related"),
-        (rules.internal_refs_cleaned(noted, ids) == F.concat("text", F.lit(" [2401.00000v1]은 끝"))).alias("refs"), (rules.conclusion_aligned(F.col("text")) == F.col("text")).alias("aligned"),
+        # a note goes with the white space before it
+        (rules.internal_refs_cleaned(noted, ids) == F.concat(F.rtrim("text", F.lit("\n")), F.lit(" [2401.00000v1]은 끝"))).alias("refs"), (rules.conclusion_aligned(concluded(".4")) == concluded(".37")).alias("aligned"),
     )
     return made.agg(*[F.count_if(c).alias(c) for c in made.columns], F.count("*").alias("n"))
