@@ -50,6 +50,42 @@ def test_text_kinds_of_held_out_documents(spark):
     assert all(by.values()) and np.mean(by[1]) > np.mean(by[0]) + 0.3  # first lines of good texts are told from those of poor ones
 
 
+def bucket(gram, words):
+    """The dimension of an n-gram in plain integers."""
+    most, place, h = 1 << 64, 0x9E3779B97F4A7C15, 0
+    if not words:
+        for c in gram:
+            h = h * place + ord(c) + 1
+    else:
+        own = [sum((ord(c) + 1) * place ** (i + 1) for i, c in enumerate(w)) for w in gram.split(" ")]
+        h = own[0] if len(own) == 1 else own[0] * 0xC2B2AE3D27D4EB4F + own[1]
+    h %= most
+    return (((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) % most) >> 50
+
+
+def test_counts_are_those_of_all_grams(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = list("abcé한🙂İ") + ["\u00a0", "\u2003", "\x1c", " ", "\n"]
+    texts = ["", None, "  ", "x", "한국어 RAG? RAG", "long" * 40, *["".join(rng.choice(letters, rng.integers(1, 300))) for _ in range(40)]]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"), classify.character_grams(F.col("t")).alias("runs"), classify.word_grams(F.col("t")).alias("words")).collect()
+    for piece in (1, 7, 1 << 18):  # pieces lose no pair of words
+        monkeypatch.setattr(classify, "PIECE", piece)
+        for r in made:
+            runs, words = [np.bincount([bucket(g, kind) for g in grams], minlength=classify.DIMENSIONS) for grams, kind in ((r.runs, False), (r.words, True))]
+            assert np.array_equal(classify.counts(r.low), np.concatenate([runs, words]))
+
+
+def test_text_kinds_reads_whole_texts(spark, tmp_path):
+    """Documents that differ behind 2,000 equal characters, on lines of their own or not."""
+    same = "first line of all " * 120
+    rows = [(i, same + ("\n" if i % 2 else " ") + (f"good prose {i}" if i % 5 < 3 else f"buy cheap {i}"), int(i % 5 < 3)) for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    d.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    d.select("doc_id", "quality").write.parquet(str(tmp_path / "labels.parquet"))
+    found = catalogue.QUERIES["text_kinds"](spark, str(tmp_path)).collect()
+    assert len(found) == 30 and all(r.predicted == r.quality for r in found)
+
+
 def test_replies(spark):
     f = lambda x: one(spark, replies.question_and_answer(F.lit(x)))
     assert tuple(f('{"instruction": " ", "question": "Q ‘1’?", "답변": "A\\n2"}')) == ("Q '1'?", "A\n2")

@@ -81,11 +81,11 @@ def paired_counts(spark, sf_dir):
 
 @query()
 def text_kinds(spark, sf_dir):
-    """The quality that a model of two thirds of the labelled documents' first lines predicts for the others."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 400).alias("title"))
+    """The quality that a model of two thirds of the labelled documents' whole texts predicts for the others."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").where("quality IS NOT NULL")
-    model = classify.fit(rows.where("doc_id % 3 <> 1"), "title", "quality")
-    return classify.predicted(model, rows.where("doc_id % 3 = 1").select("doc_id", "title", "quality"), "title").select("doc_id", "quality", "predicted")
+    model = classify.fit(rows.where("doc_id % 3 <> 1"), "text", "quality")
+    return classify.predicted(model, rows.where("doc_id % 3 = 1").select("doc_id", "text", "quality"), "text").select("doc_id", "quality", "predicted")
 
 
 _REPLY = """r AS (SELECT conv_id, turn, regexp_replace(lower(role), '[^a-z]', '', 'g') AS q, regexp_replace(string_split(text, chr(10))[1], '["\\\\{}`:]', '', 'g') AS a FROM conversations WHERE text IS NOT NULL)"""

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -26,12 +27,12 @@ def folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder; removed when the driver's Python ends."""
+def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """df as Parquet in the shared folder, read by a schema of its own if one is given; removed when the driver's Python ends."""
     path = f"{folder(df.sparkSession)}/tidemill-{name}-{uuid.uuid4().hex}"
     _made.append((df.sparkSession, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 @atexit.register
